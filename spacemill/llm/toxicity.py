@@ -224,10 +224,11 @@ def _count(sample: DataFrame, among: frozenset[str] | None) -> DataFrame:
     return sample.select("text").mapInArrow(run, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_entries: int = 300, ratio: float = 20.0, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_entries: int = 300, ratio: float = 20.0, stem_ratio: float = 20.0, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Learns a Model from at most max_rows labelled rows (the documented bound), held-out ids excluded.
 
-    An entry marks label 1 at least ``ratio`` times as often as label 0. What reaches the driver is bounded by
+    A word marks label 1 at least ``ratio`` times as often as label 0, a stem ``stem_ratio`` times; of stems and words that
+    begin with each other the one that tells most is taken. What reaches the driver is bounded by
     max_entries and max_rows. Without rows of both labels the model finds nothing and scores all alike.
     """
     sample = training_sample(docs, labels, max_rows, id_col, text_col)
@@ -240,15 +241,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_entries:
     clean = {r["feature"]: r["n"] for r in _count(sample.where("y = 0"), frozenset(likely)).collect()}
     score = {f: math.log((n + 0.5) / (pos + 1)) - math.log((clean.get(f, 0) + 0.5) / (neg + 1)) for f, n in likely.items()}
     entries: list[tuple[str, bool, int]] = []
-    for f in sorted((f for f, x in score.items() if x >= math.log(ratio)), key=lambda f: (-likely[f], len(f), f)):
+    marks = [f for f, x in score.items() if x >= math.log(ratio if f.endswith("$") else stem_ratio)]
+    for f in sorted(marks, key=lambda f: (-likely[f] * score[f], len(f), f)):
         text, is_stem = f.removesuffix("$"), not f.endswith("$")
-        inside = any(s and text.startswith(t) for t, s, _ in entries)
-        if is_stem and score.get(f"{text}$") is None and any(t == f"{text}$" for t in likely):
-            continue
         # a stem that one word makes up is that word
         if is_stem and any(likely[w] >= 0.9 * likely[f] for w in likely if w.endswith("$") and w.startswith(text)):
             continue
-        if not inside and len(entries) < max_entries:
+        nested = any((s and text.startswith(t)) or (is_stem and t.startswith(text)) for t, s, _ in entries)
+        if not nested and len(entries) < max_entries:
             entries.append((text, is_stem, 0 if is_stem else edits_allowed(len(text))))
     model = Model(entries, [(1.0, 1.0)] * len(entries))
     rows = _hits_of(sample, model)
