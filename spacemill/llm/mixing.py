@@ -83,8 +83,8 @@ def mix(docs: DataFrame, weights: dict | None = None, block_bytes: int = 1 << 16
     table = spark.createDataFrame([(s, p[s], slots_) for s, slots_ in at.items()], "_s string, _parts long, _pattern array<long>")
     # numbers are found on ids and sizes alone; the texts join them only for the final order
     h = F.xxhash64(F.col(id_col))
-    counted = numbered(rows.withColumn("_size", size), "_source", [h, F.col(id_col), F.col("_size")], "_index", blocks, [F.col(id_col), F.col("_size")], weigh=F.col("_size"), before="_above")
-    block = F.floor(F.col("_above") / block_bytes).cast("long")
+    counted = numbered(rows.withColumn("_size", size), "_source", [h, F.col(id_col), F.col("_size")], "_index", blocks, [F.col(id_col), F.col("_size")], weigh=F.col("_size"), before="_bytes_before")
+    block = F.floor(F.col("_bytes_before") / block_bytes).cast("long")
     placed = counted.withColumn("_block_no", block).join(F.broadcast(table), F.col("_source").eqNullSafe(F.col("_s")))
     slot = F.floor(F.col("_block_no") / F.col("_parts")) * len(pattern) + F.element_at("_pattern", (F.col("_block_no") % F.col("_parts") + 1).cast("int"))
     out = placed.withColumns({"mix_slot": slot.cast("long"), "mix_place": F.col("_index")})

@@ -85,9 +85,14 @@ _ODD = re.compile("[" + "".join([*CYRILLIC, *GREEK]) + "！-～․。٠-٩۰-۹
 _SPACES = "   "
 _DASHES = "‐‑‒–—―"
 _BREAK = r"[\x20\t]{0,4}"
-# bracketed, or standing alone between spaces
-_AT = re.compile(rf"{_BREAK}[\[({{<]{_BREAK}(?:at|arroba|ät){_BREAK}[\])}}>]{_BREAK}|(?<=[A-Za-z0-9]){_BREAK}\(@\){_BREAK}|(?<=[A-Za-z0-9])[\x20\t]+(?:at|arroba)[\x20\t]+(?=[A-Za-z0-9-]+(?:{_BREAK}[\[({{<]{_BREAK}(?:dot|punkt|point|punto){_BREAK}[\])}}>]|[\x20\t]+(?:dot|punkt|point|punto)[\x20\t]+[A-Za-z]{{2}}))", re.I)
-_DOT = re.compile(rf"(?<=[A-Za-z0-9]){_BREAK}[\[({{<]{_BREAK}(?:dot|punkt|point|punto|\.){_BREAK}[\])}}>]{_BREAK}(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])[\x20\t]+(?:dot|punkt|point|punto)[\x20\t]+(?=[A-Za-z0-9])", re.I)
+# Words for @ and the dot, and top-level domains that a bare "at ... dot ..." must end in.
+_ATS, _DOTS = "at|arroba|ät", "dot|punkt|point|punto"
+_TOP = "com|org|net|edu|gov|info|io|co|de|fr|es|uk|eu|us|ai|dev|app|biz|me|ch|at|it|nl|example|test|local"
+_OPEN, _CLOSE = rf"{_BREAK}[\[({{<]{_BREAK}", rf"{_BREAK}[\])}}>]{_BREAK}"
+_LABELS = rf"(?:[A-Za-z0-9-]{{1,63}}(?:{_OPEN}(?:{_DOTS}|\.){_CLOSE}|[\x20\t]{{1,4}}(?:{_DOTS})[\x20\t]{{1,4}}|\.)){{1,5}}"
+# bracketed, or standing alone before a domain
+_AT = re.compile(rf"{_OPEN}(?:{_ATS}){_CLOSE}|(?<=[A-Za-z0-9]){_BREAK}\(@\){_BREAK}|(?<=[A-Za-z0-9])[\x20\t]{{1,4}}(?:{_ATS})[\x20\t]{{1,4}}(?={_LABELS}(?:{_TOP})(?![A-Za-z0-9]))", re.I)
+_DOT = re.compile(rf"(?<=[A-Za-z0-9]){_OPEN}(?:{_DOTS}|\.){_CLOSE}(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])[\x20\t]{{1,4}}(?:{_DOTS})[\x20\t]{{1,4}}(?=[A-Za-z0-9])", re.I)
 _NUMBER = rf"(?:{'|'.join(sorted(DIGIT_WORDS, key=len, reverse=True))})"
 _SPELLED = re.compile(rf"(?<![^\W_])(?:plus[\x20]+)?{_NUMBER}(?:[\x20.-]{{1,4}}(?:{_NUMBER}|[0-9]+)){{2,}}(?![^\W_])", re.I)
 _WORD = re.compile(rf"plus[\x20]+|{_NUMBER}", re.I)
