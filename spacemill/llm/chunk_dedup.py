@@ -2,7 +2,8 @@
 
 A gear rolling hash over the text's UTF-8 bytes cuts a chunk where its masked bits are zero, so a cut depends on the
 bytes just before it only: after an insertion cuts fall into step again, and a repeated passage is cut alike wherever it
-stands. Chunks are deduplicated by a 128-bit digest across the corpus.
+stands. A chunk goes from a cut to the third cut after it, so chunks overlap, are long enough not to recur by chance, and cover
+a repeated passage from its first cut to its last. They are deduplicated by a 128-bit digest across the corpus.
 """
 
 from __future__ import annotations
@@ -17,72 +18,123 @@ from pyspark.sql import Column, DataFrame, functions as F
 from spacemill.llm import kernels
 from spacemill.llm.common import lookup, salt_of, stage
 
-#: Bytes that a cut depends on, and the mean, least and greatest chunk length. A passage of 50 words has some eight cuts.
-GEAR, MEAN, LEAST, MOST = 32, 40, 8, 512
-
-
-def cuts(text: np.ndarray, mean: int = MEAN, least: int = LEAST, most: int = MOST) -> np.ndarray:
-    """Ends of the chunks of one text, the last its length. A cut never falls inside a character."""
-    n = len(text)
-    if not n:
-        return np.zeros(0, np.int64)
-    ends = []
-    at = 0
-    step = 1 << 22
-    for a in range(0, n, step):
-        lo = max(0, a - GEAR + 1)
-        h = kernels.gear(text[lo : min(a + step, n)], GEAR)[a - lo :]
-        # the last GEAR bytes decide, so places before GEAR bytes of the text are no cuts
-        c = np.flatnonzero(h < np.uint32(2**32 // mean)) + a + 1
-        c = c[(c >= GEAR) & (c < n)]
-        c = c[(text[c] & 0xC0) != 0x80]
-        for x in c.tolist():
-            while x - at > most:
-                at = _whole(text, at + most)
-                ends.append(at)
-            if x - at >= least:
-                ends.append(x)
-                at = x
-    while n - at > most:
-        at = _whole(text, at + most)
-        ends.append(at)
-    ends.append(n)
-    return np.array(ends, np.int64)
-
-
-def _whole(text: np.ndarray, x: int) -> int:
-    while (text[x] & 0xC0) == 0x80:
-        x -= 1
-    return x
-
-
-def chunks(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs without the text, plus chunks: an array of (digest, start, size) in bytes. Null and empty texts have none."""
-    rows = docs.drop("chunks") if text_col != "chunks" else docs
-    own = [f for f in rows.schema.fields if f.name != text_col]
+U = np.uint64
+#: Bytes that a cut depends on, and about the mean, the least and the greatest distance of cuts. A passage of 50 words has some twelve.
+GEAR, MEAN, LEAST, MOST = 32, 20, 4, 512
+#: Distances between cuts that make a chunk.
+SPAN = 3
+#: Bits of the filter of repeated chunks: 16 MB whatever the corpus. Past its capacity it only lets more chunks by.
+FILTER_BITS = 1 << 27
+
+
+def cuts(data: np.ndarray, off: np.ndarray, mean: int = MEAN, least: int = LEAST, most: int = MOST) -> np.ndarray:
+    """Cuts of all texts of a column, ascending; each text's end is one. A cut never falls inside a character.
+
+    Whether a place is a cut is told by the bytes just before it: its gear hash, and that no other place within ``least`` bytes
+    before has such a hash. Only distances over ``most`` bytes are cut evenly. Texts are worked on in segments.
+    """
+    n = int(off[-1])
+    marks, threshold = [], np.uint32(2**32 // mean)
+    for a in range(0, n, kernels.SEGMENT):
+        lo, hi = max(0, a - GEAR + 1), min(a + kernels.SEGMENT, n)
+        marks.append(np.flatnonzero(kernels.gear(data[lo:hi], GEAR)[a - lo :] < threshold) + (a + 1))
+    c = np.concatenate(marks) if marks else np.zeros(0, np.int64)
+    c = c[c < n]
+    # the last GEAR bytes decide, so there is no cut in the first of a text
+    start = off[np.searchsorted(off, c, "right") - 1]
+    c = c[c - start >= GEAR]
+    c = c[np.concatenate(([True], np.diff(c) >= least))] if len(c) else c
+    ends = np.union1d(c, off[1:][np.diff(off) > 0])
+    size = np.diff(ends, prepend=0)
+    long = np.flatnonzero(size > most)
+    if len(long):
+        parts = -(-size[long] // most) - 1
+        first = np.repeat(ends[long] - size[long], parts)
+        step = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts) + 1
+        ends = np.union1d(ends, first + step * most)
+    while len(inside := np.flatnonzero((ends < n) & ((data[np.minimum(ends, n - 1)] & 0xC0) == 0x80))):
+        ends[inside] -= 1
+    return np.unique(ends)
+
+
+def part_hashes(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes before each cut, for the filter only."""
+    out, starts = np.zeros(len(ends), U), np.concatenate(([0], ends[:-1])) if len(ends) else ends
+    i = 0
+    while i < len(ends):
+        a = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, a + kernels.SEGMENT, "right")))
+        d = data[a : int(ends[j - 1])]
+        c = kernels._BYTE[d] * kernels._power("up", len(d))[: len(d)]
+        total = np.add.accumulate(c)
+        s, e = starts[i:j] - a, ends[i:j] - a
+        out[i:j] = kernels.mix((total[e - 1] - total[s] + c[s]) * kernels._power("down", len(d))[s] + (e - s).astype(U) * U(0xD6E8FEB86659FD93))
+        i = j
+    return out
+
+
+def spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end, text and 64-bit hash of each chunk of a column's texts. A text of fewer than SPAN parts is one chunk."""
+    ends = cuts(data, off)
+    begins = np.concatenate(([0], ends[:-1])).astype(np.int64)[: len(ends)]
+    h = part_hashes(data, ends)
+    first = np.searchsorted(begins, off)
+    parts = np.diff(first)
+    n = np.where(parts >= SPAN, parts - SPAN + 1, parts > 0)
+    text = np.repeat(np.arange(len(n)), n)
+    at = first[text] + np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+    last = np.minimum(at + SPAN, first[text + 1]) - 1
+    whole = kernels.grams(h, SPAN)
+    out = np.zeros(len(at), U)
+    full = last - at == SPAN - 1
+    out[full] = whole[at[full]]
+    for k in np.flatnonzero(~full).tolist():
+        out[k] = kernels.sequence(h[at[k] : last[k] + 1])[0]
+    return begins[at], ends[last] if len(at) else at, text, out
+
+
+def _repeated_filter(texts: DataFrame) -> np.ndarray:
+    """Bits (packed, FILTER_BITS in all) set for the hashes that occur more than once in the corpus."""
+
+    def count(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            data, off = kernels.column(batch, "text")
+            h, n = np.unique(spans(data, off)[3], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+
+    twice = texts.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
+    bit = F.pmod("h", F.lit(FILTER_BITS))
+    packed = twice.groupBy(F.call_function("div", bit, F.lit(32768).cast("long")).alias("bucket")).agg(F.bitmap_construct_agg(F.pmod(bit, F.lit(32768))).alias("bits"))
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in packed.toLocalIterator():  # at most FILTER_BITS / 32768 rows of 4 KB
+        out[r["bucket"] * 4096 : (r["bucket"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out
+
+
+def chunks(docs: DataFrame, text_col: str = "text", among: np.ndarray | None = None) -> DataFrame:
+    """docs without the text, plus n_chunks and chunks: an array of (digest, start, size) in bytes, of those in the filter only where one is given. Null and empty texts have none."""
+    own = [f for f in docs.schema.fields if f.name != text_col and f.name not in ("chunks", "n_chunks")]
     item = pa.struct([("digest", pa.binary()), ("start", pa.int64()), ("size", pa.int32())])
+    bits = docs.sparkSession.sparkContext.broadcast(among) if among is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             data, off = kernels.column(batch, text_col)
+            begins, ends, text, h = spans(data, off)
+            keep = np.arange(len(ends))
+            if bits is not None:
+                h = h % U(FILTER_BITS)
+                keep = np.flatnonzero((bits.value[(h >> U(3)).astype(np.int64)] >> (h & U(7)).astype(np.uint8)) & 1)
             raw = data.tobytes()
-            digests, starts, sizes, first = [], [], [], [0]
-            done = 0
-            for k, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist())):
-                e = cuts(data[a:b])
-                s = np.concatenate(([0], e[:-1])) if len(e) else e
-                digests += [xxhash.xxh3_128_digest(raw[a + x : a + y]) for x, y in zip(s.tolist(), e.tolist())]
-                starts.append(s)
-                sizes.append(e - s)
-                first.append(first[-1] + len(e))
-                if len(digests) > 200_000 or k + 1 == batch.num_rows:
-                    flat = pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.array(np.concatenate(starts).astype(np.int64)), pa.array(np.concatenate(sizes).astype(np.int32))], fields=list(item))
-                    cols = [batch.column(batch.schema.get_field_index(f.name)).slice(done, k + 1 - done) for f in own]
-                    yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(first, pa.int32()), flat)], [*[f.name for f in own], "chunks"])
-                    digests, starts, sizes, first, done = [], [], [], [0], k + 1
-
-    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own), "chunks array<struct<digest:binary,start:long,size:int>>"])
-    return rows.mapInArrow(run, ddl)
+            digests = [xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(begins[keep].tolist(), ends[keep].tolist())]
+            flat = pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.array(begins[keep] - off[text[keep]]), pa.array((ends[keep] - begins[keep]).astype(np.int32))], fields=list(item))
+            at = np.searchsorted(text[keep], np.arange(batch.num_rows + 1)).astype(np.int32)
+            total = np.bincount(text, minlength=batch.num_rows)
+            cols = [batch.column(batch.schema.get_field_index(f.name)) for f in own]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(total.astype(np.int64)), pa.ListArray.from_arrays(pa.array(at), flat)], [*[f.name for f in own], "n_chunks", "chunks"])
+
+    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own), "n_chunks long, chunks array<struct<digest:binary,start:long,size:int>>"])
+    return docs.mapInArrow(run, ddl)
 
 
 def _runs(spans: Column) -> Column:
@@ -99,11 +151,13 @@ def _runs(spans: Column) -> Column:
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_bytes: int = 100) -> DataFrame:
     """One row per row of docs: id, n_chunks, n_repeated, n_removed, repeated, repeat_spans and removed_spans (arrays of byte spans).
 
-    A chunk is repeated when its digest occurs more than once in the corpus. Neighbouring repeated chunks make a span;
+    A chunk is repeated when its digest occurs more than once in the corpus. Repeated chunks that overlap or touch make a span;
     spans of at least least_bytes count (``repeated`` tells whether there are any). Of each digest the occurrence with the smallest
     (id, start) is its home and stays; ``removed_spans`` joins the others that lie in counted spans. Null and empty texts have none; null ids come after others.
     """
-    cut = stage(chunks(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).withColumn("rid", F.monotonically_increasing_id()), "chunks")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    # a first pass over hashes alone leaves few chunks to be shuffled with digest and place
+    cut = stage(chunks(texts, among=_repeated_filter(texts)).withColumn("rid", F.monotonically_increasing_id()), "chunks")
     flat = cut.select("rid", "id", F.explode("chunks").alias("c")).select("rid", "id", "c.*")
     order = F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("id"), F.col("rid").alias("rid"), F.col("start").alias("start"))
     homes = stage(flat.groupBy("digest").agg(F.count("*").alias("n"), F.min(order).alias("home")).where("n > 1").select("digest", F.col("home.rid").alias("home_rid"), F.col("home.start").alias("home_start")), "chunk-homes")
@@ -116,7 +170,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     inside = F.filter("_away", lambda s: F.exists("repeat_spans", lambda r: (r["start"] <= s["start"]) & (s["end"] <= r["end"])))
     per = per.select("rid", "repeat_spans", F.size("_all").cast("long").alias("n_repeated"), F.size(inside).cast("long").alias("n_removed"), _runs(inside).alias("removed_spans"))
     none = F.array().cast("array<struct<start:long,end:long>>")
-    out = cut.select("rid", "id", F.size("chunks").cast("long").alias("n_chunks")).join(per, "rid", "left")
+    out = cut.select("rid", "id", "n_chunks").join(per, "rid", "left")
     return out.select(
         F.col("id").alias(id_col), "n_chunks", F.coalesce("n_repeated", F.lit(0).cast("long")).alias("n_repeated"), F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
         (F.size(F.coalesce("repeat_spans", none)) > 0).alias("repeated"), F.coalesce("repeat_spans", none).alias("repeat_spans"), F.coalesce("removed_spans", none).alias("removed_spans"),
