@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spacemill.llm import chunk_dedup, decontaminate, exact_dedup, near_dedup, pii, secret_scan, sharding, toxicity, warc
-from spacemill.llm.common import new_path
+from spacemill.llm import chunk_dedup, decontaminate, exact_dedup, near_dedup, oracle, pii, secret_scan, sharding, toxicity, warc
+from spacemill.llm.common import new_path, stage
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("links")
 
 
 def op2_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,8 +57,6 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write_warc(table(spark, sf_dir, "pages"), path)
-    from spacemill.llm.common import stage
-
     records = stage(warc.read_warc(spark, path, payload=False), "warc-records")
     return warc.revisits_resolved(warc.assemble(records))
 
@@ -69,4 +67,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_minhash_near_dedup": oracle.OP1, "op3_decontamination": oracle.OP3, "op6_exact_dedup": oracle.OP6, "op10_warc": oracle.OP10}
