@@ -254,8 +254,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_entries:
     rows = _hits_of(sample, model)
     seen: dict[tuple[int, bool], list[set[int]]] = {}
     for d, (y, found) in enumerate(rows):
-        for entry, edits, *_ in found:
-            seen.setdefault((entry, edits > 0), [set(), set()])[y].add(d)
+        for entry, edits, quoted, _ in found:
+            if not quoted:  # what a quotation is worth is for the regression to tell
+                seen.setdefault((entry, edits > 0), [set(), set()])[y].add(d)
     odds = lambda key: math.log((len(seen[key][1]) + 0.5) / (pos + 1)) - math.log((len(seen[key][0]) + 0.5) / (neg + 1)) if key in seen else None
     weights = []
     for i, (text, is_stem, k) in enumerate(entries):
@@ -287,7 +288,7 @@ def _hits_of(sample: DataFrame, model: Model) -> list[tuple[int, list[tuple[int,
     return [(r["y"], [tuple(h) for h in r["hits"]]) for r in got]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, strength: float = 1.0) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, strength: float = 0.1) -> np.ndarray:
     """Newton's method on the logistic loss, with a Gaussian prior around ``prior`` (looser for the constant)."""
     b, keep = prior.copy(), np.array([0.01, *[strength] * (len(prior) - 1)])
     for _ in range(30):
