@@ -1,4 +1,4 @@
-"""The ten queries of this package, with the production parameters, and their SQL where SQL can express them."""
+"""The queries of this package, with the production parameters, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spacemill.llm import chunk_dedup, decontaminate, exact_dedup, near_dedup, oracle, pii, secret_scan, sharding, toxicity, warc
+from spacemill.llm import chunk_dedup, decontaminate, exact_dedup, mixing, near_dedup, oracle, pii, secret_scan, sharding, toxicity, warc
 from spacemill.llm.common import new_path, stage
 
 
@@ -50,6 +50,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op8_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "mix_slot", "mix_place")
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -62,7 +66,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_minhash_near_dedup, op2_jump_sharding, op3_decontamination, op4_secret_scan, op5_substring_dedup, op6_exact_dedup, op7_toxicity, op9_pii, op10_warc)
+    found = (op1_minhash_near_dedup, op2_jump_sharding, op3_decontamination, op4_secret_scan, op5_substring_dedup, op6_exact_dedup, op7_toxicity, op8_pfair_mixing, op9_pii, op10_warc)
     return {f.__name__: f for f in found}
 
 
