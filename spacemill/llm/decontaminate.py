@@ -21,8 +21,8 @@ from spacemill.llm import kernels
 from spacemill.llm.common import SALTS, salt_of, stage
 
 U = np.uint64
-#: Terms and windows up to which a table is broadcast; beyond, it is shuffled with salts.
-BROADCAST_ROWS = 500_000
+#: Terms and windows up to which they are sent to every task (some 40 MB); beyond, they are joined on term and salt.
+BROADCAST_ROWS = 100_000
 
 
 def _signed(h: np.ndarray) -> np.ndarray:
@@ -90,13 +90,14 @@ def anchors(wins: DataFrame, freq: DataFrame, rarest: int = 3) -> DataFrame:
 def build_index(docs: DataFrame, lists: np.ndarray | None, rarest: np.ndarray | None, reach: int, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """The stored index, and the document table (rid, n_words and the columns of docs but for the text).
 
-    Index rows: term, salt, rid, pos, around. All occurrences of the terms in ``lists`` (sorted hashes; None: all
-    terms) are there, with the ``reach`` terms on both sides, 0 beyond an end, where the term is in ``rarest``.
-    It is stored clustered and sorted by term, a frequent term over SALTS parts.
+    Index rows: term, salt, rid, pos, around. The terms in ``rarest`` (sorted hashes; None: all terms) have all their occurrences,
+    each with the ``reach`` terms on both sides in ``around`` (8 bytes each, 0 beyond an end). Further terms in ``lists`` have
+    those within reach of one of them, since a window without its rarest term is none. The index is stored
+    clustered and sorted by term, a frequent term over SALTS parts.
     """
     own = [f for f in docs.schema.fields if f.name != text_col and f.name not in ("n_words", "postings", "rid")]
     names = [f.name for f in own]
-    posting = pa.list_(pa.struct([("term", pa.int64()), ("pos", pa.int32()), ("around", pa.list_(pa.int64()))]))
+    posting = pa.list_(pa.struct([("term", pa.int64()), ("pos", pa.int32()), ("around", pa.binary())]))
 
     def member(sorted_terms: np.ndarray | None, h: np.ndarray) -> np.ndarray:
         if sorted_terms is None:
@@ -111,88 +112,103 @@ def build_index(docs: DataFrame, lists: np.ndarray | None, rarest: np.ndarray |
             doc = np.repeat(np.arange(batch.num_rows), np.diff(first))
             at = np.flatnonzero(member(lists, h))
             rare = member(rarest, h[at])
+            p = at[rare]
+            near = np.zeros(len(h) + 1, np.int32)
+            np.add.at(near, np.maximum(p - reach, first[doc[p]]), 1)
+            np.add.at(near, np.minimum(p + reach + 1, first[doc[p] + 1]), -1)
+            keep = np.cumsum(near)[at] > 0
+            at, rare = at[keep], rare[keep]
             i = at[rare][:, None] + np.arange(-reach, reach + 1)[None, :]
             inside = (i >= 0) & (i < len(h))
             i = np.clip(i, 0, max(len(h) - 1, 0))
             ctx = np.where(inside & (doc[i] == doc[at[rare]][:, None]), h[i], U(0)).astype(U) if len(h) else np.zeros((0, 2 * reach + 1), U)
             ends = np.zeros(len(at) + 1, np.int32)
-            np.cumsum(rare * (2 * reach + 1), out=ends[1:])
-            around = pa.ListArray.from_arrays(pa.array(ends), pa.array(_signed(ctx.reshape(-1))))
+            np.cumsum(rare * ((2 * reach + 1) * 8), out=ends[1:])
+            around = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(ctx))])
             flat = pa.StructArray.from_arrays([pa.array(_signed(h[at])), pa.array((at - first[doc[at]]).astype(np.int32)), around], fields=list(posting.value_type))
             per = np.searchsorted(doc[at], np.arange(batch.num_rows + 1)).astype(np.int32)
             cols = [batch.column(batch.schema.get_field_index(c)) for c in names]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(np.diff(first)), pa.ListArray.from_arrays(pa.array(per), flat)], [*names, "n_words", "postings"])
 
-    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own), "n_words long, postings array<struct<term:long,pos:int,around:array<long>>>"])
+    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own), "n_words long, postings array<struct<term:long,pos:int,around:binary>>"])
     per_doc = stage(docs.select(*names, text_col).mapInArrow(run, ddl).withColumn("rid", F.monotonically_increasing_id()), "decontaminate-docs")
     rows = per_doc.select("rid", F.explode("postings").alias("p")).select("p.term", salt_of("rid").alias("salt"), "rid", "p.pos", "p.around")
     index = stage(rows.repartition("term", "salt").sortWithinPartitions("term", "rid", "pos"), "decontaminate-index")
     return index, per_doc.drop("postings")
 
 
-def _intersect(postings: list[tuple], want: dict, slop: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Of one document's postings (term, pos, around) and the windows sought by each term: exact (window, start, size) and near matches."""
-    starts: dict[int, list[list[int]]] = {}
-    ctx: dict[int, list] = {}
+def _intersect(postings: list[tuple], uses: dict, wins: dict, slop: int) -> tuple[list[tuple], list[tuple]]:
+    """Of one document's postings (term, pos, around): exact (window, start) and near matches.
+
+    uses: term to (window, rank, offset); wins: window to (its terms as bytes, number of anchors, items).
+    """
+    starts: dict = {}
+    ctx: dict = {}
     for term, pos, around in postings:
-        for key, rank, offset in want[term]["uses"]:
-            w = want["windows"][key]
-            lists = starts.setdefault(key, [[] for _ in range(w["anchors"])])
-            lists[rank].append(pos - offset)
+        for key, rank, offset in uses.get(term, ()):
+            starts.setdefault(key, [[] for _ in range(wins[key][1])])[rank].append(pos - offset)
             if rank == 0:
                 ctx[key, pos - offset] = (around, offset)
     exact, near = [], []
     for key, lists in starts.items():
-        w = want["windows"][key]
         if not all(lists):
             continue
         both = set(lists[0]).intersection(*lists[1:])
+        terms = wins[key][0]
         for s in both:
             around, offset = ctx[key, s]
-            reach = len(around) // 2
-            if around[reach - offset : reach - offset + len(w["terms"])] == w["terms"]:
-                exact.append((key, s, len(w["terms"])))
+            a = len(around) // 16 * 8 - offset * 8
+            if around[a : a + len(terms)] == terms:
+                exact.append((key, s))
         if slop:
             others = [np.sort(np.array(x)) for x in lists[1:]]
             for s in set(lists[0]) - both:
                 if all(len(o) and np.abs(o[np.clip([np.searchsorted(o, s) - 1, np.searchsorted(o, s)], 0, len(o) - 1)] - s).min() <= slop for o in others):
-                    near.append((key, s, len(w["terms"])))
+                    near.append((key, s))
     return exact, near
 
 
+def _window_tables(rows: list) -> tuple[dict, dict]:
+    """(uses, wins) of _intersect from rows of (window, terms, anchors, items)."""
+    uses: dict = {}
+    wins: dict = {}
+    for window, terms, anchors_, items in rows:
+        raw = np.array(terms, np.int64).tobytes()
+        key = (window, raw)
+        if key not in wins:
+            wins[key] = (raw, len(anchors_), list(items))
+            for rank, (_, offset, term) in enumerate(anchors_):
+                uses.setdefault(term, []).append((key, rank, offset))
+    return uses, wins
+
+
 def matches(index: DataFrame, sought: DataFrame, slop: int = 0, broadcast: bool = True) -> DataFrame:
     """rid, window, start, size, exact, items: exact phrase occurrences, and with a slop proximity matches (exact false), in which each anchor is at most slop words off its place.
 
-    Sought windows come from anchors(). Lists of a term meet its windows by a broadcast of checked size or by a join on (term, salt);
-    a document's shifted lists then meet in one place, bounded by the document's own length.
+    Sought windows come from anchors(). Where their number was checked they are sent to the tasks; else the lists meet them by a
+    join on (term, salt). A document's shifted lists then meet in one place, bounded by the document's own length.
     """
-    used = sought.select(F.col("window"), F.col("terms"), "items", F.size("anchors").alias("n"), F.posexplode("anchors").alias("rank", "a"))
-    by_term = used.groupBy(F.col("a.term").alias("term")).agg(F.collect_list(F.struct("window", "terms", "items", "n", "rank", F.col("a.offset").alias("offset"))).alias("uses"))
+    kind = pa.schema([("rid", pa.int64()), ("window", pa.int64()), ("start", pa.int32()), ("size", pa.int32()), ("exact", pa.bool_()), ("items", pa.list_(pa.string()))])
+    posting = F.struct("term", "pos", "around")
     if broadcast:
-        met = index.join(F.broadcast(by_term), "term")
+        rows = [(r["window"], r["terms"], [tuple(a) for a in r["anchors"]], r["items"]) for r in sought.select("window", "terms", "anchors", "items").collect()]
+        sent = index.sparkSession.sparkContext.broadcast(_window_tables(rows))
+        per_doc = index.groupBy("rid").agg(F.collect_list(posting).alias("postings"))
     else:
+        sent = None
+        by_term = sought.select(F.struct("window", "terms", "anchors", "items").alias("w"), F.explode("anchors.term").alias("term")).groupBy("term").agg(F.collect_list("w").alias("wins"))
         salted = by_term.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         met = index.join(salted, ["term", "salt"])
-    per_doc = met.groupBy("rid").agg(F.collect_list(F.struct("term", "pos", "around", F.transform("uses", lambda u: F.struct(u["window"].alias("window"), u["terms"].alias("terms"), u["n"].alias("n"), u["rank"].alias("rank"), u["offset"].alias("offset"), u["items"].alias("items"))).alias("uses"))).alias("postings"))
-    kind = pa.schema([("rid", pa.int64()), ("window", pa.int64()), ("start", pa.int32()), ("size", pa.int32()), ("exact", pa.bool_()), ("items", pa.list_(pa.string()))])
+        per_doc = met.groupBy("rid").agg(F.collect_list(posting).alias("postings"), F.flatten(F.collect_set("wins")).alias("wins"))
 
     def run(batches):
         for batch in batches:
             out = []
-            for rid, row in zip(batch.column(0).to_pylist(), batch.column(1)):
-                want: dict = {"windows": {}}
-                postings = []
-                for p in row.as_py():
-                    if p["term"] not in want:
-                        uses = []
-                        for u in p["uses"]:
-                            key = (u["window"], tuple(u["terms"]))
-                            want["windows"][key] = {"terms": u["terms"], "anchors": u["n"], "items": u["items"]}
-                            uses.append((key, u["rank"], u["offset"]))
-                        want[p["term"]] = {"uses": uses}
-                    postings.append((p["term"], p["pos"], p["around"]))
-                for exact, found in zip((True, False), _intersect(postings, want, slop)):
-                    out += [{"rid": rid, "window": k[0], "start": s, "size": n, "exact": exact, "items": want["windows"][k]["items"]} for k, s, n in found]
+            for n, (rid, row) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
+                uses, wins = sent.value if sent else _window_tables([(w["window"], w["terms"], [tuple(a.values()) for a in w["anchors"]], w["items"]) for w in batch.column(2)[n].as_py()])
+                found = _intersect([tuple(p.values()) for p in row.as_py()], uses, wins, slop)
+                for exact, hits in zip((True, False), found):
+                    out += [{"rid": rid, "window": k[0], "start": s, "size": len(k[1]) // 8, "exact": exact, "items": wins[k][2]} for k, s in hits]
                 if len(out) > 10_000:
                     yield pa.RecordBatch.from_pylist(out, kind)
                     out = []
@@ -203,7 +219,7 @@ def matches(index: DataFrame, sought: DataFrame, slop: int = 0, broadcast: bool
 
 
 def find(docs: DataFrame, items: DataFrame, size: int = 10, rarest: int = 3, slop: int = 0, text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
-    """(document table with rid and n_words, matches). Tables of the benchmark are broadcast up to broadcast_rows rows and shuffled beyond.
+    """(document table with rid and n_words, matches). The benchmark's terms and windows are sent to every task up to broadcast_rows of them, and joined beyond.
 
     Null and empty texts have no words and no matches; a null item id is no item; equal items share windows.
     """
@@ -219,7 +235,7 @@ def find(docs: DataFrame, items: DataFrame, size: int = 10, rarest: int = 3, slo
     small = few and sought.count() <= broadcast_rows
     lists = as_array(sought.select(F.explode("anchors.term")).distinct()) if small else None
     first = as_array(sought.select(F.col("anchors")[0]["term"]).distinct()) if small else None
-    index, table = build_index(docs, lists, first, size - 1, text_col)
+    index, table = build_index(docs, lists, first, size - 1 + slop, text_col)
     return table, matches(index, sought, slop, small)
 
 
