@@ -53,19 +53,21 @@ def lookup(left: DataFrame, right: DataFrame, key: str, salt: str, how: str = "l
     A key with a third of all rows is met by SALTS tasks rather than one: the (key, salt) pairs that
     exist are found with map-side combining, take their row of right, and left joins on both columns.
     """
-    pairs = left.select(key, salt).where(F.col(key).isNotNull()).distinct()
+    pairs = left.select(key, salt).distinct()
     return left.join(pairs.join(right, key), [key, salt], how)
 
 
-def numbered(df: DataFrame, group: str, order: list[Column], slot: str, blocks: int, block_by: list[Column], weigh: Column | None = None, before: str = "before") -> DataFrame:
+def numbered(df: DataFrame, group: str, order: list[Column], slot: str, blocks: int, block_by: list[Column], weigh: Column | None = None, before: str = "before", block: Column | None = None) -> DataFrame:
     """Adds gapless numbers from 0 within each group, without a task that holds a whole group.
 
     Rows go to ``blocks`` blocks by a hash of block_by; a block's first number is the sum of the counts of
-    the blocks before it, from a table of at most groups x blocks rows. With weigh, ``before`` is the sum
+    the blocks before it, from a table of at most groups x blocks rows. A given ``block`` column deals the rows instead, and its
+    order is that of the numbers. With weigh, ``before`` is the sum
     of weigh over the rows numbered before.
     """
     w = F.lit(0).cast("long") if weigh is None else weigh
-    df = df.withColumns({"_block": F.pmod(F.xxhash64(*block_by), F.lit(blocks)).cast("int"), "_weigh": w})
+    dealt = F.pmod(F.xxhash64(*block_by), F.lit(blocks)).cast("int") if block is None else block
+    df = df.withColumns({"_block": dealt, "_weigh": w})
     sums = df.groupBy(group, "_block").agg(F.count("*").alias("_n"), F.sum("_weigh").alias("_sum"))
     upto = W.partitionBy(group).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     first = sums.select(

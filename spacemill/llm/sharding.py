@@ -17,11 +17,6 @@ MULTIPLIER, MODULUS = 2862933555777941757, 2**64
 STEPS = 48
 
 
-def _advance(key: str) -> str:
-    # 2**64 * MULTIPLIER is below 10**38, so decimals hold the product
-    return f"cast(({key} * {MULTIPLIER} + 1) % {MODULUS} as decimal(20,0))"
-
-
 def jump(key: Column, shards: int) -> Column:
     """struct(shard, grown): the shard of an integral key among ``shards``, and among one more. A null key counts as 0."""
     limit = shards + 1
@@ -47,13 +42,13 @@ def jump(key: Column, shards: int) -> Column:
     return F.struct(out.b.cast("int").alias("shard"), out.g.cast("int").alias("grown"))
 
 
-def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", order_by: list[Column] | None = None, blocks: int = 256) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", sequence: tuple[str, str] | None = None, blocks: int = 256) -> DataFrame:
     """All columns of docs plus size, text_crc32, law ('key'), shard, slot and grown_shard.
 
     The integral id alone decides the shard (null counts as id 0). ``size`` is the text's UTF-8 bytes plus 8,
     ``text_crc32`` its unsigned CRC-32; a null text has no bytes. ``slot`` numbers a shard's rows from 0 without
-    gaps, block by block of an id and text hash (or wholly by order_by), ties in any order; equal rows are
-    interchangeable. Columns of docs with the same names are replaced. An empty table gives no rows.
+    gaps, block by block of an id and text hash, ties in any order; equal rows are interchangeable. With ``sequence``, the names of
+    two columns that are not given back, it follows their order: rows of one value of the first are numbered together, by the second. Columns of docs with the same names are replaced. An empty table gives no rows.
     """
     names = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
     octets = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
@@ -65,4 +60,6 @@ def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
     })
     out = out.withColumns({"shard": F.col("_jump.shard"), "grown_shard": F.col("_jump.grown")}).drop("_jump")
     by = [F.col(id_col), F.col("text_crc32"), F.col("size")]
-    return numbered(out, "shard", [*(order_by or []), *by], "slot", blocks, by)
+    if sequence:
+        return numbered(out, "shard", [F.col(sequence[1]), *by], "slot", blocks, by, block=F.col(sequence[0])).drop(*sequence)
+    return numbered(out, "shard", by, "slot", blocks, by)

@@ -37,6 +37,19 @@ def test_run_is_the_plain_pipeline(spark, sf, result):
         assert slots == list(range(len(slots)))
 
 
+def test_slots_follow_the_mix(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    mixed = mixing.mix(docs)
+    place = {r["doc_id"]: (r["mix_slot"], r["mix_place"]) for r in mixed.collect()}
+    cp.mixing_stage(spark, docs, sf).write.parquet(f"{tmp_path}/mixed")
+    by = {}
+    for r in cp.sharding_stage(spark, spark.read.parquet(f"{tmp_path}/mixed"), sf).collect():
+        by.setdefault(r["shard"], []).append((r["slot"], place[r["doc_id"]]))
+    assert sum(map(len, by.values())) == len(place)
+    assert all([p for _, p in sorted(x)] == sorted(p for _, p in x) for x in by.values())
+    assert cp.sharding_stage(spark, spark.createDataFrame(docs.limit(20).collect(), docs.schema), sf).count() == 20
+
+
 def earliest_deadline_first(p, slots):
     """Blocks served slot by slot, without any use of the period."""
     total = sum(p.values())
