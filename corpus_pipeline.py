@@ -7,13 +7,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spacemill.llm import decontaminate, mixing, near_dedup, sharding, toxicity
 from spacemill.llm.common import stage as staged
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 SHARDS = 24
+#: Ids of dropped documents up to which they are broadcast (8 MB); beyond, they are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the ids in gone; a null id is never gone."""
+    gone = staged(gone.distinct(), "pipeline-gone")
+    small = gone.count() <= BROADCAST_IDS
+    return docs.select(*COLUMNS).join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,14 +34,13 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest doc_id, of each component of near-duplicates."""
-    kept = near_dedup.near_duplicates(docs).where("kept").select("doc_id")
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    return without(docs, near_dedup.near_duplicates(docs).where("not kept").select("doc_id"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any occurrence of a benchmark window."""
     marked = decontaminate.decontaminate(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.select(*COLUMNS).join(marked.where("contaminated").select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
+    return without(docs, marked.where("contaminated").select("doc_id"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +49,15 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their shard by jump hashing; slots number a shard's documents without gaps."""
-    return sharding.shard_documents(docs.select(*COLUMNS), SHARDS)
+    """Documents with their shard by jump hashing; slots number a shard's documents without gaps, in the order of the mix.
+
+    That order is the part files' and the rows' in them. Where docs is not read from files, slots go by id and text.
+    """
+    try:
+        ordered = docs.select(*COLUMNS, F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    except AnalysisException:
+        return sharding.shard_documents(docs.select(*COLUMNS), SHARDS)
+    return sharding.shard_documents(ordered, SHARDS, sequence=("_file", "_row"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
