@@ -22,31 +22,22 @@ def neighbours(df: DataFrame, key: str = "k") -> DataFrame:
     return df.select(key, "start", "len", *[c.alias(n) for n, c in names.items()])
 
 
-def _beside(extents: DataFrame, probes: DataFrame, key: str, at: str, of: str, forward: bool, inclusive: bool) -> DataFrame:
-    """For each probe the nearest extent by the order (of, then start) on one side of its value ``at``; columns x_start, x_len."""
-    a = extents.select(F.col(key), F.col(of).alias("_at"), F.lit(1).alias("_extent"), F.struct("start", "len").alias("_x"), F.lit(None).cast("long").alias("_id"))
+def previous(extents: DataFrame, probes: DataFrame, key: str = "k", at: str = "addr", inclusive: bool = False) -> DataFrame:
+    """As-of backward: id, key, ``at``, x_start and x_len of the last extent that starts before (or at) each probe.
+
+    Extents and probes are sorted together once and a running ``last`` carries the extent along, so there is no range join.
+    """
+    a = extents.select(F.col(key), F.col("start").alias("_at"), F.lit(1).alias("_extent"), F.struct("start", "len").alias("_x"), F.lit(None).cast("long").alias("_id"))
     p = probes.select(F.col(key), F.col(at).alias("_at"), F.lit(0).alias("_extent"), F.lit(None).cast(a.schema["_x"].dataType).alias("_x"), F.col("id").cast("long").alias("_id"))
-    # of equal values the extent comes so that an inclusive probe meets it and an exclusive one does not
-    tie = F.col("_extent").desc() if inclusive != forward else F.col("_extent").asc()
-    w = W.partitionBy(key).orderBy(F.col("_at"), tie, F.col("_x.start"))
-    if forward:
-        found = F.first("_x", ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing))
-    else:
-        found = F.last("_x", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
-    out = a.unionByName(p).withColumn("_found", found).where("_extent = 0")
+    # of equal places the extent comes first for an inclusive probe
+    tie = F.col("_extent").desc() if inclusive else F.col("_extent").asc()
+    w = W.partitionBy(key).orderBy(F.col("_at"), tie).rowsBetween(W.unboundedPreceding, -1)
+    out = a.unionByName(p).withColumn("_found", F.last("_x", ignorenulls=True).over(w)).where("_extent = 0")
     return out.select(F.col("_id").alias("id"), key, F.col("_at").alias(at), F.col("_found.start").alias("x_start"), F.col("_found.len").alias("x_len"))
 
 
-def previous(extents: DataFrame, probes: DataFrame, key: str = "k", at: str = "addr", inclusive: bool = False) -> DataFrame:
-    """As-of backward: the last extent that starts before (or at) each probe. One sort, no range join."""
-    return _beside(extents, probes, key, at, "start", False, inclusive)
-
-
 def following(extents: DataFrame, probes: DataFrame, key: str = "k", at: str = "addr") -> DataFrame:
-    """As-of forward: the first extent that starts after each probe.
-
-    The frame is that of a running last over the reversed order, so it is one pass.
-    """
+    """As-of forward: the first extent that starts after each probe, as the last one before it on the mirrored axis."""
     flipped = extents.select(key, (-F.col("start")).alias("start"), "len")
     back = previous(flipped, probes.withColumn(at, -F.col(at)), key, at)
     return back.select("id", key, (-F.col(at)).alias(at), (-F.col("x_start")).alias("x_start"), "x_len")
