@@ -10,10 +10,10 @@ from spacemill.sources import config as cf
 from spacemill.sources import tables as t
 
 
-@query("a_f13_error_text", "select p_partkey, cast(p_partkey % 18 as integer) as code, " + cf.error_sql("p_partkey % 18", "name") + " as name, " + cf.error_sql("p_partkey % 18", "message") + " as message from part")
+@query("a_f13_error_text", "select p_partkey, cast(p_partkey % 5 * 256 + p_partkey % 18 as integer) as code, " + cf.error_sql("p_partkey % 5 * 256 + p_partkey % 18", "name") + " as name, " + cf.error_sql("p_partkey % 5 * 256 + p_partkey % 18", "message") + " as message from part")
 def error_text(spark, sf):
     """Names and messages of error codes; unknown codes have none."""
-    p = t.read(spark, sf, "part").select("p_partkey", F.pmod("p_partkey", F.lit(18)).cast("int").alias("code"))
+    p = t.read(spark, sf, "part").select("p_partkey", (F.pmod("p_partkey", F.lit(5)) * 256 + F.pmod("p_partkey", F.lit(18))).cast("int").alias("code"))
     return p.join(F.broadcast(cf.error_codes(spark)), "code", "left").select("p_partkey", "code", "name", "message")
 
 

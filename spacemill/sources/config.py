@@ -7,12 +7,65 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-# General error codes, their names and messages.
+# Error codes, their names and messages.
 ERRORS = {
-    0x01: ("Generic", "GENERAL: Generic error"), 0x02: ("Outofmemory", "GENERAL: Out of memory"), 0x03: ("InvalidParameter", "GENERAL: Invalid parameter given"),
-    0x04: ("AlreadyInitialized", "GENERAL: Already initialized"), 0x09: ("NotImplemented", "GENERAL: Not implemented yet."), 0x08: ("Timeout", "GENERAL: Timeout."),
-    0x10: ("NotSupported", "GENERAL: Operation not supported."),
-}
+    0x0001: ("Generic", "GENERAL: Generic error"),
+    0x0002: ("Outofmemory", "GENERAL: Out of memory"),
+    0x0003: ("InvalidParameter", "GENERAL: Invalid parameter given"),
+    0x0004: ("AlreadyInitialized", "GENERAL: Already initialized"),
+    0x0005: ("BatchedError", "GENERAL: More than one errors observed"),
+    0x0006: ("DepedentModuleUnavailableInit", "GENERAL: A dependent module is not initialized yet. This implies a wrong initialization order in EnginePimpl."),
+    0x0007: ("DepedentModuleUnavailableUninit", "GENERAL: A dependent module is already uninitialized. This implies a wrong uninitialization order in EnginePimpl."),
+    0x0008: ("BeingShutdown", "GENERAL: The engine is being shutdown."),
+    0x0009: ("Timeout", "GENERAL: Timeout."),
+    0x000A: ("NotImplemented", "GENERAL: Not implemented yet."),
+    0x000B: ("SessionExpired", "GENERAL: The session has expired."),
+    0x000C: ("UserDefined", "GENERAL: User-defined error. The meaning of this error depends on the user code."),
+    0x000D: ("InternalError", "GENERAL: Other uncategorized errors."),
+    0x000E: ("OsMProtectFailed", "GENERAL: OS: mprotect() failed."),
+    0x000F: ("EnvPrescreenFailed", "GENERAL: Pre-screening of the environment detected an issue before start up. This is caused by a misconfiguration on the environment or the given parameters. See the console output for more detailed diagnostics."),
+    0x0010: ("NotSupported", "GENERAL: Operation not supported."),
+    0x0110: ("EngineInvalidOption", "ENGINE : Invalid Option"),
+    0x0201: ("FsAlreadyOpened", "FILESYS: Already opened"),
+    0x0202: ("FsFailedToOpen", "FILESYS: Failed to open a file"),
+    0x0203: ("FsFailedToClose", "FILESYS: Failed to close a file"),
+    0x0204: ("FsBadSeekInput", "FILESYS: Invalid arguments for seek()"),
+    0x0205: ("FsSeekFailed", "FILESYS: File seek failed"),
+    0x0206: ("FsBufferTooSmall", "FILESYS: File buffer is too small"),
+    0x0207: ("FsBufferNotAligned", "FILESYS: File buffer is not aligned"),
+    0x0208: ("FsTooShortRead", "FILESYS: Reached end of file before completing reads"),
+    0x0209: ("FsExcessRead", "FILESYS: Read more than expected"),
+    0x020A: ("FsWriteFail", "FILESYS: File write failed."),
+    0x020B: ("FsExcessWrite", "FILESYS: Wrote more than expected"),
+    0x020C: ("FsNotOpened", "FILESYS: File not opened yet or failed to open."),
+    0x020D: ("FsSyncFailed", "FILESYS: fsync() failed."),
+    0x020E: ("FsMkdirFailed", "FILESYS: Failed to create a directory"),
+    0x020F: ("FsTruncateFailed", "FILESYS: File truncation failed"),
+    0x0210: ("FsResultNotAligned", "FILESYS: Direct I/O operation resulted in non-aligned count of bytes. Filesyste bug?"),
+    0x0211: ("FsNameTooLong", "FILESYS: Pathname was too long."),
+    0x0212: ("FsStatFailed", "FILESYS: stat() failed."),
+    0x0213: ("FsUnlinkFailed", "FILESYS: unlink() failed."),
+    0x0214: ("FsSetxattrFailed", "FILESYS: Failed to write file extended attribute."),
+    0x0215: ("FsGetxattrFailed", "FILESYS: Failed to read file extended attribute."),
+    0x0216: ("FsUnknownFSType", "FILESYS: Unknown file system type"),
+    0x0217: ("FsNoDirectory", "FILESYS: Directory does not exist"),
+    0x0301: ("MemoryNoFreePages", "MEMORY : Not enough free volatile pages. Check the config of MemoryOptions"),
+    0x0302: ("MemoryDuplicateMapping", "MEMORY : Duplicate mapping in logical address space."),
+    0x0303: ("MemoryUnknownMapping", "MEMORY : Unknown mapping."),
+    0x0304: ("MemoryNumaUnavailable", "MEMORY : NUMA library is not available."),
+    0x0305: ("MemoryMapFailed", "MEMORY : Memory map failed."),
+    0x0306: ("MemoryUnmapFailed", "MEMORY : Memory unmap failed."),
+    0x0307: ("MemoryInvalidAddress", "MEMORY : Invalid address."),
+    0x0401: ("ConfParseFailed", "CONFIG : Config file parsing failed. This usually means an invalid YAML file."),
+    0x0402: ("ConfValueOutofrange", "CONFIG : Configuration value out of range."),
+    0x0403: ("ConfMissingElement", "CONFIG : The yaml element is missing in the config file."),
+    0x0404: ("ConfInvalidElement", "CONFIG : An invalid valud in the xml element."),
+    0x0405: ("ConfEmptyXml", "CONFIG : No root element in the xml."),
+    0x0406: ("ConfFileNotFound", "CONFIG : The file doesn't exist."),
+    0x0407: ("ConfCouldNotWrite", "CONFIG : Failed to write a configuration file."),
+    0x0408: ("ConfCouldNotRename", "CONFIG : Failed to atomically rename the temporary file to destination."),
+    0x0409: ("ConfMkdirsFailed", "CONFIG : Failed to create a directory. Check permissions."),
+}
 # Texts of operating-system error numbers.
 ERRNOS = {0: "Success", 1: "Operation not permitted", 2: "No such file or directory", 3: "No such process", 12: "Cannot allocate memory", 22: "Invalid argument"}
 
@@ -26,7 +79,8 @@ def errnos(spark: SparkSession) -> DataFrame:
 
 
 def error_sql(code: str, what: str) -> str:
-    return f"case {code} " + " ".join(f"when {c} then '{x[what == 'message']}'" for c, x in ERRORS.items()) + " end"
+    text = {c: x[what == "message"].replace("'", "''") for c, x in ERRORS.items()}
+    return f"case {code} " + " ".join(f"when {c} then '{x}'" for c, x in text.items()) + " end"
 
 
 def errno_sql(code: str) -> str:

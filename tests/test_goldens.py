@@ -43,6 +43,15 @@ def test_coalesce(spark, rows, want):
     assert m.by_start == want
 
 
+def test_coalesce_takes_in_all_it_covers(spark):
+    rows = [(0, 5), (10, 5), (20, 5), (4, 30)]
+    assert tuples(ex.coalesce(frame(spark, [(1, *r) for r in rows])), "start", "len") == [(0, 34)]
+    m = rp.FreeMap()
+    for r in rows:
+        m.free(*r)
+    assert m.by_start == [(0, 34)]
+
+
 def test_best_fit(spark):
     free = frame(spark, [(1, 30, 2), (1, 25, 3), (1, 0, 1)])
     asked = spark.createDataFrame([(1, n) for n in (0, 1, 2, 3, 4)], "k long, n long")
