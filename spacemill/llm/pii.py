@@ -18,6 +18,8 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # the look-behind only skips starts inside a digit run, at which no match can begin
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")
+# any address holds this; the literal dot in front makes it quick to look for
+_IP_HINT = re.compile(r"\.[0-9]++\.[0-9]")
 # shorter chains have too few digits, and chains are maximal
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9]){11,}")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
@@ -58,7 +60,7 @@ def detect(text: str) -> Iterator[Span]:
     """The base spans of a text, kind by kind."""
     if "@" in text:
         yield from emails(text)
-    if text.count(".") >= 3:
+    if _IP_HINT.search(text):
         for m in IP.finditer(text):
             if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
                 yield "ip", m.start(), m.end()
@@ -96,8 +98,24 @@ _DOT = re.compile(rf"(?<=[A-Za-z0-9]){_OPEN}(?:{_DOTS}|\.){_CLOSE}(?=[A-Za-z0-9]
 _NUMBER = rf"(?:{'|'.join(sorted(DIGIT_WORDS, key=len, reverse=True))})"
 _SPELLED = re.compile(rf"(?<![^\W_])(?:plus[\x20]+)?{_NUMBER}(?:[\x20.-]{{1,4}}(?:{_NUMBER}|[0-9]+)){{2,}}(?![^\W_])", re.I)
 _WORD = re.compile(rf"plus[\x20]+|{_NUMBER}", re.I)
-_HINT = re.compile(r"(?:at|arroba|ät|@)\s*[\])}>]|(?:dot|punkt|point|punto|\.)\s*[\])}>]|[ \t](?:dot|punkt|point|punto)[ \t]", re.I)
-_TWO_NUMBERS = re.compile(rf"(?<![^\W_]){_NUMBER}[\x20-]+{_NUMBER}[\x20-]+{_NUMBER}(?![^\W_])", re.I)
+_HINT = re.compile(rf"(?:{_ATS}|@)\s{{0,4}}[\])}}>]|(?:{_DOTS}|\.)\s{{0,4}}[\])}}>]|[ \t](?:{_DOTS})[ \t]", re.I)
+_BARE_DOTS = tuple(f"{a}{w}" for w in _DOTS.split("|") for a in " \t")
+_NUMBER_WORDS = tuple(DIGIT_WORDS)
+
+
+def _hints(text: str, low: str) -> bool:
+    """Whether at/dot disguises are worth looking for; substrings are looked for before patterns."""
+    return (any(c in text for c in "])}>") or any(w in low for w in _BARE_DOTS)) and bool(_HINT.search(text))
+
+
+def _numbers(low: str) -> bool:
+    """Whether three number words may stand in a row: the middle one is a word of its own."""
+    words = low.replace("-", " ").split() if "-" in low else low.split()
+    return any(
+        words[i - 1].endswith(_NUMBER_WORDS) and words[i + 1].startswith(_NUMBER_WORDS)
+        for i in [i for i, w in enumerate(words) if w in DIGIT_WORDS]
+        if 0 < i < len(words) - 1
+    )
 
 
 class Tape:
@@ -151,13 +169,15 @@ def _spelled(m: re.Match) -> str:
 
 def normalise(text: str) -> Tape | None:
     """The rewritten text with its source spans, or None where nothing is disguised."""
-    odd, hint, spelled = _ODD.search(text), _HINT.search(text), _TWO_NUMBERS.search(text)
+    low = text.lower()
+    odd = None if text.isascii() else _ODD.search(text)
+    hint, spelled = _hints(text, low), _numbers(low)
     if not (odd or hint or spelled):
         return None
     tape = Tape(text)
     if odd:
         tape.rewrite(_ODD, _plain)
-    if spelled or odd and _TWO_NUMBERS.search(tape.text):
+    if spelled or odd and _numbers(tape.text.lower()):
         tape.rewrite(_SPELLED, _spelled)
     if hint or odd:
         tape.rewrite(_AT, lambda m: "@")
