@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from spacemill.functions import bitmap as bm
 from spacemill.functions import geometry as geo

@@ -10,7 +10,6 @@ from pyspark.sql import types as T
 
 from spacemill.functions import geometry as geo
 from spacemill.functions.bitmap import positions
-from spacemill.operators import extents as ex
 from spacemill.operators import headers as hd
 from spacemill.plans.base import FX, HD, NBLOCKS, query
 from spacemill.plans.extents import free
