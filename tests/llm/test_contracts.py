@@ -2,7 +2,7 @@
 
 import pytest
 
-from spacemill.llm import queries as q, toxicity
+from spacemill.llm import queries as q
 from tests.llm import brute
 
 
