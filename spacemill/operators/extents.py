@@ -6,13 +6,25 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import Window as W
 
 
-def coalesce(df: DataFrame, key: str = "k") -> DataFrame:
-    """key, start, len: the maximal merged extents of each key. One shuffle, one sort: gaps and islands."""
-    e = df.select(key, "start", (F.col("start") + F.col("len")).alias("end"))
-    w = W.partitionBy(key).orderBy("start", "end")
+def _islands(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Gaps and islands of (start, len) within keys: one shuffle, one sort."""
+    e = df.select(*keys, "start", (F.col("start") + F.col("len")).alias("end"))
+    w = W.partitionBy(*keys).orderBy("start", "end")
     reached = e.withColumn("_reach", F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1)))
     island = F.sum(F.when(F.col("_reach").isNull() | (F.col("start") > F.col("_reach")), 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, 0))
-    return reached.withColumn("_island", island).groupBy(key, "_island").agg(F.min("start").alias("start"), F.max("end").alias("_end")).select(key, "start", (F.col("_end") - F.col("start")).alias("len"))
+    merged = reached.withColumn("_island", island).groupBy(*keys, "_island").agg(F.min("start").alias("start"), F.max("end").alias("_end"))
+    return merged.select(*keys, "start", (F.col("_end") - F.col("start")).alias("len"))
+
+
+def coalesce(df: DataFrame, key: str = "k", width: int | None = None) -> DataFrame:
+    """key, start, len: the maximal merged extents of each key.
+
+    With a width, intervals are first merged within (key, start div width), which spreads a key that holds a large share of all
+    intervals over tasks; what is left of it is merged again by key. Merging parts first changes nothing in the result.
+    """
+    if width:
+        df = _islands(df.withColumn("_part", F.floor(F.col("start") / width)), [key, "_part"])
+    return _islands(df, [key])
 
 
 def neighbours(df: DataFrame, key: str = "k") -> DataFrame:

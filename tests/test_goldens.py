@@ -52,6 +52,13 @@ def test_coalesce_takes_in_all_it_covers(spark):
     assert m.by_start == [(0, 34)]
 
 
+def test_coalesce_in_parts_is_coalesce(spark):
+    rnd = random.Random(8)
+    d = frame(spark, [(rnd.choice((1, 1, 1, 2)), rnd.randint(-300, 300), rnd.randint(1, 9)) for _ in range(200)])
+    whole = tuples(ex.coalesce(d), "k", "start", "len")
+    assert whole == tuples(ex.coalesce(d, width=7), "k", "start", "len") == tuples(ex.coalesce(d, width=1000), "k", "start", "len")
+
+
 def test_best_fit(spark):
     free = frame(spark, [(1, 30, 2), (1, 25, 3), (1, 0, 1)])
     asked = spark.createDataFrame([(1, n) for n in (0, 1, 2, 3, 4)], "k long, n long")
