@@ -31,8 +31,23 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
+_made: dict[str, list[str]] = {}
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clean(spark: SparkSession) -> int:
+    """Deletes the tables staged so far by this application, once their readers are done; gives their number."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    for p in paths:
+        where = jvm.org.apache.hadoop.fs.Path(p)
+        where.getFileSystem(conf).delete(where, True)
+    return len(paths)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

@@ -339,4 +339,9 @@ def test_warc_damage():
 
 
 def test_shared_folder_is_the_sessions(spark):
+    from pathlib import Path
+
     assert common.shared_dir(spark) == common.shared_dir(spark)
+    common.stage(spark.range(3), "some")
+    assert any(p.name.startswith("some-") for p in Path(common.shared_dir(spark)).iterdir())
+    assert common.clean(spark) > 0 and not any(Path(common.shared_dir(spark)).iterdir()) and common.clean(spark) == 0
