@@ -338,10 +338,12 @@ def test_warc_damage():
         list(warc.parse_archive(b"nothing"))
 
 
-def test_shared_folder_is_the_sessions(spark):
+def test_staged_tables_can_be_deleted(spark):
     from pathlib import Path
 
-    assert common.shared_dir(spark) == common.shared_dir(spark)
+    where = common.shared_dir(spark)
+    assert where == common.shared_dir(spark)
     common.stage(spark.range(3), "some")
-    assert any(p.name.startswith("some-") for p in Path(common.shared_dir(spark)).iterdir())
-    assert common.clean(spark) > 0 and not any(Path(common.shared_dir(spark)).iterdir()) and common.clean(spark) == 0
+    path = Path(common._made[spark.sparkContext.applicationId][-1].removeprefix("file://"))
+    assert path.is_dir() and str(path).startswith(where.removeprefix("file://"))
+    assert common.clean(spark) > 0 and not path.exists() and common.clean(spark) == 0
