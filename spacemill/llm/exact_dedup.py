@@ -31,18 +31,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     n = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm"))
     rows = n.select("id", "norm", digest(F.col("norm")).alias("digest"), salt_of("id").alias("salt"))
+    # a slim row each, so that finding the groups needs no text again
+    slim = stage(rows.select("id", "digest", "salt", *([] if digest is sha256 else [sha256(F.col("norm")).alias("text_sha256")])), "exact-rows")
     salted = rows.groupBy("digest", "salt", "norm").agg(F.min("id").alias("keep_id"), F.count("*").alias("n"))
     winners = salted.repartition("digest").groupBy("digest", "norm").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
     by_digest = winners.groupBy("digest").agg(F.count("*").alias("texts"), F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
     groups = stage(by_digest, "exact-groups")
     single = groups.where("texts = 1").drop("texts")
-    out = lookup(rows.select("id", "norm", "digest", "salt") if digest is not sha256 else rows.drop("norm"), single, "digest", "salt", "inner")
-    if digest is not sha256:
-        out = out.withColumn("text_sha256", sha256(F.col("norm")))
-    else:
-        out = out.withColumn("text_sha256", F.col("digest"))
+    out = lookup(slim, single, "digest", "salt", "inner")
     cols = ["id", "keep_id", "group_size", "text_sha256"]
-    out = out.select(*cols)
+    out = out.select("id", "keep_id", "group_size", F.col("digest" if digest is sha256 else "text_sha256").alias("text_sha256"))
     shared = groups.where("texts > 1").select("digest")
     if not shared.isEmpty():  # two texts under one digest: those rows go by digest and text
         hit = rows.join(shared, "digest", "left_semi")
