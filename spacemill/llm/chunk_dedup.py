@@ -97,7 +97,7 @@ def _repeated_filter(texts: DataFrame) -> np.ndarray:
     """Bits (packed, FILTER_BITS in all) set for the hashes that occur more than once in the corpus."""
 
     def count(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
+        for batch in kernels.slices(batches, "text"):
             data, off = kernels.column(batch, "text")
             h, n = np.unique(spans(data, off)[3], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
@@ -118,7 +118,7 @@ def chunks(docs: DataFrame, text_col: str = "text", among: np.ndarray | None = N
     bits = docs.sparkSession.sparkContext.broadcast(among) if among is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
+        for batch in kernels.slices(batches, text_col):
             data, off = kernels.column(batch, text_col)
             begins, ends, text, h = spans(data, off)
             keep = np.arange(len(ends))

@@ -35,7 +35,7 @@ def windows(items: DataFrame, size: int = 10, id_col: str = "item_id", text_col:
     """
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
+        for batch in kernels.slices(batches, "text"):
             data, off = kernels.column(batch, "text")
             h, first = kernels.words(data, off, kernels.ALNUM)
             ids = batch.column(batch.schema.get_field_index("id")).to_pylist()
@@ -61,7 +61,7 @@ def term_frequencies(docs: DataFrame, terms: np.ndarray | None, text_col: str =
     """term, freq over all documents; of the given sorted term hashes only, where given."""
 
     def run(batches):
-        for batch in batches:
+        for batch in kernels.slices(batches, text_col):
             h, _ = kernels.words(*kernels.column(batch, text_col), kernels.ALNUM)
             for a in range(0, len(h), 1 << 20):
                 t = h[a : a + (1 << 20)]
@@ -106,7 +106,7 @@ def build_index(docs: DataFrame, lists: np.ndarray | None, rarest: np.ndarray |
         return sorted_terms[np.minimum(np.searchsorted(sorted_terms, h), len(sorted_terms) - 1)] == h
 
     def run(batches):
-        for batch in batches:
+        for batch in kernels.slices(batches, text_col):
             h, first = kernels.words(*kernels.column(batch, text_col), kernels.ALNUM)
             doc = np.repeat(np.arange(batch.num_rows), np.diff(first))
             at = np.flatnonzero(member(lists, h))

@@ -9,10 +9,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 #: Bytes hashed at once; a longer single word is still taken whole.
 SEGMENT = 1 << 20
+#: Bytes of text that an operator works on at once; a longer single text is still taken whole.
+SLICE = 4 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -68,6 +71,18 @@ def column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     return (data[off[0] : off[-1]], off - off[0]) if len(a) else (data[:0], np.zeros(1, np.int64))
 
 
+def slices(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most SLICE bytes of the text column, or of one row: arrays over words are many times the text."""
+    for batch in batches:
+        a = batch.column(batch.schema.get_field_index(name))
+        total = np.concatenate(([0], np.cumsum(pc.binary_length(a).fill_null(0).to_numpy(zero_copy_only=False))))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(total, total[at] + SLICE, "right")) - 1)
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def of_texts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return column(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"]), "text")
 

@@ -46,7 +46,7 @@ def sketches(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col
     """id, n_shingles, set_id (16 bytes, null for an empty set) and sketch (the SKETCH smallest hashes, 8 bytes each)."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
+        for batch in kernels.slices(batches, "text"):
             n, ids, sk = [], [], []
             for s in kernels.shingle_sets(*kernels.column(batch, "text"), shingle):
                 n.append(len(s))
@@ -134,7 +134,7 @@ def _verified(pairs: DataFrame, active: DataFrame, docs: DataFrame, shingle: int
     texts = _among(docs.select(F.col(id_col).alias("row_key"), F.col(text_col).alias("text")), needed, "row_key", broadcast_ids)
 
     def sets(batches):
-        for batch in batches:
+        for batch in kernels.slices(batches, "text"):
             got = [s.tobytes() for s in kernels.shingle_sets(*kernels.column(batch, "text"), shingle)]
             # rows that repeat an id may hold another text
             own = [_set_id(g) == i for g, i in zip(got, batch.column(0).to_pylist())]

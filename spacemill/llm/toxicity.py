@@ -212,7 +212,7 @@ def _count(sample: DataFrame, among: frozenset[str] | None) -> DataFrame:
     """feature, n: rows of sample that hold each feature (of ``among`` only, where given)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in kernels.slices(batches, "text"):
             data, off, _, first, s, e = _each_text(batch)
             raw, count = data.tobytes(), Counter()
             for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
@@ -275,7 +275,7 @@ def _hits_of(sample: DataFrame, model: Model) -> list[tuple[int, list[tuple[int,
 
     def run(batches):
         automaton = Automaton(model.entries)
-        for batch in batches:
+        for batch in kernels.slices(batches, "text"):
             _, found = hits(batch, automaton)
             per = [[] for _ in range(batch.num_rows)]
             for d, *h in found:
@@ -310,7 +310,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool
 
     def run(batches):
         automaton = Automaton(model.entries)
-        for batch in batches:
+        for batch in kernels.slices(batches, text_col):
             _, found = hits(batch, automaton, text_col)
             p = 1 / (1 + np.exp(-np.clip(sums(model, found, batch.num_rows) @ b, -30, 30)))
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(f.name)) for f in fields), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*[f.name for f in fields], "score", "predicted"])

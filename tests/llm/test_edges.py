@@ -46,6 +46,18 @@ def test_kernel_words_are_segmented_alike():
     assert list(whole[1]) == [0, 2, 2, 2, 5, 5 + 3001, 5 + 3003]
 
 
+def test_slices_hold_all_rows(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(kernels, "SLICE", 10)
+    texts = ["abc", None, "", "d" * 25, "é" * 4, "x", "yy", None] * 3
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["i", "text"])
+    parts = list(kernels.slices([batch, batch.slice(0, 0)], "text"))
+    assert [x for p in parts for x in p.column(1).to_pylist()] == texts and len(parts) > 6
+    whole = kernels.words(*kernels.column(batch, "text"), kernels.NOT_SPACE)[0].tolist()
+    assert [h for p in parts for h in kernels.words(*kernels.column(p, "text"), kernels.NOT_SPACE)[0].tolist()] == whole
+
+
 def test_near_edges(odd):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(odd).collect()}
     assert got == brute.near(list(enumerate(ODD)))
