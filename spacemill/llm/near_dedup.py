@@ -24,7 +24,7 @@ from spacemill.llm.components import components
 
 U = np.uint64
 #: Values kept of a set for estimates, and those of them that are put into inverted lists.
-SKETCH, LISTED = 128, 32
+SKETCH, LISTED = 256, 32
 #: Standard deviations by which an estimate may fall short before a pair is dropped, and by which listed overlaps may.
 SIGMAS = 5.0
 #: Classes of a long list that are compared with each other at once.
