@@ -40,13 +40,25 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def clean(spark: SparkSession) -> int:
-    """Deletes the tables staged so far by this application, once their readers are done; gives their number."""
+def made(spark: SparkSession) -> list[str]:
+    """The tables that this application has staged and not deleted."""
+    return list(_made.get(spark.sparkContext.applicationId, []))
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes staged tables, once their readers are done."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    paths = _made.pop(spark.sparkContext.applicationId, [])
     for p in paths:
         where = jvm.org.apache.hadoop.fs.Path(p)
         where.getFileSystem(conf).delete(where, True)
+    own = _made.get(spark.sparkContext.applicationId, [])
+    own[:] = [p for p in own if p not in set(paths)]
+
+
+def clean(spark: SparkSession) -> int:
+    """Deletes all tables staged so far by this application, once their readers are done; gives their number."""
+    paths = made(spark)
+    delete(spark, paths)
     return len(paths)
 
 

@@ -37,6 +37,17 @@ def test_run_is_the_plain_pipeline(spark, sf, result):
         assert slots == list(range(len(slots)))
 
 
+def test_stages_leave_no_tables_of_their_own(spark, sf, result):
+    from spacemill.llm import common
+
+    common.clean(spark)
+    cp._left.clear()
+    rows = cp.run(spark, sf).count()
+    assert rows == len(result)
+    # what the last stage needs, and the written results of the others
+    assert [p for p in common.made(spark) if "/pipeline-" not in p] == [p for p in cp._left[spark.sparkContext.applicationId] if "/pipeline-" not in p]
+
+
 def test_slots_follow_the_mix(spark, sf, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     mixed = mixing.mix(docs)
