@@ -6,12 +6,13 @@ Each stage is written as Parquet and read again before the next. All but the las
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spacemill.llm import decontaminate, mixing, near_dedup, sharding, toxicity
-from spacemill.llm.common import stage as staged
+from spacemill.llm.common import delete, made, stage as staged
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 SHARDS = 24
@@ -19,6 +20,24 @@ SHARDS = 24
 BROADCAST_IDS = 1_000_000
 
 
+_left: dict[str, list[str]] = {}
+
+
+def tidy(stage: Callable) -> Callable:
+    """Deletes, when a stage begins, the tables that the stage before staged for itself: its result has been written by then."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        app = spark.sparkContext.applicationId
+        delete(spark, _left.pop(app, []))
+        before = set(made(spark))
+        out = stage(spark, docs, sf_dir)
+        _left[app] = [p for p in made(spark) if p not in before]
+        return out
+
+    return run_stage
+
+
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs without the ids in gone; a null id is never gone."""
     gone = staged(gone.distinct(), "pipeline-gone")
@@ -26,28 +45,33 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return docs.select(*COLUMNS).join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
+@tidy
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, learned from the labels of the training folds, does not reject."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs.select(*COLUMNS), model).where("predicted = 0").select(*COLUMNS)
 
 
+@tidy
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest doc_id, of each component of near-duplicates."""
     return without(docs, near_dedup.near_duplicates(docs).where("not kept").select("doc_id"))
 
 
+@tidy
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any occurrence of a benchmark window."""
     marked = decontaminate.decontaminate(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return without(docs, marked.where("contaminated").select("doc_id"))
 
 
+@tidy
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, each once, in the order of the Pfair schedule: part files, and rows in them, follow the mix."""
     return mixing.mix(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
+@tidy
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their shard by jump hashing; slots number a shard's documents without gaps, in the order of the mix.
 
