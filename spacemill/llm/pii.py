@@ -99,21 +99,31 @@ _NUMBER = rf"(?:{'|'.join(sorted(DIGIT_WORDS, key=len, reverse=True))})"
 _SPELLED = re.compile(rf"(?<![^\W_])(?:plus[\x20]+)?{_NUMBER}(?:[\x20.-]{{1,4}}(?:{_NUMBER}|[0-9]+)){{2,}}(?![^\W_])", re.I)
 _WORD = re.compile(rf"plus[\x20]+|{_NUMBER}", re.I)
 _HINT = re.compile(rf"(?:{_ATS}|@)\s{{0,4}}[\])}}>]|(?:{_DOTS}|\.)\s{{0,4}}[\])}}>]|[ \t](?:{_DOTS})[ \t]", re.I)
+# a bare "at" of _AT, whatever stands before it
+_BARE_AT = re.compile(rf"[\x20\t](?:{_ATS})[\x20\t]{{1,4}}(?={_LABELS}(?:{_TOP})(?![A-Za-z0-9]))", re.I)
 _BARE_DOTS = tuple(f"{a}{w}" for w in _DOTS.split("|") for a in " \t")
+_BARE_ATS = tuple(f"{a}{w}" for w in _ATS.split("|") for a in " \t")
 _NUMBER_WORDS = tuple(DIGIT_WORDS)
 
 
+def _fold(text: str) -> str:
+    """Lower case, with the three further letters that re.I takes for s and i."""
+    return (text if text.isascii() else text.replace("ſ", "s").replace("ı", "i").replace("İ", "i")).lower()
+
+
 def _hints(text: str, low: str) -> bool:
-    """Whether at/dot disguises are worth looking for; substrings are looked for before patterns."""
-    return (any(c in text for c in "])}>") or any(w in low for w in _BARE_DOTS)) and bool(_HINT.search(text))
+    """Whether at/dot disguises are worth looking for, true wherever _AT or _DOT match; substrings are looked for before patterns."""
+    if (any(c in text for c in "])}>") or any(w in low for w in _BARE_DOTS)) and _HINT.search(text):
+        return True
+    return any(w in low for w in _BARE_ATS) and bool(_BARE_AT.search(text))
 
 
 def _numbers(low: str) -> bool:
-    """Whether three number words may stand in a row: the middle one is a word of its own."""
-    words = low.replace("-", " ").split() if "-" in low else low.split()
+    """Whether a number word and two more, or digits, may stand in a row, true wherever _SPELLED matches: the middle one is a word of its own."""
+    words = low.replace("-", " ").replace(".", " ").split()
     return any(
-        words[i - 1].endswith(_NUMBER_WORDS) and words[i + 1].startswith(_NUMBER_WORDS)
-        for i in [i for i, w in enumerate(words) if w in DIGIT_WORDS]
+        words[i - 1].endswith(_NUMBER_WORDS) and (words[i + 1].startswith(_NUMBER_WORDS) or words[i + 1][0].isdigit())
+        for i in [i for i, w in enumerate(words) if w in DIGIT_WORDS or w.isdigit()]
         if 0 < i < len(words) - 1
     )
 
@@ -164,22 +174,18 @@ def _plain(m: re.Match) -> str:
 
 def _spelled(m: re.Match) -> str:
     """Digit words become digits; the separators stay, so that groups of a number stay apart."""
-    return re.sub(r"(?<=[0-9])\x20(?=[0-9])", "", _WORD.sub(lambda w: DIGIT_WORDS.get(w[0].lower(), "+"), m[0]))
+    return re.sub(r"(?<=[0-9])\x20(?=[0-9])", "", _WORD.sub(lambda w: DIGIT_WORDS.get(_fold(w[0]), "+"), m[0]))
 
 
 def normalise(text: str) -> Tape | None:
     """The rewritten text with its source spans, or None where nothing is disguised."""
-    low = text.lower()
-    odd = None if text.isascii() else _ODD.search(text)
-    hint, spelled = _hints(text, low), _numbers(low)
-    if not (odd or hint or spelled):
-        return None
     tape = Tape(text)
-    if odd:
+    if not text.isascii() and _ODD.search(text):
         tape.rewrite(_ODD, _plain)
-    if spelled or odd and _numbers(tape.text.lower()):
+    # each test reads what the transducers before have written
+    if _numbers(_fold(tape.text)):
         tape.rewrite(_SPELLED, _spelled)
-    if hint or odd:
+    if _hints(tape.text, _fold(tape.text)):
         tape.rewrite(_AT, lambda m: "@")
         if "@" in tape.text or re.search("[0-9]", tape.text):
             tape.rewrite(_DOT, lambda m: ".")

@@ -203,6 +203,36 @@ def test_disguises(text, kind, shown):
     assert (kind, text.index(shown), text.index(shown) + len(shown)) in spans
 
 
+@pytest.mark.parametrize("text, kind, shown", [
+    ("host eight.eight.four.four up", "ip", "eight.eight.four.four"),
+    ("call plus four.nine.one.seven.zero.one.two.three.four.five now", "phone", "plus four.nine.one.seven.zero.one.two.three.four.five"),
+    ("card four 1 one 1 one 1 one 1 one 1 one 1 one 1 one 1 end", "card", "four 1 one 1 one 1 one 1 one 1 one 1 one 1 one 1"),
+    ("write to jane at example.com now", "email", "jane at example.com"),
+    ("a jane arroba mail.example.es hoy", "email", "jane arroba mail.example.es"),
+    ("an jane ät example.de bitte", "email", "jane ät example.de"),
+])
+def test_disguises_beyond_runs_of_words(text, kind, shown):
+    spans = pii.disguised(text, list(pii.detect(text)))
+    assert (kind, text.index(shown), text.index(shown) + len(shown)) in spans
+
+
+def test_pretests_let_all_disguises_by(monkeypatch):
+    rnd = random.Random(5)
+    bits = [*"0123456789", "one", "TWO", "ſix", "sıx", "Sİx", "fünf", "zéro", "acht", "plus ", " ", " ", ".", "-", "  ", "_", "(", "[", "]", ")", " at ", " ät ", " arroba ", "at", "dot", " dot ", " poınt ", "[at]", "(@)", "@", "jane", "example", ".com", "com", "\n", "\t", "１", "․", "е"]
+    texts = ["one 2 three 4 five 6 seven 8 nine 0 one 2", "jane at one two three.com", *("".join(rnd.choice(bits) for _ in range(rnd.randint(2, 14))) for _ in range(20000))]
+
+    def shown(t):
+        tape = pii.normalise(t)
+        return tape and (tape.text, list(tape.start), list(tape.end))
+
+    got = [shown(t) for t in texts]
+    monkeypatch.setattr(pii, "_numbers", lambda low: True)
+    monkeypatch.setattr(pii, "_hints", lambda text, low: True)
+    for t, g in zip(texts, got):
+        assert g == shown(t), t
+    assert got[0] and got[1] and 1000 < sum(g is not None for g in got) < 20000
+
+
 def test_plain_prose_has_no_disguises():
     for t in ("Look at the dot on the page at noon", "one two buckle my shoe", "We met at home. Dot said hi at 5.", "Es war ein Punkt an der Wand", "дом и сад"):
         assert pii.disguised(t, list(pii.detect(t))) == []
