@@ -225,3 +225,14 @@ def test_options():
     assert o.with_arguments(["--foo_string=other"]).get("foo_string") == "other"
     with pytest.raises(KeyError):
         o.get("none", required=True)
+
+
+def test_bitmap_load_counts_all_buckets(spark, tmp_path):
+    from spacemill.plans import registry
+    from tests import compare
+
+    rows = [(1, 0), (1, 32767), (1, 32768), (1, 32768), (1, 100000), (2, 40000), (3, 7)]
+    frame(spark, rows, "l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = registry.queries()["a_b7_load"](spark, str(tmp_path))
+    assert tuples(got, "map", "set_bits", "bytes") == [(1, 4, 4096), (2, 1, 4096), (3, 1, 4096)]
+    assert compare.differences(got, compare.duck(tmp_path), registry.oracle_sql()["a_b7_load"]) is None
