@@ -87,8 +87,8 @@ def of_texts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return column(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"]), "text")
 
 
-def _segments(data: np.ndarray, off: np.ndarray, word: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Cuts [0, len) into parts of about SEGMENT bytes that end at a document's end or at a separator."""
+def _segments(data: np.ndarray, off: np.ndarray, word: np.ndarray, lower: bool = True) -> Iterator[tuple[int, int]]:
+    """Cuts [0, len) into parts of about SEGMENT bytes that end at a document's end or at a separator (of lower-cased text, with lower)."""
     at, end = 0, int(off[-1])
     while at < end:
         stop = min(at + SEGMENT, end)
@@ -99,7 +99,8 @@ def _segments(data: np.ndarray, off: np.ndarray, word: np.ndarray) -> Iterator[t
             else:  # inside one long document: go on to the next separator or to the document's end
                 last = int(off[k + 1])
                 while stop < last:
-                    free = np.flatnonzero(~word[data[stop : min(stop + SEGMENT, last)]])
+                    part = data[stop : min(stop + SEGMENT, last)]
+                    free = np.flatnonzero(~word[LOWER[part] if lower else part])
                     stop = stop + int(free[0]) if len(free) else min(stop + SEGMENT, last)
                     if len(free):
                         break
@@ -113,7 +114,7 @@ def words(data: np.ndarray, off: np.ndarray, word: np.ndarray, lower: bool = Tru
     With spans, also the byte span of each word.
     """
     hashes, starts, ends = [], [], []
-    for a, b in _segments(data, off, word):
+    for a, b in _segments(data, off, word, lower):
         d = LOWER[data[a:b]] if lower else data[a:b]
         n = len(d)
         is_word = word[d]

@@ -46,6 +46,17 @@ def test_kernel_words_are_segmented_alike():
     assert list(whole[1]) == [0, 2, 2, 2, 5, 5 + 3001, 5 + 3003]
 
 
+def test_capitals_are_not_cut_at_segment_borders():
+    text = " ".join("".join(w).upper() for w in words(250_000, 12)) + " " + "McDonald" * 150_000 + " END"
+    assert len(text) > 2 << 20
+    for table_ in (kernels.ALNUM, toxicity.WORD):
+        h, first, s, e = kernels.words(*kernels.of_texts([text]), table_, spans=True)
+        plain = text.lower().split()
+        assert list(first) == [0, len(plain)] and [text[a:b].lower() for a, b in zip(s, e)] == plain
+        small = kernels.words(*kernels.of_texts([" ".join(plain[:50])]), table_)[0]
+        assert (h[:50] == small).all()
+
+
 def test_slices_hold_all_rows(monkeypatch):
     import pyarrow as pa
 
