@@ -14,6 +14,8 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -43,7 +45,8 @@ def edits_allowed(n: int) -> int:
 class Automaton:
     """The trie of entries intersected with their Levenshtein automata, determinised as words are read.
 
-    A state is a set of (trie node, edits so far); stems accept any word that begins with them, without edits.
+    A state is a set of (trie node, edits so far); stems accept any word that begins with them, without edits;
+    misspellings of the words under a stem are met by entries of those words.
     """
 
     LIMIT = 100_000
@@ -228,8 +231,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_entries:
     """Learns a Model from at most max_rows labelled rows (the documented bound), held-out ids excluded.
 
     A word marks label 1 at least ``ratio`` times as often as label 0, a stem ``stem_ratio`` times; of stems and words that
-    begin with each other the one that tells most is taken. What reaches the driver is bounded by
-    max_entries and max_rows. Without rows of both labels the model finds nothing and scores all alike.
+    begin with each other the one that tells most is taken. Words of label 1 under a taken stem are entries too, beyond
+    max_entries, so that misspellings of them are met. What reaches the driver is bounded by max_entries and max_rows. Without rows of both labels the model finds nothing and scores all alike.
     """
     sample = training_sample(docs, labels, max_rows, id_col, text_col)
     totals = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -237,7 +240,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_entries:
     if not pos or not neg:
         return Model(coefficients=[math.log((pos + 0.5) / (neg + 0.5)), 0, 0, 0])
     least = max(3, round(0.004 * pos))
-    likely = {r["feature"]: r["n"] for r in _count(sample.where("y = 1"), None).where(F.col("n") >= least).orderBy(F.desc("n"), "feature").limit(max_entries * 40).collect()}
+    marked = stage(_count(sample.where("y = 1"), None), "toxicity-counts")
+    likely = {r["feature"]: r["n"] for r in marked.where(F.col("n") >= least).orderBy(F.desc("n"), "feature").limit(max_entries * 40).collect()}
     clean = {r["feature"]: r["n"] for r in _count(sample.where("y = 0"), frozenset(likely)).collect()}
     score = {f: math.log((n + 0.5) / (pos + 1)) - math.log((clean.get(f, 0) + 0.5) / (neg + 1)) for f, n in likely.items()}
     entries: list[tuple[str, bool, int]] = []
@@ -250,6 +254,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_entries:
         nested = any((s and text.startswith(t)) or (is_stem and t.startswith(text)) for t, s, _ in entries)
         if not nested and len(entries) < max_entries:
             entries.append((text, is_stem, 0 if is_stem else edits_allowed(len(text))))
+    # exact words under a stem are hits of the stem
+    of = list(range(len(entries)))
+    stems = {t: i for i, (t, s, _) in enumerate(entries) if s}
+    begins = [F.substring("feature", 1, n).isin([t for t in stems if len(t) == n]) for n in {len(t) for t in stems}]
+    for r in marked.where(F.col("feature").endswith("$") & reduce(or_, begins)).orderBy("feature").collect() if stems else []:
+        text = r["feature"].removesuffix("$")
+        if edits_allowed(len(text)):
+            entries.append((text, False, edits_allowed(len(text))))
+            of.append(next(stems[text[:n]] for n in STEMS if text[:n] in stems))
     model = Model(entries, [(1.0, 1.0)] * len(entries))
     rows = _hits_of(sample, model)
     seen: dict[tuple[int, bool], list[set[int]]] = {}
@@ -260,7 +273,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_entries:
     odds = lambda key: math.log((len(seen[key][1]) + 0.5) / (pos + 1)) - math.log((len(seen[key][0]) + 0.5) / (neg + 1)) if key in seen else None
     weights = []
     for i, (text, is_stem, k) in enumerate(entries):
-        exact, near = odds((i, False)), odds((i, True))
+        exact, near = odds((of[i], False)), odds((i, True))
         # misspellings count less than the word, and not at all where they meet clean rows as often
         weights.append((max(0.0, exact or 0.0), max(0.0, min(near if near is not None else 0.5 * (exact or 0), exact or 0))))
     kept = [(t, s, k if weights[i][1] > 1 else 0) for i, (t, s, k) in enumerate(entries)]

@@ -291,6 +291,26 @@ def test_toxicity_learns_and_tells_quotes(spark):
     assert got[0] > 0.5 and got[1] > got[3] and got[2] < got[0] and got[3] == got[4] == got[5] < 0.5
 
 
+def test_toxicity_meets_misspelled_inflections(spark):
+    rnd = random.Random(3)
+    rows, labels = [], []
+    for i in range(900):
+        w = words(30, i)
+        bad = i % 5 == 0
+        if bad:
+            w[rnd.randrange(30)] = ["krumpel", "krumpels", "krumpelig"][i // 5 % 3]
+        rows.append((i, " ".join(w), "en", "s", 0))
+        labels.append((i, 1, int(bad)))
+    docs = spark.createDataFrame(rows, DOCS)
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), ratio=3.0)
+    assert any(s and "krumpel".startswith(t) for t, s, _ in model.entries)
+    tests = table(spark, ["you are a krumpels", "you are a krvmpel", "the krumqels of it", "a kurmpelig thing krunpelig", "plain words here"])
+    got = [r["score"] for r in toxicity.score(tests, model).orderBy("doc_id").collect()]
+    # a misspelling seen in no labelled row weighs half
+    assert got[0] > 0.5 and min(got[1:4]) > 0.1 and got[4] < 0.01
+    assert all(toxicity.Automaton(model.entries).match(w) for w in ("krvmpel", "krvmpels", "kurmpelig"))
+
+
 def test_toxicity_edges(spark, odd, none):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = toxicity.fit(odd, labels)
