@@ -158,11 +158,10 @@ def hits(batch: pa.RecordBatch, automaton: Automaton, name: str = "text") -> tup
     what: list[tuple[int, int]] = []
     raw = data.tobytes()
     for c, (a, b) in enumerate(zip(s[at].tolist(), e[at].tolist())):
-        if b - a <= 64:
-            m = automaton.match(_word(raw[a:b]))
-            if m:
-                found[c] = len(what)
-                what.append(m)
+        m = automaton.match(_word(raw[a:b]))
+        if m:
+            found[c] = len(what)
+            what.append(m)
     out = []
     for i in np.flatnonzero(found[codes] >= 0).tolist():
         d = int(np.searchsorted(first, i, "right")) - 1
@@ -175,12 +174,12 @@ def hits(batch: pa.RecordBatch, automaton: Automaton, name: str = "text") -> tup
     return counts, out
 
 
-def sums(model: Model, found: list[tuple[int, int, int, bool, bool]], n: int) -> np.ndarray:
-    """For n documents: 1, and the damped weight of plain, of quoted and of addressed hits."""
+def sums(model: Model, found: dict[tuple[int, int, int, bool, bool], int], n: int) -> np.ndarray:
+    """For n documents: 1, and the damped weight of plain, of quoted and of addressed hits; found has the number of each kind of hit."""
     x = np.zeros((n, 4))
     x[:, 0] = 1
-    for d, entry, edits, quoted, addressed in found:
-        w = model.weights[entry][edits > 0]
+    for (d, entry, edits, quoted, addressed), k in found.items():
+        w = model.weights[entry][edits > 0] * k
         x[d, 2 if quoted else 1] += w
         x[d, 3] += w * (addressed and not quoted)
     x[:, 1:] = np.log1p(np.maximum(x[:, 1:], 0))
@@ -267,7 +266,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_entries:
     rows = _hits_of(sample, model)
     seen: dict[tuple[int, bool], list[set[int]]] = {}
     for d, (y, found) in enumerate(rows):
-        for entry, edits, quoted, _ in found:
+        for entry, edits, quoted, _ in found:  # each kind of hit once
             if not quoted:  # what a quotation is worth is for the regression to tell
                 seen.setdefault((entry, edits > 0), [set(), set()])[y].add(d)
     odds = lambda key: math.log((len(seen[key][1]) + 0.5) / (pos + 1)) - math.log((len(seen[key][0]) + 0.5) / (neg + 1)) if key in seen else None
@@ -278,27 +277,27 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_entries:
         weights.append((max(0.0, exact or 0.0), max(0.0, min(near if near is not None else 0.5 * (exact or 0), exact or 0))))
     kept = [(t, s, k if weights[i][1] > 1 else 0) for i, (t, s, k) in enumerate(entries)]
     model = Model(kept, weights)
-    x = sums(model, [(d, *h) for d, (_, found) in enumerate(rows) for h in found if not (h[1] > 0 and kept[h[0]][2] == 0)], len(rows))
+    x = sums(model, {(d, *h): n for d, (_, found) in enumerate(rows) for h, n in found.items() if not (h[1] > 0 and kept[h[0]][2] == 0)}, len(rows))
     model.coefficients = _logistic(x, np.array([y for y, _ in rows], float), np.array([-4.0, 2.0, 0.5, 0.5])).tolist()
     return model
 
 
-def _hits_of(sample: DataFrame, model: Model) -> list[tuple[int, list[tuple[int, int, bool, bool]]]]:
-    """Label and hits of each sampled row; the sample is bounded, and so is what the driver gets."""
+def _hits_of(sample: DataFrame, model: Model) -> list[tuple[int, dict[tuple[int, int, bool, bool], int]]]:
+    """Label of each sampled row, and the number of its hits of each kind; the sample and the kinds are bounded, and so is what the driver gets."""
+    kinds = pa.list_(pa.struct([("entry", pa.int32()), ("edits", pa.int32()), ("quoted", pa.bool_()), ("addressed", pa.bool_()), ("n", pa.int64())]))
 
     def run(batches):
         automaton = Automaton(model.entries)
         for batch in kernels.slices(batches, "text"):
             _, found = hits(batch, automaton)
             per = [[] for _ in range(batch.num_rows)]
-            for d, *h in found:
-                if len(per[d]) < 1000:  # of the sample only, and for the fit only
-                    per[d].append({"entry": h[0], "edits": h[1], "quoted": h[2], "addressed": h[3]})
+            for (d, *h), n in Counter(found).items():
+                per[d].append({"entry": h[0], "edits": h[1], "quoted": h[2], "addressed": h[3], "n": n})
             y = batch.column(batch.schema.get_field_index("y")).to_pylist()
-            yield pa.RecordBatch.from_pylist([{"y": a, "hits": b} for a, b in zip(y, per)], pa.schema([("y", pa.int32()), ("hits", pa.list_(pa.struct([("entry", pa.int32()), ("edits", pa.int32()), ("quoted", pa.bool_()), ("addressed", pa.bool_())])))]))
+            yield pa.RecordBatch.from_pylist([{"y": a, "hits": b} for a, b in zip(y, per)], pa.schema([("y", pa.int32()), ("hits", kinds)]))
 
-    got = sample.mapInArrow(run, "y int, hits array<struct<entry:int,edits:int,quoted:boolean,addressed:boolean>>").collect()
-    return [(r["y"], [tuple(h) for h in r["hits"]]) for r in got]
+    got = sample.mapInArrow(run, "y int, hits array<struct<entry:int,edits:int,quoted:boolean,addressed:boolean,n:long>>").collect()
+    return [(r["y"], {tuple(h)[:4]: h["n"] for h in r["hits"]}) for r in got]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, strength: float = 0.1) -> np.ndarray:
@@ -325,7 +324,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool
         automaton = Automaton(model.entries)
         for batch in kernels.slices(batches, text_col):
             _, found = hits(batch, automaton, text_col)
-            p = 1 / (1 + np.exp(-np.clip(sums(model, found, batch.num_rows) @ b, -30, 30)))
+            p = 1 / (1 + np.exp(-np.clip(sums(model, Counter(found), batch.num_rows) @ b, -30, 30)))
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(f.name)) for f in fields), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*[f.name for f in fields], "score", "predicted"])
 
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "score double, predicted int"])

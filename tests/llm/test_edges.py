@@ -311,6 +311,14 @@ def test_toxicity_meets_misspelled_inflections(spark):
     assert all(toxicity.Automaton(model.entries).match(w) for w in ("krvmpel", "krvmpels", "kurmpelig"))
 
 
+def test_toxicity_has_no_bounds_on_words_and_hits(spark):
+    model = toxicity.Model([("idiot", False, 1), ("chlla", True, 0), ("scum", False, 0)], [(1.0, 1.0)] * 3)
+    texts = ["an idiot" + "*" * 70, "chlla" + "х" * 90, "xx" * 5000, " ".join(["scum"] * 1500 + ["you"] + ["idiot"] * 600)]
+    got = toxicity._hits_of(table(spark, texts).selectExpr("cast(doc_id as int) as y", "text"), model)
+    n = {y: sum(found.values()) for y, found in got}
+    assert n == {0: 1, 1: 1, 2: 0, 3: 2100}
+
+
 def test_toxicity_edges(spark, odd, none):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = toxicity.fit(odd, labels)
