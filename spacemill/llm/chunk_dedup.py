@@ -59,18 +59,7 @@ def cuts(data: np.ndarray, off: np.ndarray, mean: int = MEAN, least: int = LEAST
 
 def part_hashes(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the bytes before each cut, for the filter only."""
-    out, starts = np.zeros(len(ends), U), np.concatenate(([0], ends[:-1])) if len(ends) else ends
-    i = 0
-    while i < len(ends):
-        a = int(starts[i])
-        j = max(i + 1, int(np.searchsorted(ends, a + kernels.SEGMENT, "right")))
-        d = data[a : int(ends[j - 1])]
-        c = kernels._BYTE[d] * kernels._power("up", len(d))[: len(d)]
-        total = np.add.accumulate(c)
-        s, e = starts[i:j] - a, ends[i:j] - a
-        out[i:j] = kernels.mix((total[e - 1] - total[s] + c[s]) * kernels._power("down", len(d))[s] + (e - s).astype(U) * U(0xD6E8FEB86659FD93))
-        i = j
-    return out
+    return kernels.span_hashes(data, np.concatenate(([0], ends[:-1])).astype(np.int64)[: len(ends)], ends, laned=MOST)
 
 
 def spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

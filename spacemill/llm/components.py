@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from spacemill.llm.common import stage
+from spacemill.llm.common import lookup, salt_of, stage
 
 
 def _directed(edges: DataFrame) -> DataFrame:
@@ -15,13 +15,14 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Each node hands its larger neighbours to the smallest of its neighbourhood. b is the smaller end in edges."""
     both = _directed(edges)
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    # a hub's neighbours are met by several tasks
+    return lookup(both.where("b > a").withColumn("salt", salt_of("b")), least, "a", "salt", "inner").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node hands its smaller neighbours, and itself, to the smallest of them."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    handed = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    handed = lookup(edges.withColumn("salt", salt_of("b")), least, "a", "salt", "inner").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return handed.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 

@@ -8,16 +8,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U = np.uint64
 #: Bytes hashed at once; a longer single word is still taken whole.
 SEGMENT = 1 << 20
 #: Bytes of text that an operator works on at once; a longer single text is still taken whole.
 SLICE = 4 << 20
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Bytes of a word that are hashed as 64-bit lanes, all words at once; longer words are hashed one by one.
+LANED = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -28,17 +30,62 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
-_powers: dict[str, np.ndarray] = {}
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
 
 
-def _power(kind: str, n: int) -> np.ndarray:
-    """Powers 0 to n - 1 of the base or of its inverse, modulo 2**64."""
-    have = _powers.get(kind)
-    if have is None or len(have) < n:
-        p = np.full(max(n, SEGMENT + 1), U(_BASE if kind == "up" else _INVERSE))
-        p[0] = 1
-        _powers[kind] = have = np.multiply.accumulate(p)
-    return have
+def _lanes(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on as a little-endian number, with zeros beyond the end; a view of one padded copy."""
+    return np.ndarray(len(data) + 1, "<u8", np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))
+
+
+def span_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray, seed: int = 0, laned: int = LANED) -> np.ndarray:
+    """A 64-bit hash of each byte span [s, e): its lanes go one after the other through a mixing permutation, its length first.
+
+    Spans of up to 8 bytes and equal length never collide; none collide by structure, as sums of powers would. Hashes of
+    different seeds are independent.
+    """
+    size = e - s
+    lanes = _lanes(data)
+    h = mix((size.astype(U) + U(1)) * U(0xD6E8FEB86659FD93) + U((seed + 1) * 0x9E3779B97F4A7C15 % 2**64))
+    at = np.arange(len(s))
+    for j in range(0, laned, 8):
+        if j:
+            at = at[size[at] > j]
+        if not len(at):
+            break
+        v = lanes[s[at] + j] & _MASK[np.minimum(size[at] - j, 8)]
+        h[at] = mix((h[at] ^ v) * U(0xE7037ED1A0B428DB) + U(seed))
+    long = np.flatnonzero(size > laned)
+    if len(long):
+        raw = memoryview(np.ascontiguousarray(data))
+        h[long] = [xxhash.xxh3_64_intdigest(raw[a:b], seed=seed) for a, b in zip(s[long].tolist(), e[long].tolist())]
+    return h
+
+
+def vocabulary(data: np.ndarray, s: np.ndarray, e: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte span the number of its word, and for each word its first span. Hashes only group: equal bytes decide."""
+    if not len(h):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    code, _ = pd.factorize(h)
+    first = np.empty(int(code.max()) + 1, np.int64)
+    first[code[::-1]] = np.arange(len(h))[::-1]
+    of, size = first[code], e - s
+    same = size == size[of]
+    lanes, at = _lanes(data), np.flatnonzero(same & (of != np.arange(len(h))))
+    for j in range(0, LANED, 8):
+        at = at[size[at] > j]
+        m = _MASK[np.minimum(size[at] - j, 8)]
+        same[at] &= (lanes[s[at] + j] & m) == (lanes[s[of[at]] + j] & m)
+    raw = data.tobytes() if (size > LANED).any() or not same.all() else b""
+    long = at[size[at] > LANED].tolist()
+    for i in long:
+        same[i] &= raw[s[i] + LANED : e[i]] == raw[s[of[i]] + LANED : e[of[i]]]
+    if not same.all():  # two words under one hash: number them by their bytes
+        words_: dict[bytes, int] = {}
+        code = np.array([words_.setdefault(raw[a:b], len(words_)) for a, b in zip(s.tolist(), e.tolist())], np.int64)
+        first = np.empty(len(words_), np.int64)
+        first[code[::-1]] = np.arange(len(h))[::-1]
+    return code, first
 
 
 def lowered() -> np.ndarray:
@@ -71,11 +118,11 @@ def column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     return (data[off[0] : off[-1]], off - off[0]) if len(a) else (data[:0], np.zeros(1, np.int64))
 
 
-def slices(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of at most SLICE bytes of the text column, or of one row: arrays over words are many times the text."""
+def slices(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most SLICE bytes of the text columns, or of one row: arrays over words are many times the text."""
     for batch in batches:
-        a = batch.column(batch.schema.get_field_index(name))
-        total = np.concatenate(([0], np.cumsum(pc.binary_length(a).fill_null(0).to_numpy(zero_copy_only=False))))
+        size = sum(pc.binary_length(batch.column(batch.schema.get_field_index(n))).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for n in names)
+        total = np.concatenate(([0], np.cumsum(size)))
         at = 0
         while at < batch.num_rows:
             to = max(at + 1, int(np.searchsorted(total, total[at] + SLICE, "right")) - 1)
@@ -108,7 +155,7 @@ def _segments(data: np.ndarray, off: np.ndarray, word: np.ndarray, lower: bool =
         at = stop
 
 
-def words(data: np.ndarray, off: np.ndarray, word: np.ndarray, lower: bool = True, spans: bool = False):
+def words(data: np.ndarray, off: np.ndarray, word: np.ndarray, lower: bool = True, spans: bool = False, seed: int = 0):
     """Hashes of all words, and for each document the index of its first word (n + 1 entries).
 
     With spans, also the byte span of each word.
@@ -125,10 +172,7 @@ def words(data: np.ndarray, off: np.ndarray, word: np.ndarray, lower: bool = Tru
         before[cuts[cuts < n]] = False
         after[cuts[cuts > 0] - 1] = False
         s, e = np.flatnonzero(is_word & ~before), np.flatnonzero(is_word & ~after)
-        c = _BYTE[d] * _power("up", n)[:n]
-        total = np.add.accumulate(c)
-        h = (total[e] - total[s] + c[s]) * _power("down", n)[s]
-        hashes.append(mix(h + (e - s + 1).astype(U) * U(0xD6E8FEB86659FD93)))
+        hashes.append(span_hashes(d, s, e + 1, seed))
         starts.append(s + a)
         ends.append(e + a + 1)
     h = np.concatenate(hashes) if hashes else np.zeros(0, U)
@@ -153,16 +197,47 @@ def sequence(h: np.ndarray) -> np.ndarray:
     return grams(h, len(h))
 
 
-def shingle_sets(data: np.ndarray, off: np.ndarray, n: int = 5) -> Iterator[np.ndarray]:
-    """For each document the sorted distinct hashes of its n-word shingles; fewer words make one, none make an empty set."""
-    h, first = words(data, off, NOT_SPACE)
-    g = grams(h, n)
-    for a, b in zip(first[:-1], first[1:]):
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
+def shingle_sets(data: np.ndarray, off: np.ndarray, n: int = 5) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each document the sorted distinct hashes of its n-word shingles, by two independent hashes of 64 bits; fewer words make one shingle, none make an empty set."""
+    h, first, s, e = words(data, off, NOT_SPACE, spans=True)
+    both = (h, span_hashes(LOWER[data], s, e, 1))
+    g = [grams(x, n) for x in both]
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
         if b - a >= n:
-            x = np.sort(g[a : b - n + 1])
-            yield x[np.concatenate(([True], x[1:] != x[:-1]))]
+            yield distinct(g[0][a : b - n + 1]), distinct(g[1][a : b - n + 1])
         else:
-            yield sequence(h[a:b]) if b > a else np.zeros(0, U)
+            yield tuple(sequence(x[a:b]) if b > a else np.zeros(0, U) for x in both)
+
+
+def shingle_codes(data: np.ndarray, off: np.ndarray, n: int = 5) -> list[np.ndarray]:
+    """For each document the sorted distinct numbers of its n-word shingles. Equal numbers are equal words, in all documents of the column."""
+    h, first, s, e = words(data, off, NOT_SPACE, spans=True)
+    code, _ = vocabulary(LOWER[data], s, e, h)
+    m = max(len(code) - n + 1, 0)
+    rows = np.lib.stride_tricks.sliding_window_view(code, n) if m else np.zeros((0, n), np.int64)
+    # only places with n words of one document are shingles
+    place = np.flatnonzero(np.repeat(first[1:], np.diff(first))[:m] - np.arange(m) >= n)
+    g, _ = pd.factorize(grams(h, n)[place]) if m else (np.zeros(0, np.int64), None)
+    if len(g):
+        rep = np.empty(int(g.max()) + 1, np.int64)
+        rep[g[::-1]] = place[::-1]
+        if not (rows[place] == rows[rep[g]]).all():  # two shingles under one hash
+            _, g = np.unique(rows[place], axis=0, return_inverse=True)
+            g = g.reshape(-1)
+    whole, short = np.searchsorted(place, first), {}
+    out = []
+    for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
+        if b - a >= n:
+            out.append(distinct(g[whole[i] : whole[i + 1]].astype(np.int64)))
+        else:  # numbers below 0: a sequence of fewer words is no shingle of n
+            out.append(np.array([-1 - short.setdefault(tuple(code[a:b].tolist()), len(short))] if b > a else [], np.int64))
+    return out
 
 
 def gear(data: np.ndarray, window: int = 32) -> np.ndarray:

@@ -18,7 +18,6 @@ from functools import reduce
 from operator import or_
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -151,9 +150,7 @@ def hits(batch: pa.RecordBatch, automaton: Automaton, name: str = "text") -> tup
     counts = np.diff(first)
     if not len(h):
         return counts, []
-    codes, _ = pd.factorize(h)
-    at = np.zeros(codes.max() + 1, np.int64)
-    at[codes[::-1]] = np.arange(len(h))[::-1]  # first place of each distinct word
+    codes, at = kernels.vocabulary(kernels.LOWER[data], s, e, h)
     found = np.full(len(at), -1, np.int64)
     what: list[tuple[int, int]] = []
     raw = data.tobytes()

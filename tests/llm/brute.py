@@ -78,6 +78,32 @@ def hits(docs, items, size=10):
     return out
 
 
+def near_misses(docs, items, size=10, rarest=3, slop=2):
+    """{doc_id: places where a window's rarest words stand near their places but the window is not exact}"""
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+    texts = {i: words(t) for i, t in docs}
+    freq = defaultdict(int)
+    for w in texts.values():
+        for x in w:
+            freq[x] += 1
+    wins = set()
+    for _, t in items:
+        w = words(t)
+        n = min(size, len(w))
+        wins |= {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if n else set()
+    out = dict.fromkeys(texts, 0)
+    for win in wins:
+        if not all(x in freq for x in win):
+            continue
+        rank = sorted(range(len(win)), key=lambda o: (freq[win[o]], o))[:rarest]
+        for i, w in texts.items():
+            for p in range(len(w)):
+                s = p - rank[0]
+                if w[p] == win[rank[0]] and all(win[o] in w[max(0, s + o - slop) : max(0, s + o + slop + 1)] for o in rank[1:]):
+                    out[i] += s < 0 or tuple(w[s : s + len(win)]) != win
+    return out
+
+
 def joined(spans, kinds):
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (s[1], kinds.index(s[0]))))
 

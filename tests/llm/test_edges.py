@@ -176,6 +176,85 @@ def test_decontamination_random(spark):
     assert got == brute.hits(list(enumerate(docs)), list(enumerate(items)), 4)
 
 
+def test_decontamination_in_blocks_and_segments(spark, monkeypatch):
+    """One form at every size: windows in many blocks, a corpus of many segments, frequencies joined and not broadcast, windows of common words."""
+    rnd = random.Random(8)
+    docs = [" ".join(rnd.choice("the of A b c d".split()) for _ in range(rnd.randint(0, 80))) for _ in range(80)] + ["x" * 9000 + " the OF a"]
+    items = [" ".join(rnd.choice("the of a b c d e".split()) for _ in range(rnd.randint(1, 9))) for _ in range(40)] + ["x" * 9000 + " the of a"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    d, pairs = table(spark, docs).withColumn("Segment", F.lit(1)).withColumn("rid", F.lit("mine")).repartition(3), list(enumerate(docs))
+    want, near = brute.hits(pairs, list(enumerate(items)), 4), brute.near_misses(pairs, list(enumerate(items)), 4)
+    size, kernels.SLICE = kernels.SLICE, 300  # for the index's segments where workers share this process only; results are the same
+    try:
+        rows = decontaminate.decontaminate(d, bench, size=4, block_bytes=2000, broadcast_rows=0).collect()
+    finally:
+        kernels.SLICE = size
+    assert {r["doc_id"]: tuple(r[c] for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")) for r in rows} == want
+    assert {r["doc_id"]: r["n_near"] for r in rows} == near and sum(near.values()) > 100
+    assert all(r["Segment"] == 1 and r["rid"] == "mine" for r in rows)
+
+
+def test_index_holds_every_word(spark):
+    import numpy as np
+
+    docs = ["b a b", None, "", "A c-a", "é É"]
+    rows = decontaminate.build_index(table(spark, docs).select("text").coalesce(1)).collect()
+    assert len(rows) == 1
+    r = rows[0]
+    places, out = decontaminate._from_planes(bytes(r["places"])), {}
+    at = 0
+    for t, n in zip(r["terms"], r["counts"]):
+        out[t] = np.cumsum(places[at : at + n]).tolist()
+        at += n
+    assert out == {"b": [0, 2], "a": [1, 3, 5], "c": [4], "é": [6], "É": [7]}
+    assert [(x["first"], x["n_words"]) for x in r["docs"]] == [(0, 3), (3, 0), (3, 0), (3, 3), (6, 2)] and r["n_words"] == 8
+
+
+def thue_morse(n):
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+@pytest.mark.parametrize("n", [10, 12])
+def test_words_equal_by_no_structure(spark, n):
+    """Words that all polynomial hashes modulo a power of two give the same value."""
+    a, b = thue_morse(n)
+    rest = " ".join(words(30, 3))
+    texts = [a, b, f"{a} {rest}", f"{b} {rest} and more words than that", f"q {a} r"]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(table(spark, texts)).collect()}
+    assert got == brute.near(list(enumerate(texts))) and got[1][2]
+    items = spark.createDataFrame([(1, a)], "item_id long, text string")
+    rows = {r["doc_id"]: r["contaminated"] for r in decontaminate.decontaminate(table(spark, texts), items).collect()}
+    assert rows == {0: True, 1: False, 2: True, 3: False, 4: True}
+    model = toxicity.Model([(a, False, 0)], [(1.0, 1.0)])
+    assert [y for y, found in toxicity._hits_of(table(spark, texts).selectExpr("cast(doc_id as int) as y", "text"), model) if found] == [0, 2, 4]
+
+
+def test_words_under_one_hash_stay_apart():
+    import numpy as np
+
+    data, off = kernels.of_texts(["one two one", "three two", "x" * 100 + " " + "x" * 99 + "y"])
+    h, _, s, e = kernels.words(data, off, kernels.NOT_SPACE, spans=True)
+    for x in (h, h % np.uint64(2), h * np.uint64(0)):
+        code, first = kernels.vocabulary(data, s, e, x)
+        assert code.tolist() == [0, 1, 0, 2, 1, 3, 4] and first.tolist() == [0, 1, 3, 5, 6]
+
+
+def test_near_exact_mode(spark):
+    rnd, base = random.Random(9), words(60, 9)
+    texts = []
+    for i in range(50):
+        w = list(base)
+        for _ in range(rnd.choice([1, 1, 2, 3])):
+            w[rnd.randrange(len(w))] = f"n{rnd.randrange(10**6)}"
+        texts.append(" ".join(w))
+    d = table(spark, texts).withColumns({"set_id": F.lit(1), "id": F.lit("x"), "VALUE": F.lit(2)})
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(d, exact=True).collect()}
+    assert got == brute.near(list(enumerate(texts)))
+
+
 def test_proximity(spark):
     bench = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
     docs = table(spark, ["x alpha beta gamma delta y", "alpha x beta gamma delta", "alpha " + "x " * 20 + "beta gamma delta"])
