@@ -21,17 +21,30 @@ select n.doc_id, n.n as n_shingles, c.component_id, n.doc_id = c.component_id as
 
 _WORDS = rf"regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+#: Of the places in {a}, those with the window's word of rank {r} at most two places off its own.
+_NEAR = """{b} as (select distinct c.g, c.n, c.doc_id, c.s from {a} c join an a on a.g = c.g and a.r = {r} join (select unnest(range(-2, 3)) as d) q on true
+  join dp p on p.doc_id = c.doc_id and p.pos = c.s + a.o + q.d and p.x = a.x union select * from {a} where n < {r})"""
+
 OP3 = f"""
 with i as (select item_id, {_WORDS} as w from benchmark), d as (select doc_id, {_WORDS} as w from documents),
 p as (select item_id, w, least(10, len(w)) as n, unnest(range(1, len(w) - least(10, len(w)) + 2)) as s from i where len(w) > 0),
 v as (select distinct item_id, n, array_to_string(w[s:s + n - 1], ' ') as g from p),
 z as (select distinct n from v),
 t as (select doc_id, z.n, w, unnest(range(1, len(w) - z.n + 2)) as s from d, z where len(w) >= z.n),
-m as (select t.doc_id, t.s, t.n, v.item_id from t join v on v.n = t.n and v.g = array_to_string(t.w[t.s:t.s + t.n - 1], ' ')),
+m as (select t.doc_id, t.s, t.n, v.g, v.item_id from t join v on v.n = t.n and v.g = array_to_string(t.w[t.s:t.s + t.n - 1], ' ')),
 h as (select doc_id, count(distinct pos) as n_hit from (select doc_id, unnest(range(s, s + n)) as pos from m) group by doc_id),
-k as (select doc_id, count(*) as n_items, string_agg(id, ',' order by id) as ids from (select distinct doc_id, cast(item_id as varchar) as id from m) group by doc_id)
-select d.doc_id, cast(len(d.w) as bigint) as n_words, coalesce(h.n_hit, 0) as n_hit, coalesce(k.n_items, 0) as n_items, sha256(coalesce(k.ids, '')) as items_sha256, coalesce(h.n_hit, 0) > 0 as contaminated
-from d left join h using (doc_id) left join k using (doc_id)
+k as (select doc_id, count(*) as n_items, string_agg(id, ',' order by id) as ids from (select distinct doc_id, cast(item_id as varchar) as id from m) group by doc_id),
+dp as (select doc_id, unnest(range(1, len(w) + 1)) as pos, unnest(w) as x from d),
+fr as (select x, count(*) as f from dp group by x),
+wo as (select g, n, unnest(range(0, n)) as o, unnest(string_split(g, ' ')) as x from (select distinct g, n from v)),
+ra as (select wo.*, row_number() over (partition by g order by f, o) as r, count(f) over (partition by g) as known from wo left join fr using (x)),
+an as (select * from ra where known = n and r <= 3),
+c1 as (select a.g, a.n, p.doc_id, p.pos - a.o as s from an a join dp p on p.x = a.x where a.r = 1),
+{_NEAR.format(a="c1", b="c2", r=2)},
+{_NEAR.format(a="c2", b="c3", r=3)},
+nr as (select doc_id, count(*) as n_near from c3 anti join (select distinct doc_id, s, g from m) using (doc_id, s, g) group by doc_id)
+select d.doc_id, cast(len(d.w) as bigint) as n_words, coalesce(h.n_hit, 0) as n_hit, coalesce(k.n_items, 0) as n_items, sha256(coalesce(k.ids, '')) as items_sha256, coalesce(h.n_hit, 0) > 0 as contaminated, coalesce(nr.n_near, 0) as n_near
+from d left join h using (doc_id) left join k using (doc_id) left join nr using (doc_id)
 """
 
 OP6 = r"""
