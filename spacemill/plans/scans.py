@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +10,7 @@ from spacemill.functions.bitmap import positions
 from spacemill.operators import headers as hd
 from spacemill.plans.base import FX, HD, NBLOCKS, query
 from spacemill.plans.extents import free
+from spacemill.scratch import scratch_path
 from spacemill.sources import files as src
 from spacemill.sources import tables as t
 
@@ -95,16 +93,11 @@ def free_list(spark, sf):
     return s.join(held, "map", "left").select("map", F.array_sort(F.array_except(full, F.coalesce("_set", F.array().cast("array<bigint>")))).alias("free_blocks"))
 
 
-def _scratch(spark) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/') if shared else tempfile.mkdtemp(prefix='spacemill-')}/{uuid.uuid4().hex}"
-
-
 @query("a_s7_s11_s12_create_open", "select o_orderkey as id, o_custkey as k, o_orderstatus as status from orders")
 def create_open(spark, sf):
     """Writes two region files and opens both as one, by an explicit schema."""
     o = t.read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("k"), F.col("o_orderstatus").alias("status"))
-    where = _scratch(spark)
+    where = scratch_path(spark)
     src.create(o.where("id % 2 = 0"), f"{where}/a")
     src.create(o.where("id % 2 = 1"), f"{where}/b")
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("k", T.LongType()), T.StructField("status", T.StringType())])
@@ -194,7 +187,7 @@ def matched_blocks(spark, sf):
 def xattr_table(spark, sf):
     """Attribute maps stored as a Parquet map column and read back."""
     x = F.create_map(F.lit("user.seg"), F.col("c_mktsegment"), F.lit("user.nation"), F.col("c_nationkey").cast("string"))
-    path = f"{_scratch(spark)}/x"
+    path = scratch_path(spark)
     src.create(t.read(spark, sf, "customer").select(F.col("c_custkey").alias("file"), x.alias("x")), path)
     back = spark.read.schema("file long, x map<string,string>").parquet(path)
     return back.select("file", F.size("x").alias("n"), F.col("x")["user.seg"].alias("seg"))

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from spacemill.operators import extents as ex
 from spacemill.operators import replay as rp
 from spacemill.plans.base import SIZES, query
+from spacemill.scratch import scratch_path
 from spacemill.sources import tables as t
 from spacemill.streaming import replay as sr
 
@@ -60,8 +58,7 @@ def route(spark, sf):
 @query("a_m_streaming_replay")
 def streaming_replay(spark, sf):
     """The extent replay as a stream with a state each heap; its rows are those of the batch form."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    where = f"{shared.rstrip('/') if shared else tempfile.mkdtemp(prefix='spacemill-')}/{uuid.uuid4().hex}"
+    where = scratch_path(spark)
     out = sr.stream_replay(sr.event_log(spark, sf), extent_heap, rp.EXTENT_ROWS)
     sr.run_to_table(out, f"{where}/out", f"{where}/checkpoint")
     return spark.read.schema(rp.EXTENT_ROWS).parquet(f"{where}/out")
