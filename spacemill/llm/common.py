@@ -2,40 +2,22 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import Window as W
 
+from spacemill.scratch import scratch_path, shared_dir  # noqa: F401
+
 #: Salts that a hot key is split into before shuffles.
 SALTS = 16
 
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor and the driver see: ``spark.checkpoint.dir`` of the session.
-
-    Only where it is unset (local tests) a folder of our own is made, and removed at exit.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = tempfile.mkdtemp(prefix="spacemill-")
-        atexit.register(shutil.rmtree, _own_dirs[app], ignore_errors=True)
-    return _own_dirs[app]
-
-
 _made: dict[str, list[str]] = {}
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     _made.setdefault(spark.sparkContext.applicationId, []).append(path)
     return path
 
@@ -66,7 +48,35 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage is cut and a lost executor costs only a reread."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+@contextmanager
+def dropping(spark: SparkSession, kept: list[DataFrame]) -> Iterator[None]:
+    """Deletes, at the end, what was staged inside but for the staged tables in ``kept``: those that a result yet to be computed reads."""
+    before = set(made(spark))
+    yield
+    needed = {k.staged_at for k in kept}
+    delete(spark, [p for p in made(spark) if p not in before and p not in needed])
+
+
+def unused(columns: Iterable[str], *names: str) -> list[str]:
+    """The names, lengthened where a column has them already, in any case."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def others(df: DataFrame, replaced: Iterable[str], *spare: str) -> list[str]:
+    """The columns of df but for spare ones and those that a result's names replace, whatever their case."""
+    gone = {n.lower() for n in replaced}
+    return [c for c in df.columns if c in spare or c.lower() not in gone]
 
 
 def salt_of(*cols: str | Column) -> Column:
@@ -84,26 +94,21 @@ def lookup(left: DataFrame, right: DataFrame, key: str, salt: str, how: str = "l
     return left.join(pairs.join(right, key), [key, salt], how)
 
 
-def numbered(df: DataFrame, group: str, order: list[Column], slot: str, blocks: int, block_by: list[Column], weigh: Column | None = None, before: str = "before", block: Column | None = None) -> DataFrame:
-    """Adds gapless numbers from 0 within each group, without a task that holds a whole group.
+def numbered(df: DataFrame, group: str, order: list[Column], sums: dict[str, Column], blocks: int, block_by: list[Column], block: Column | None = None) -> DataFrame:
+    """Adds, for each name in sums, the sum of its column over the rows before, within each group; a sum of ones numbers the rows from 0 without gaps.
 
-    Rows go to ``blocks`` blocks by a hash of block_by; a block's first number is the sum of the counts of
+    No task holds a whole group: rows go to ``blocks`` blocks by a hash of block_by, and a block begins with the sums over
     the blocks before it, from a table of at most groups x blocks rows. A given ``block`` column deals the rows instead, and its
-    order is that of the numbers. With weigh, ``before`` is the sum
-    of weigh over the rows numbered before.
+    order is that of the rows. Columns of df may have any names but those in sums.
     """
-    w = F.lit(0).cast("long") if weigh is None else weigh
+    no, above, g, b = unused([*df.columns, *sums], "block", "above", "group", "block_of")
+    names = unused([*df.columns, *sums, no, above, g, b], *[f"add_{n}" for n in sums])
     dealt = F.pmod(F.xxhash64(*block_by), F.lit(blocks)).cast("int") if block is None else block
-    df = df.withColumns({"_block": dealt, "_weigh": w})
-    sums = df.groupBy(group, "_block").agg(F.count("*").alias("_n"), F.sum("_weigh").alias("_sum"))
-    upto = W.partitionBy(group).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    first = sums.select(
-        F.col(group).alias("_g"), F.col("_block").alias("_b"),
-        F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_first"), F.coalesce(F.sum("_sum").over(upto), F.lit(0)).alias("_above"),
-    )
-    inside = W.partitionBy(group, "_block").orderBy(*order)
-    rows = df.withColumns({"_k": F.row_number().over(inside), "_w": F.coalesce(F.sum("_weigh").over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))})
-    joined = rows.join(first, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_block") == F.col("_b")))
-    out = joined.withColumn(slot, (F.col("_first") + F.col("_k") - 1).cast("long"))
-    out = out.withColumn(before, (F.col("_above") + F.col("_w")).cast("long")) if weigh is not None else out
-    return out.drop("_block", "_weigh", "_g", "_b", "_first", "_above", "_k", "_w")
+    df = df.withColumns({no: dealt} | {a: c.cast("long") for a, c in zip(names, sums.values())})
+    upto = W.partitionBy(g).orderBy(b).rowsBetween(W.unboundedPreceding, -1)
+    per = df.groupBy(F.col(group).alias(g), F.col(no).alias(b)).agg(*[F.sum(a).alias(a) for a in names])
+    first = per.select(g, b, F.struct(*[F.coalesce(F.sum(a).over(upto), F.lit(0)).alias(a) for a in names]).alias(above))
+    inside = W.partitionBy(group, no).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    rows = df.withColumns({n: F.coalesce(F.sum(a).over(inside), F.lit(0)) for n, a in zip(sums, names)})
+    joined = rows.join(first, F.col(group).eqNullSafe(F.col(g)) & F.col(no).eqNullSafe(F.col(b)))
+    return joined.withColumns({n: (F.col(n) + F.col(above)[a]).cast("long") for n, a in zip(sums, names)}).drop(no, above, g, b, *names)

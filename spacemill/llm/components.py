@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from spacemill.llm.common import lookup, salt_of, stage
+from spacemill.llm.common import delete, lookup, salt_of, stage
 
 
 def _directed(edges: DataFrame) -> DataFrame:
@@ -37,6 +37,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         shape = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if shape == last or not shape[0]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()).distinct()
-        last = shape
-        now = stage(_small_star(_large_star(now)), "edges")
+        last, before = shape, now
+        now = stage(_small_star(_large_star(before)), "edges")
+        delete(before.sparkSession, [before.staged_at])
     raise RuntimeError(f"components not done after {rounds} rounds")

@@ -15,6 +15,7 @@ Words are compared as words, never as hashes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +25,12 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 from spacemill.llm import kernels
-from spacemill.llm.common import stage
+from spacemill.llm.common import dropping, others, stage
 
 #: Bytes of windows and item ids that are sent to every task at once; a larger benchmark is sought in several passes over the index.
 BLOCK_BYTES = 8 << 20
 #: Places that are looked at at once.
-PLACES = 1 << 21
+PLACES = 1 << 18
 
 
 def _strings(raw: bytes, s: np.ndarray, e: np.ndarray) -> list[str]:
@@ -192,8 +193,8 @@ def _found(block: Block, terms: pa.Array, counts: np.ndarray, places: np.ndarray
 MATCH = "rid struct<segment:long,doc:int>, start int, size int, exact boolean, items array<string>"
 
 
-def matches(index: DataFrame, sought: DataFrame, rarest: int = 3, slop: int = 0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """rid (segment, and the document's number in it), start (the place in the document of the window's first word), size (of the window), exact, items: a row a match.
+def matches(index: DataFrame, sought: DataFrame, rarest: int = 3, slop: int = 0, block_bytes: int = BLOCK_BYTES) -> list[DataFrame]:
+    """Staged, one for each block of windows: rid (segment, and the document's number in it), start (the place in the document of the window's first word), size (of the window), exact, items: a row a match.
 
     A proximity match (exact false) is a place of a window's rarest word at which its other ``rarest`` words stand in the
     document at most slop places off theirs, but the window not exactly; there are none without a slop. Blocks are made by a hash of
@@ -235,10 +236,7 @@ def matches(index: DataFrame, sought: DataFrame, rarest: int = 3, slop: int = 0,
         slim = index.select("segment", "n_words", "terms", "counts", "places", F.col("docs.first").alias("first"))
         out.append(stage(slim.mapInArrow(run, MATCH), "decontaminate-matches"))
         sent.unpersist()
-    found = spark.createDataFrame([], MATCH) if not out else out[0]
-    for x in out[1:]:
-        found = found.unionByName(x)
-    return found
+    return out
 
 
 #: Distinct benchmark words up to which they are broadcast to count them (some 10 MB); beyond, the corpus's dictionary is summed whole.
@@ -247,12 +245,17 @@ BROADCAST_ROWS = 100_000
 
 def find(docs: DataFrame, items: DataFrame, size: int = 10, rarest: int = 3, slop: int = 0, text_col: str = "text", block_bytes: int = BLOCK_BYTES, broadcast_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
     """(the index, matches). Null and empty texts have no words and no matches; a null item id is no item; equal items share windows."""
-    wins = stage(windows(items, size), "benchmark-windows")
-    index = build_index(docs, text_col)
-    terms = wins.select(F.explode("terms").alias("term")).distinct()
-    freq = stage(term_frequencies(index, terms, terms.count() <= broadcast_rows), "benchmark-terms")
-    sought = stage(anchors(wins, freq), "benchmark-anchors")
-    return index, matches(index, sought, rarest, slop, block_bytes)
+    kept: list[DataFrame] = []
+    with dropping(docs.sparkSession, kept):
+        wins = stage(windows(items, size), "benchmark-windows")
+        index = build_index(docs, text_col)
+        terms = wins.select(F.explode("terms").alias("term")).distinct()
+        freq = stage(term_frequencies(index, terms, terms.count() <= broadcast_rows), "benchmark-terms")
+        sought = stage(anchors(wins, freq), "benchmark-anchors")
+        found = matches(index, sought, rarest, slop, block_bytes)
+        kept += [index, *found]
+    empty = docs.sparkSession.createDataFrame([], MATCH)
+    return index, reduce(DataFrame.unionByName, found) if found else empty
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, text_col: str = "text", slop: int = 2, **more) -> DataFrame:
@@ -264,7 +267,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, text_col: s
     gives no rows, an empty benchmark no hits. Columns of docs with these names, in any case, are replaced.
     """
     new = {"n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near"}
-    index, found = find(docs.drop(*[c for c in docs.columns if c.lower() in new and c != text_col]), items, size, text_col=text_col, slop=slop, **more)
+    docs = docs.select(*[f"`{c}`" for c in others(docs, new, text_col)])
+    index, found = find(docs, items, size, text_col=text_col, slop=slop, **more)
     zero = F.struct(F.lit(0).alias("upto"), F.lit(0).cast("long").alias("n"))
 
     def grow(acc, s):

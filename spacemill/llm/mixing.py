@@ -10,9 +10,9 @@ from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from spacemill.llm.common import numbered
+from spacemill.llm.common import delete, numbered, others, stage, unused
 
 #: Slots of a hyperperiod at least; weights are rounded to its parts.
 PERIOD = 4096
@@ -60,35 +60,88 @@ def tempered(sizes: dict, power: float = 0.7) -> dict:
     return {s: max(n, 1) ** power / total**power for s, n in sizes.items()}
 
 
-def mix(docs: DataFrame, weights: dict | None = None, block_bytes: int = 1 << 16, power: float = 0.7, slots: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", blocks: int = 64) -> DataFrame:
-    """docs plus mix_slot (the Pfair slot of the row's block) and mix_place (its place in the block), sorted by them over range partitions.
+#: Rows up to which places are sent to the rows by broadcast (some 100 MB); beyond, they are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+#: Rows of a source that one task numbers.
+BLOCK_ROWS = 1_000_000
+#: Parts that the slots are dealt into to even out the bytes of the result's partitions: so many, or more for each partition.
+BINS, BINS_EACH = 4096, 8
+
+
+def _row_key(docs: DataFrame) -> list[Column]:
+    """128 bits of a row's columns."""
+    plain = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema.fields]
+    return [F.xxhash64(*plain), F.xxhash64(F.lit("second"), *plain)]
+
+
+def mix(docs: DataFrame, weights: dict | None = None, block_bytes: int = 1 << 16, power: float = 0.7, slots: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", broadcast_rows: int = BROADCAST_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """docs plus mix_slot (the Pfair slot of the row's block) and mix_place (its number in its source), sorted by them over partitions.
 
     A source's rows come in the order of a hash of their id, and a block is block_bytes of their text; a row is
     in the block where it begins. Every row has a place: where some sources are used up their slots stay
     empty and the others go on at their mutual rates. With ``slots`` the feature is a cut: only rows of slots below it are
     given. Weights default to tempered shares of bytes; sources of no weight are left out only where weights are given. A null
-    source is a source like others; a null text has no bytes. Sources (not rows) are known to the driver.
+    source is a source like others; a null text has no bytes. Equal rows have a place each. Sources (not rows) are known to
+    the driver. Columns named mix_slot or mix_place, in any case, are replaced. An empty table gives no rows.
+
+    Places are found on row keys, ids and sizes alone; the rows themselves are moved once, to the partition of their slot.
     """
+    spark = docs.sparkSession
+    docs = docs.select(*[f"`{c}`" for c in others(docs, ("mix_slot", "mix_place"))])
     size = F.coalesce(F.octet_length(text_col).cast("long"), F.lit(0).cast("long"))
-    rows = docs.drop("mix_slot", "mix_place").withColumn("_source", F.col(source_col).cast("string"))
+    k1, k2 = _row_key(docs)
+    slim = docs.select(F.col(source_col).cast("string").alias("source"), F.col(id_col).alias("id"), size.alias("size"), k1.alias("k1"), k2.alias("k2"))
+    slim = stage(slim.groupBy("source", "id", "size", "k1", "k2").agg(F.count("*").alias("n")), "mix-rows")
+    sources = {r["source"]: r for r in slim.groupBy("source").agg(F.sum(F.col("n") * (F.col("size") + 1)).alias("bytes"), F.count("*").alias("rows")).collect()}
     if weights is None:
-        sizes = {r["_source"]: r["n"] for r in rows.groupBy("_source").agg(F.sum(size + 1).alias("n")).collect()}
-        weights = tempered(sizes, power)
+        weights = tempered({s: r["bytes"] for s, r in sources.items()}, power)
     p = parts(weights)
     pattern = schedule(p)
-    spark = docs.sparkSession
     at: dict = {}
     for t, s in enumerate(pattern):
         at.setdefault(s, []).append(t)
-    table = spark.createDataFrame([(s, p[s], slots_) for s, slots_ in at.items()], "_s string, _parts long, _pattern array<long>")
-    # numbers are found on ids and sizes alone; the texts join them only for the final order
-    h = F.xxhash64(F.col(id_col))
-    counted = numbered(rows.withColumn("_size", size), "_source", [h, F.col(id_col), F.col("_size")], "_index", blocks, [F.col(id_col), F.col("_size")], weigh=F.col("_size"), before="_bytes_before")
-    block = F.floor(F.col("_bytes_before") / block_bytes).cast("long")
-    placed = counted.withColumn("_block_no", block).join(F.broadcast(table), F.col("_source").eqNullSafe(F.col("_s")))
-    slot = F.floor(F.col("_block_no") / F.col("_parts")) * len(pattern) + F.element_at("_pattern", (F.col("_block_no") % F.col("_parts") + 1).cast("int"))
-    out = placed.withColumns({"mix_slot": slot.cast("long"), "mix_place": F.col("_index")})
+    # PERIOD slots in all, or four times the sources
+    table = spark.createDataFrame([(s, p[s], slots_) for s, slots_ in at.items()], "s string, parts long, pattern array<long>")
+    blocks = max(64, -(-max([0, *(r["rows"] for r in sources.values())]) // block_rows))
+    keys = [F.col("id"), F.col("size"), F.col("k1"), F.col("k2")]
+    counted = numbered(slim, "source", [F.xxhash64("id"), *keys], {"place": F.col("n"), "above": F.col("n") * F.col("size")}, blocks, keys)
+
+    def slot(above: Column) -> Column:
+        block = F.floor(above / block_bytes).cast("long")
+        return (F.floor(block / F.col("parts")) * len(pattern) + F.element_at("pattern", (block % F.col("parts") + 1).cast("int"))).cast("long")
+
+    placed = counted.join(F.broadcast(table) if len(at) <= broadcast_rows else table, F.col("source").eqNullSafe(F.col("s")))
+    found = stage(placed.select("source", "k1", "k2", "n", "size", "place", "above", slot(F.col("above")).alias("slot")), "mix-places")
+    delete(spark, [slim.staged_at])
+    many = not found.where("n > 1").isEmpty()
+    own = docs.columns
+    a, b, x = unused([*own, "mix_slot", "mix_place"], "k1", "k2", "found")
+    keyed = docs.withColumns({a: k1, b: k2})
+
+    def joined(rows: DataFrame, places: DataFrame, got: Column, few: bool) -> DataFrame:
+        y = places.select(F.col("k1").alias("_y1"), F.col("k2").alias("_y2"), got.alias(x)).withColumnsRenamed({"_y1": a + "_", "_y2": b + "_"})
+        return rows.join(F.broadcast(y) if few else y, (F.col(a) == F.col(a + "_")) & (F.col(b) == F.col(b + "_"))).select(*[f"`{c}`" for c in own], x)
+
+    few = found.count() <= broadcast_rows
+    place = F.struct(F.col("slot").alias("slot"), F.col("place").alias("place"))
+    out = joined(keyed, found.where("n = 1"), place, few)
+    if many:  # equal rows: one of them, given a place for each
+        copies = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: F.struct(slot(F.col("above") + i * F.col("size")).alias("slot"), (F.col("place") + i).alias("place")))
+        repeated = keyed.join(found.where("n > 1").select(F.col("k1").alias(a), F.col("k2").alias(b)), [a, b], "left_semi").dropDuplicates([a, b])
+        again = found.where("n > 1").join(table, F.col("source").eqNullSafe(F.col("s")))
+        out = out.unionByName(joined(repeated, again, copies, few).withColumn(x, F.explode(x)))
+    out = out.withColumns({"mix_slot": F.col(x)["slot"], "mix_place": F.col(x)["place"]}).drop(x)
     if slots is not None:
         out = out.where(F.col("mix_slot") < slots)
-    keep = [*[c for c in docs.columns if c not in ("mix_slot", "mix_place")], "mix_slot", "mix_place"]
-    return out.select(*keep).repartitionByRange("mix_slot", "mix_place").sortWithinPartitions("mix_slot", "mix_place")
+    # partitions are runs of slots of about equal bytes, known from the places
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    last = (found.agg(F.max("slot")).first()[0] or 0) + 1
+    bins = min(last, max(BINS, BINS_EACH * n))
+    bin_of = lambda c: F.least(F.floor(c * (bins / last)), F.lit(bins - 1)).cast("int")
+    held = {r["bin"]: r["bytes"] for r in found.groupBy(bin_of(F.col("slot")).alias("bin")).agg(F.sum(F.col("n") * (F.col("size") + 100)).alias("bytes")).collect()}
+    total, upto, part = sum(held.values()) or 1, 0, []
+    for k in range(bins):
+        part.append(min(n - 1, upto * n // total))
+        upto += held.get(k, 0)
+    to = F.element_at(F.lit(part).cast("array<int>"), bin_of(F.col("mix_slot")) + 1)
+    return out.repartitionById(n, to).sortWithinPartitions("mix_slot", "mix_place")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spacemill.llm import kernels
-from spacemill.llm.common import lookup, salt_of, stage
+from spacemill.llm.common import delete, dropping, lookup, salt_of, stage
 from spacemill.llm.components import components
 
 U = np.uint64
@@ -234,32 +234,37 @@ def _blocks(lists: DataFrame, similarity: float, sketch: int) -> DataFrame:
     return dealt.groupBy("value", "kind", "band", "x", "y").applyInArrow(run, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", broadcast_ids: int = BROADCAST_IDS, exact: bool = False) -> DataFrame:
-    """One row per row of docs: id, n_shingles, component_id, kept, and links (verified links of its class, 0 for most).
-
-    Documents are linked where 100 * intersection >= percent * union of their shingle sets; component_id is the smallest id
-    reachable, kept is doc_id = component_id. A text of fewer than ``shingle`` words is one shingle; null and empty texts have
-    none, are linked with nothing and keep themselves. A row with a null id takes the component of an equal set and is not
-    kept, or has none and is kept. Rows that repeat an id are each given, with the component of their own text. Other columns
-    are not looked at. With ``exact`` no bound rests on chance; lists are then as long as sets.
-    """
-    similarity = percent / 100
-    kept_values, listed = (WHOLE, WHOLE) if exact else (SKETCH, LISTED)
-    seen = stage(sketches(docs, shingle, id_col, text_col, kept_values), "near-sketches")
-    # one row per distinct set; equal sets are combined before the shuffle
-    full = seen.where("set_id is not null and id is not null")
-    classes = stage(full.groupBy("set_id").agg(F.min(F.struct(*KEY)).alias("row_key"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "near-classes")
-    lists = stage(postings(classes, similarity, listed), "near-lists")
+def _components(docs: DataFrame, percent: int, shingle: int, id_col: str, text_col: str, broadcast_ids: int, bounds: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """Staged: id, n_shingles and set_id of each row; set_id, component_id and links of each class."""
+    spark, similarity = docs.sparkSession, percent / 100
+    kept_values, listed = bounds
+    full = stage(sketches(docs, shingle, id_col, text_col, kept_values), "near-sketches")
+    seen = stage(full.select("id", "n_shingles", "set_id"), "near-rows")
+    kept: list[DataFrame] = []
+    with dropping(spark, kept):
+        # one row per distinct set; equal sets are combined before the shuffle
+        named = full.where("set_id is not null and id is not null").groupBy("set_id")
+        classes = stage(named.agg(F.min(F.struct(*KEY)).alias("row_key"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "near-classes")
+        kept.append(classes)
+    delete(spark, [full.staged_at])
+    with dropping(spark, kept):
+        lists = stage(postings(classes, similarity, listed), "near-lists")
+        kept.append(lists)
     met = stage(lists.select("set_id").distinct(), "near-met")
     active = stage(_among(classes, met, "set_id", broadcast_ids), "near-active")
+    classes = classes.select("set_id", F.col("row_key.id").alias("least"))
+
+    def confirm(candidates: DataFrame) -> DataFrame:
+        kept: list[DataFrame] = []
+        with dropping(spark, kept):
+            links = stage(_verified(candidates, active, docs, shingle, percent, id_col, text_col, broadcast_ids), "near-links")
+            kept.append(links)
+        delete(spark, [candidates.staged_at])
+        return links
 
     lead = stage(lists.groupBy("value").agg(F.min(F.struct("rare", "set_id"))["set_id"].alias("first"), F.min(F.struct(F.xxhash64("set_id").alias("h"), F.col("set_id")))["set_id"].alias("second")), "near-leaders")
     near = lists.select("value", "set_id").join(lead, "value").select("set_id", F.explode(F.array("first", "second")).alias("to")).where("set_id <> to")
     pairs = near.select(F.least("set_id", "to").alias("a"), F.greatest("set_id", "to").alias("b")).distinct()
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        return stage(_verified(pairs, active, docs, shingle, percent, id_col, text_col, broadcast_ids), "near-links")
-
     links = confirm(stage(_filtered(pairs, active, similarity, kept_values), "near-pairs"))
     root = components(links)
 
@@ -275,13 +280,28 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, id_col
             root = components(links)
 
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-    member = classes.select("set_id", F.col("row_key.id").alias("row_key")).join(root.withColumnRenamed("node", "set_id"), "set_id")
-    least = member.groupBy("root").agg(F.min("row_key").alias("component_id"))
-    linked = stage(lookup(member.withColumn("salt", salt_of("set_id")), least, "root", "salt", "inner").join(degree.withColumnRenamed("node", "set_id"), "set_id").select("set_id", "component_id", "links"), "near-linked")
+    member = classes.join(root.withColumnRenamed("node", "set_id"), "set_id")
+    least = member.groupBy("root").agg(F.min("least").alias("component_id"))
+    linked = lookup(member.withColumn("salt", salt_of("set_id")), least, "root", "salt", "inner").join(degree.withColumnRenamed("node", "set_id"), "set_id").select("set_id", "component_id", "links")
     # classes without links are their own smallest id
-    known = classes.select("set_id", F.col("row_key.id").alias("row_key")).join(linked, "set_id", "left").select("set_id", F.coalesce("component_id", "row_key").alias("component_id"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
+    return seen, stage(classes.join(linked, "set_id", "left").select("set_id", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("links", F.lit(0).cast("long")).alias("links")), "near-known")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", broadcast_ids: int = BROADCAST_IDS, exact: bool = False) -> DataFrame:
+    """One row per row of docs: id, n_shingles, component_id, kept, and links (verified links of its class, 0 for most).
+
+    Documents are linked where 100 * intersection >= percent * union of their shingle sets; component_id is the smallest id
+    reachable, kept is doc_id = component_id. A text of fewer than ``shingle`` words is one shingle; null and empty texts have
+    none, are linked with nothing and keep themselves. A row with a null id takes the component of an equal set and is not
+    kept, or has none and is kept. Rows that repeat an id are each given, with the component of their own text. Other columns
+    are not looked at. With ``exact`` no bound rests on chance; lists are then as long as sets.
+    """
+    kept: list[DataFrame] = []
+    with dropping(docs.sparkSession, kept):
+        seen, known = _components(docs, percent, shingle, id_col, text_col, broadcast_ids, (WHOLE, WHOLE) if exact else (SKETCH, LISTED))
+        kept += [seen, known]
     salt = F.when(F.col("set_id").isNull(), F.xxhash64("id")).otherwise(salt_of("id"))
-    out = lookup(seen.select("id", "n_shingles", "set_id").withColumn("salt", salt), known, "set_id", "salt")
+    out = lookup(seen.withColumn("salt", salt), known, "set_id", "salt")
     comp = F.when(F.col("set_id").isNull(), F.col("id")).otherwise(F.col("component_id"))
     kept = comp.isNull() | F.coalesce(F.col("id") == comp, F.lit(False))
     return out.select(F.col("id").alias(id_col), "n_shingles", comp.alias("component_id"), kept.alias("kept"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from spacemill.llm.common import numbered
+from spacemill.llm.common import numbered, others, stage, unused
 
 #: The generator's multiplier, and the modulus of its state.
 MULTIPLIER, MODULUS = 2862933555777941757, 2**64
@@ -42,24 +42,32 @@ def jump(key: Column, shards: int) -> Column:
     return F.struct(out.b.cast("int").alias("shard"), out.g.cast("int").alias("grown"))
 
 
-def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", sequence: tuple[str, str] | None = None, blocks: int = 256) -> DataFrame:
+#: Rows up to which numbered row keys are sent to the rows by broadcast (some 60 MB); beyond, they are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", sequence: tuple[str, str] | None = None, blocks: int = 256, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """All columns of docs plus size, text_crc32, law ('key'), shard, slot and grown_shard.
 
     The integral id alone decides the shard (null counts as id 0). ``size`` is the text's UTF-8 bytes plus 8,
     ``text_crc32`` its unsigned CRC-32; a null text has no bytes. ``slot`` numbers a shard's rows from 0 without
     gaps, block by block of an id and text hash, ties in any order; equal rows are interchangeable. With ``sequence``, the names of
-    two columns that are not given back, it follows their order: rows of one value of the first are numbered together, by the second. Columns of docs with the same names are replaced. An empty table gives no rows.
+    two columns that tell rows apart and are not given back, it follows their order: rows of one value of the first are
+    numbered together, by the second, on these columns alone. Columns of docs with the result's names, in any case, are replaced. An empty table gives no rows.
     """
     names = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
     octets = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    out = docs.drop(*[n for n in names if n not in (id_col, text_col)]).withColumns({
-        "size": F.octet_length(octets).cast("long") + 8,
-        "text_crc32": F.crc32(octets),
-        "law": F.lit("key"),
-        "_jump": jump(F.col(id_col), shards),
-    })
-    out = out.withColumns({"shard": F.col("_jump.shard"), "grown_shard": F.col("_jump.grown")}).drop("_jump")
-    by = [F.col(id_col), F.col("text_crc32"), F.col("size")]
-    if sequence:
-        return numbered(out, "shard", [F.col(sequence[1]), *by], "slot", blocks, by, block=F.col(sequence[0])).drop(*sequence)
-    return numbered(out, "shard", by, "slot", blocks, by)
+    rows = docs.select(*others(docs, names, id_col, text_col))
+    walked = unused([*rows.columns, *names], "jump")[0]
+    out = rows.withColumns({"size": F.octet_length(octets).cast("long") + 8, "text_crc32": F.crc32(octets), "law": F.lit("key"), walked: jump(F.col(id_col), shards)})
+    out = out.withColumns({"shard": F.col(walked)["shard"], "grown_shard": F.col(walked)["grown"]}).drop(walked)
+    if not sequence:
+        by = [F.col(id_col), F.col("text_crc32"), F.col("size")]
+        return numbered(out, "shard", by, {"slot": F.lit(1)}, blocks, by)
+    file, row = sequence
+    keys = rows.select(F.col(file).alias("file"), F.col(row).alias("row"), jump(F.col(id_col), shards)["shard"].alias("shard"))
+    slots = stage(numbered(keys, "shard", [F.col("row")], {"slot": F.lit(1)}, blocks, [], block=F.col("file")).drop("shard"), "shard-slots")
+    f, r, n = unused(out.columns, "file", "row", "slot")
+    slots = slots.select(F.col("file").alias(f), F.col("row").alias(r), F.col("slot").alias(n))
+    joined = out.join(F.broadcast(slots) if slots.count() <= broadcast_rows else slots, (F.col(file) == F.col(f)) & (F.col(row) == F.col(r)))
+    return joined.drop(file, row, f, r) if n == "slot" else joined.drop(file, row, f, r).withColumnRenamed(n, "slot")
