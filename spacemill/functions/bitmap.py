@@ -38,7 +38,10 @@ def is_set(bits: Column, bit: Column) -> Column:
 
 def positions(df: DataFrame, key: str) -> DataFrame:
     """key, bit: the set positions of packed buckets, again as rows."""
-    at = F.posexplode(F.transform(F.sequence(F.lit(0), F.octet_length("bits") - 1), lambda i: F.conv(F.hex(F.substring("bits", i + 1, F.lit(1))), 16, 10).cast("int")))
-    bytes_ = df.select(key, "bucket", at.alias("i", "byte")).where("byte <> 0")
-    bit = F.explode(F.filter(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: F.when(F.col("byte").bitwiseAND(F.call_function("shiftleft", F.lit(1), j)) != 0, j)), lambda j: j.isNotNull()))
-    return bytes_.select(key, "bucket", "i", bit.alias("j")).select(key, (F.col("bucket") * BUCKET + F.col("i") * 8 + F.col("j")).alias("bit"))
+    # eight bytes at a time; words without bits are gone before anything is made of them
+    word = lambda i: F.substring("bits", i * 8 + 1, F.lit(8))
+    held = F.filter(F.sequence(F.lit(0), F.call_function("div", F.octet_length("bits") - 1, F.lit(8)).cast("int")), lambda i: word(i) != F.lit(bytes(8)))
+    words = df.select(key, "bucket", F.explode(F.transform(held, lambda i: F.struct(i.alias("i"), F.conv(F.hex(word(i)), 16, -10).cast("long").alias("v")))).alias("w"))
+    # bit j of the word is bit j & 7 of its byte j >> 3, and the first byte is the number's highest
+    bit = F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda j: F.getbit("w.v", (7 - F.shiftright(j, 3)) * 8 + j.bitwiseAND(7)) == 1))
+    return words.select(key, (F.col("bucket") * BUCKET + F.col("w.i") * 64).alias("at"), bit.alias("j")).select(key, (F.col("at") + F.col("j")).alias("bit"))

@@ -19,10 +19,13 @@ def size_classes(spark: SparkSession) -> DataFrame:
 
 
 def sizeclass(size: Column) -> Column:
-    """The first class in table order of at least size bytes; null above the largest."""
-    table = F.array(*[F.lit(b).cast("long") for b in SIZE_CLASSES])
-    at = F.array_position(F.transform(table, lambda b: b >= size), True)
-    return F.when(at > 0, (at - 1).cast("int"))
+    """The first class in table order of at least size bytes; null above the largest. Arithmetic on the run that the size falls into."""
+    out, base = None, 0
+    for lo, hi, step in SIZE_CLASS_RUNS:
+        cls = (F.greatest(div(size - lo + step - 1, step), F.lit(0).cast("long")) + base).cast("int")
+        out = F.when(size <= hi, cls) if out is None else out.when(size <= hi, cls)
+        base += (hi - lo) // step + 1
+    return out
 
 
 def size_from_class(cls: Column) -> Column:

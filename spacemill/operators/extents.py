@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import Window as W
 
+from spacemill.functions.geometry import size_from_class
+
 
 def _islands(df: DataFrame, keys: list[str]) -> DataFrame:
     """Gaps and islands of (start, len) within keys: one shuffle, one sort."""
@@ -89,6 +91,17 @@ def containing(extents: DataFrame, probes: DataFrame, key: str = "k", at: str =
     return p.select("id", key, at, F.when(inside, F.col("x_start")).alias("start"), F.when(inside, F.col("x_len")).alias("len"))
 
 
+def stored_size(extents: DataFrame, slabs: DataFrame, probes: DataFrame, block: int, slab_blocks: int, key: str = "k", at: str = "addr") -> DataFrame:
+    """id, key, ``at``, bytes: the block size of the slab that holds the address where its extent is of a slab's size, else the extent's bytes; 0 where no extent holds it.
+
+    slabs: key, start, cls of the slabs. An extent of a slab's size that is none of them has its own bytes.
+    """
+    found = containing(extents, probes, key, at).join(slabs.select(key, "start", "cls"), [key, "start"], "left")
+    whole = F.col("len") * block
+    size = F.when(F.col("start").isNull(), F.lit(0).cast("long")).when(F.col("len") == slab_blocks, F.coalesce(size_from_class(F.col("cls")), whole)).otherwise(whole)
+    return found.select("id", key, at, size.alias("bytes"))
+
+
 def interval_join(points: DataFrame, areas: DataFrame, key: str, at: str, width: int, lo: str = "start", hi: str = "end", how: str = "left") -> DataFrame:
     """points joined to areas with lo <= at < hi of the same key, as an equi-join on buckets of ``width`` (near the median length of an area)."""
     bucket = lambda c: F.floor(c / width).cast("long")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
+from spacemill.errors import SpaceError, check
+
 
 def offsets(files: DataFrame, group: str = "g") -> DataFrame:
     """files with ``base``: the bytes of the group's files before it."""
@@ -35,8 +37,44 @@ def place_round_robin(books: DataFrame, nodes: int) -> DataFrame:
     return books.withColumn("node", F.pmod("i", F.lit(nodes)).cast("int"))
 
 
-def place_striped(books: DataFrame, books_per_stripe: int, nodes: int) -> DataFrame:
-    return books.withColumn("node", F.pmod(F.call_function("div", F.col("i"), F.lit(books_per_stripe).cast("long")), F.lit(nodes)).cast("int"))
+def place_striped(books: DataFrame, stripe: int, book: int, nodes: int) -> DataFrame:
+    """books (file, nbooks, i) with ``node``, stripes of ``stripe`` bytes going round the nodes, and ``status``.
+
+    A stripe that is no multiple of a book raises; a file whose size is no multiple of a stripe is refused: its books have no node.
+    """
+    check(stripe % book == 0, "InvalidParameter", "the stripe must be a multiple of the book")
+    fits = F.pmod(F.col("nbooks") * book, F.lit(stripe)) == 0
+    node = F.pmod(F.call_function("div", F.col("i"), F.lit(stripe // book).cast("long")), F.lit(nodes)).cast("int")
+    return books.withColumns({"node": F.when(fits, node), "status": F.when(fits, "OK").otherwise("InvalidParameter")})
+
+
+def topology(processes: DataFrame, cpus: DataFrame, per_node: int) -> DataFrame:
+    """process, host, max_node, nearest: from the CPU that each process runs on, and the nodes of each host with the first of their per_node CPUs.
+
+    Null where a host has no nodes, or none with that CPU.
+    """
+    most = cpus.groupBy("host").agg(F.max("node").cast("int").alias("max_node"))
+    at = processes.withColumn("first_cpu", F.call_function("div", F.col("cpu").cast("long"), F.lit(per_node).cast("long")) * per_node)
+    found = at.join(most, "host", "left").join(cpus.withColumn("first_cpu", F.col("first_cpu").cast("long")), ["host", "first_cpu"], "left")
+    return found.select("process", "host", "max_node", F.col("node").cast("int").alias("nearest"))
+
+
+class MultiRegionFile:
+    """Several files as one range of addresses: it is read by ``clip``, and cannot be made, cut or given attributes."""
+
+    UNSUPPORTED = ("create", "truncate", "getxattr", "setxattr", "set_interleave_group")
+
+    def __init__(self, paths: list[str]):
+        self.paths = list(paths)
+
+    def __getattr__(self, name: str):
+        if name not in self.UNSUPPORTED:
+            raise AttributeError(name)
+
+        def refuse(*_, **__):
+            raise SpaceError("NotSupported", name)
+
+        return refuse
 
 
 def book_range(offset: Column, length: Column, size: Column, book: int) -> tuple[Column, Column]:

@@ -9,7 +9,8 @@ SQL: dict[str, str] = {}
 
 DAY = "date_diff('day', date '1995-01-01', cast({} as date))"
 IV = f"iv as (select l_suppkey as k, {DAY.format('l_shipdate')} as start, cast(l_quantity as bigint) as len from lineitem where l_quantity <= 20)"
-_ISLANDS = """{p}m as (select k, start, start + len as e, max(start + len) over (partition by k order by start, start + len rows between unbounded preceding and 1 preceding) as pm from {src}),
+#: Equal intervals are taken once, so that both windows have one order.
+_ISLANDS = """{p}m as (select k, start, start + len as e, max(start + len) over (partition by k order by start, start + len rows between unbounded preceding and 1 preceding) as pm from (select distinct k, start, len from {src})),
 {p}g as (select *, sum(case when pm is null or start > pm then 1 else 0 end) over (partition by k order by start, e rows between unbounded preceding and current row) as g from {p}m),
 {out} as (select k, min(start) as start, max(e) - min(start) as len from {p}g group by k, g)"""
 
@@ -30,8 +31,9 @@ POS = "ps as (select distinct l_suppkey as map, l_partkey as bit from lineitem)"
 #: Headers hd(k, idx, type, size) of 4096 blocks a heap, of the coalesced extents.
 NBLOCKS = 4096
 HD = f"""{FX}, hb as (select k, idx from (select distinct k from fx), (select unnest(range(0, {NBLOCKS})) as idx)),
-hd as (select hb.k, hb.idx, cast(case when f.k is null then 0 when f.start = hb.idx then 1 else 2 end as integer) as type, cast(case when f.start = hb.idx then f.len else 0 end as bigint) as size
-  from hb left join fx f on f.k = hb.k and hb.idx >= f.start and hb.idx < f.start + f.len)"""
+mk as (select k, start, len, start + unnest(range(0, len)) as idx from fx),
+hd as (select hb.k, hb.idx, cast(case when m.k is null then 0 when m.start = hb.idx then 1 else 2 end as integer) as type, cast(case when m.start = hb.idx then m.len else 0 end as bigint) as size
+  from hb left join mk m on m.k = hb.k and m.idx = hb.idx)"""
 
 
 def query(name: str, sql: str | None = None):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from spacemill.functions import scalars as sc
 from spacemill.plans.base import IV, query
 from spacemill.sources import config as cf
+from spacemill.sources import files as src
 from spacemill.sources import tables as t
 
 
@@ -70,12 +71,14 @@ def layers(spark, sf):
     return t.read(spark, sf, "nation").select(k.alias("k"), cf.layered(F.lit("system"), F.when(k % 3 == 0, "environment"), F.when(k % 5 == 0, "file")).alias("value"))
 
 
-@query("a_x3_x4_registry", "select r.region, c.n > 1 as \"duplicate\" from (select distinct c_nationkey as region from customer where c_nationkey % 4 <> 0) r join (select c_nationkey as region, count(*) as n from customer group by 1) c using (region)")
+@query("a_x3_x4_registry", """with f as (select c_nationkey as region, min(c_custkey) as seq from customer group by 1) select 'map' as operation, c_custkey as seq, cast(c_nationkey as bigint) as region, case when f.seq = c_custkey then 'OK' else 'MemoryDuplicateMapping' end as status from customer join f on f.region = c_nationkey
+union all select 'unmap', n_nationkey, n_nationkey * 2, case when f.region is null then 'MemoryUnknownMapping' else 'OK' end from nation left join f on f.region = n_nationkey * 2""")
 def registry(spark, sf):
-    """Mapped regions with a duplicate-id check, less those unmapped."""
-    c = t.read(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("region")).agg((F.count("*") > 1).alias("duplicate"))
-    gone = t.read(spark, sf, "nation").where("n_nationkey % 4 = 0").select(F.col("n_nationkey").alias("region"))
-    return c.join(gone, "region", "left_anti")
+    """Requests to map regions, of which the first of an id is taken and others are refused, and to unmap some."""
+    c = t.read(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("seq"), F.col("c_nationkey").cast("long").alias("region"))
+    u = t.read(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("seq"), (F.col("n_nationkey") * 2).cast("long").alias("region"))
+    mapped = src.map_regions(c)
+    return mapped.select(F.lit("map").alias("operation"), "*").unionByName(src.unmap_regions(u, mapped).select(F.lit("unmap").alias("operation"), "*"))
 
 
 @query("a_x16_block_set", f"with {IV}, d as (select distinct * from iv) select a.k, count(*) as overlaps from d a join d b on a.k = b.k and (a.start, a.len) < (b.start, b.len) and a.start < b.start + b.len and b.start < a.start + a.len group by a.k")

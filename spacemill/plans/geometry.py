@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from spacemill.functions import bitmap as bm
 from spacemill.functions import geometry as geo
 from spacemill.functions import scalars as sc
-from spacemill.plans.base import POS, PR, SIZES, query
+from spacemill.operators import extents as ex
+from spacemill.plans.base import FX, POS, PR, SIZES, query
 from spacemill.sources import tables as t
 
 SLAB = 262144
@@ -23,9 +24,7 @@ GEO = f"{DIM}, geo as (select cls, bytes, {_MOST} as most, {_HEAD} as header, (2
 def sizeclass(spark, sf):
     """The first class, in table order, that holds each request; requests are first spread over small sizes."""
     ask = geo.div(F.col("size"), F.pmod("pk", F.lit(512)) + 1)
-    s = t.size_requests(spark, sf).withColumn("ask", ask)
-    classes = s.select("ask").distinct().withColumn("cls", geo.sizeclass(F.col("ask")))
-    return s.join(classes, "ask").select("ok", "ln", "pk", "ask", "cls")
+    return t.size_requests(spark, sf).withColumn("ask", ask).select("ok", "ln", "pk", "ask", geo.sizeclass(F.col("ask")).alias("cls"))
 
 
 @query("a_g2_size_from_class", f"with {DIM} select p_partkey, cast(p_partkey % 120 as integer) as cls, dim.bytes from part left join dim on dim.cls = p_partkey % 120")
@@ -60,11 +59,18 @@ def fullness(spark, sf):
     return slabs(spark, sf).select("slab", "nblocks", "used", geo.fullness(F.col("used"), F.col("nblocks")).alias("bin"))
 
 
-@query("a_g6_getsize", f"with {SIZES} select ok, ln, pk, size, case when size < 65536 then size // 2048 * 2048 else (size + 4095) // 4096 * 4096 end as stored from sz")
+#: Blocks of a slab's extent in the heaps of extents, and the class of the slab in one.
+SLAB_BLOCKS = 16
+_SLAB_CLASS = "40 + (k * 31 + start) % 70"
+
+
+@query("a_g6_getsize", f"with {FX}, {PR}, {DIM}, a as (select p.id, p.k, p.addr, x.start, x.len from pr p left join fx x on x.k = p.k and p.addr >= x.start and p.addr < x.start + x.len) select id, a.k, addr, case when start is null then 0 when len = {SLAB_BLOCKS} then dim.bytes else len * 4096 end as bytes from a left join dim on len = {SLAB_BLOCKS} and dim.cls = {_SLAB_CLASS}")
 def getsize(spark, sf):
-    """Block size where the request lies in a slab, else the extent's bytes."""
-    s = F.col("size")
-    return t.size_requests(spark, sf).withColumn("stored", F.when(s < 65536, geo.round_down(s, F.lit(2048).cast("long"))).otherwise(geo.round_up(s, F.lit(4096).cast("long"))))
+    """Bytes behind an address of a hybrid heap: a slab's block size where its extent is a slab, else the extent's bytes, 0 where none holds it."""
+    slab_class = (F.pmod(F.col("k") * 31 + F.col("start"), F.lit(70)) + 40).cast("int")
+    free = ex.coalesce(t.intervals(spark, sf))
+    slabs = free.where(F.col("len") == SLAB_BLOCKS).select("k", "start", slab_class.alias("cls"))
+    return ex.stored_size(free, slabs, t.probes(spark, sf), 4096, SLAB_BLOCKS)
 
 
 @query("a_g7_free_blocks", f"with {SLABS} select slab, nblocks - used as free, used = nblocks as \"full\", used = 0 as empty from oc")
@@ -139,9 +145,11 @@ def bitmap_clear(spark, sf):
 @query("a_b4_is_set", f"with {POS}, {PR} select pr.id, pr.k, pr.id % 512 as bit, ps.map is not null as is_set from pr left join ps on ps.map = pr.k and ps.bit = pr.id % 512")
 def bitmap_is_set(spark, sf):
     """Probes of single bits, answered on the packed form."""
-    maps = bm.construct(t.positions(spark, sf), "map", "bit").where("bucket = 0").select(F.col("map").alias("k"), "bits")
-    p = t.probes(spark, sf).select("id", "k", F.pmod("id", F.lit(512)).alias("bit")).join(maps, "k", "left")
-    return p.select("id", "k", "bit", F.coalesce(bm.is_set(F.col("bits"), F.col("bit")), F.lit(False)).alias("is_set"))
+    maps = bm.construct(t.positions(spark, sf), "map", "bit").select(F.col("map").alias("k"), "bucket", "bits")
+    p = t.probes(spark, sf).select("id", "k", F.pmod("id", F.lit(512)).alias("bit")).withColumn("bucket", geo.div(F.col("bit"), bm.BUCKET))
+    p = p.join(maps, ["k", "bucket"], "left")
+    inside = F.pmod("bit", F.lit(bm.BUCKET))
+    return p.select("id", "k", "bit", F.coalesce(bm.is_set(F.col("bits"), inside), F.lit(False)).alias("is_set"))
 
 
 @query("a_b7_load", f"with {POS} select map, count(*) as set_bits, cast(4096 as integer) as bytes from ps group by map")

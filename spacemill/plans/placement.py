@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from spacemill.errors import SpaceError
 from spacemill.functions import geometry as geo
 from spacemill.operators import ranges as rg
 from spacemill.plans.base import BASED, BOOKS, FILES, query
@@ -82,15 +83,36 @@ def place_files(spark, sf):
     return t.read(spark, sf, "supplier").select(F.col("s_suppkey").alias("file"), F.pmod(F.row_number().over(w) - 1, F.lit(4)).cast("int").alias("node"))
 
 
-@query("a_p6_striped", f"with {BOOKS} select *, cast(i // 3 % 4 as integer) as node from bk")
+@query("a_p6_striped", f"with {BOOKS} select file, nbooks, i, case when nbooks % 3 = 0 then cast(i // 3 % 4 as integer) end as node, case when nbooks % 3 = 0 then 'OK' else 'InvalidParameter' end as status from bk")
 def striped(spark, sf):
-    return rg.place_striped(t.books(spark, sf), 3, 4)
+    """Stripes of three books over four nodes; files whose size is no multiple of a stripe are refused."""
+    return rg.place_striped(t.books(spark, sf), 3 * 4096, 4096, 4)
 
 
-@query("a_p8_topology", "select r_regionkey as host, 4 as max_node, cast(r_regionkey % 5 as integer) as nearest from region")
+_HOSTS = """nd as (select s_nationkey as host, row_number() over (partition by s_nationkey order by s_suppkey) - 1 as node from supplier),
+mx as (select host, max(node) as top from nd group by host), pc as (select c_custkey as process, c_nationkey as host, c_custkey % 40 as cpu from customer)"""
+
+
+@query("a_p8_topology", f"with {_HOSTS} select process, pc.host, cast(mx.top as integer) as max_node, cast(nd.node as integer) as nearest from pc left join mx on mx.host = pc.host left join nd on nd.host = pc.host and nd.node = pc.cpu // 4")
 def topology(spark, sf):
-    """Facts of the topology as configuration columns."""
-    return t.read(spark, sf, "region").select(F.col("r_regionkey").alias("host"), F.lit(4).alias("max_node"), F.pmod("r_regionkey", F.lit(5)).cast("int").alias("nearest"))
+    """The highest node of each process's host, and the node that has the CPU it runs on: a host's suppliers are its nodes, of four CPUs each."""
+    w = W.partitionBy("host").orderBy("s_suppkey")
+    nodes = t.read(spark, sf, "supplier").select(F.col("s_nationkey").alias("host"), "s_suppkey").select("host", (F.row_number().over(w) - 1).alias("node"))
+    cpus = nodes.select("host", "node", (F.col("node") * 4).alias("first_cpu"))
+    c = t.read(spark, sf, "customer").select(F.col("c_custkey").alias("process"), F.col("c_nationkey").alias("host"), F.pmod("c_custkey", F.lit(40)).alias("cpu"))
+    return rg.topology(c, cpus, 4)
+
+
+@query("a_c6_unsupported", "select unnest(['create', 'truncate', 'getxattr', 'setxattr', 'set_interleave_group']) as operation, 'NotSupported' as status")
+def unsupported(spark, sf):
+    """What a file of several files does not do; each operation raises."""
+    file, rows = rg.MultiRegionFile([f"{sf}/supplier.parquet", f"{sf}/nation.parquet"]), []
+    for operation in rg.MultiRegionFile.UNSUPPORTED:
+        try:
+            getattr(file, operation)()
+        except SpaceError as e:
+            rows.append((operation, e.name))
+    return spark.createDataFrame(rows, "operation string, status string")
 
 
 _NODE = "nd as (select s_suppkey + 1 as id, s_suppkey // 80 + 1 as rack, s_suppkey // 10 % 8 + 1 as encl, s_suppkey % 10 + 1 as node from supplier)"

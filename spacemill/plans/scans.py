@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spacemill.errors import SpaceError
 from spacemill.functions import geometry as geo
 from spacemill.functions.bitmap import positions
 from spacemill.operators import headers as hd
@@ -149,13 +150,48 @@ def truncate(spark, sf):
     return s.select("file", "size", (books * 4096).alias("rounded"), F.greatest(zero, books - 5).alias("new_books"), F.greatest(zero, 5 - books).alias("cut_books"))
 
 
-@query("a_s23_mount_points", "with m as (select n_nationkey as dev, min(n_name) as mount from nation where n_nationkey % 5 <> 0 group by 1) select c_custkey as file, coalesce(m.mount, '/') as mount from customer left join m on m.dev = c_nationkey")
+@query("a_s23_mount_points", "with m as (select n_nationkey as dev, n_name as mount, case when n_regionkey % 2 = 0 then 'tmpfs' else 'lfs' end as fstype from nation where n_nationkey % 5 <> 0) select c_custkey as file, coalesce(m.mount, '/') as mount, coalesce(m.fstype, 'ext4') as fstype from customer left join m on m.dev = c_nationkey")
 def mount_points(spark, sf):
-    """The first mount of each file's device, the root where there is none."""
+    """The first mount of each file's device and its file system, those of the root where there is none."""
     n = t.read(spark, sf, "nation").where("n_nationkey % 5 <> 0")
-    mounts = n.groupBy(F.col("n_nationkey").alias("dev")).agg(F.min_by("n_name", "n_name").alias("mount"))
-    c = t.read(spark, sf, "customer")
-    return c.join(mounts, c["c_nationkey"] == mounts["dev"], "left").select(F.col("c_custkey").alias("file"), F.coalesce("mount", F.lit("/")).alias("mount"))
+    mounts = n.select(F.col("n_nationkey").alias("dev"), F.col("n_name").alias("mount"), F.when(F.pmod("n_regionkey", F.lit(2)) == 0, "tmpfs").otherwise("lfs").alias("fstype"))
+    files = t.read(spark, sf, "customer").select(F.col("c_custkey").alias("file"), F.col("c_nationkey").alias("dev"))
+    return src.mounted(files, mounts, "/", "ext4").select("file", "mount", "fstype")
+
+
+@query("a_s15_s16_region_files", "select * from (values (1, 'create a', 'OK', 25), (2, 'create b', 'OK', 5), (3, 'open a', 'OK', 25), (4, 'setxattr a', 'OK', 0), (5, 'getxattr a', 'value', 0), (6, 'create a', 'OK', 5), (7, 'unlink a', 'OK', 0), (8, 'open a', 'FsFailedToOpen', 0), (9, 'getxattr a', 'FsFailedToOpen', 0), (10, 'unlink a', 'FsUnlinkFailed', 0), (11, 'open b', 'OK', 5)) s(step, operation, status, n)")
+def region_files(spark, sf):
+    """Region files created, opened, given attributes and unlinked, with what each step answers and the rows it holds."""
+    files, rows = src.RegionFiles(spark, scratch_path(spark)), []
+    n, r = t.read(spark, sf, "nation").select(F.col("n_nationkey").alias("id")), t.read(spark, sf, "region").select(F.col("r_regionkey").alias("id"))
+
+    def step(operation: str, run) -> None:
+        try:
+            got = run()
+        except SpaceError as e:
+            got = e.name
+        rows.append((len(rows) + 1, operation, got if isinstance(got, str) else "OK", got if isinstance(got, int) else 0))
+
+    count = lambda name: files.open(name, n.schema).count()
+    step("create a", lambda: files.create("a", n) or count("a"))
+    step("create b", lambda: files.create("b", r) or count("b"))
+    step("open a", lambda: count("a"))
+    step("setxattr a", lambda: files.set_xattrs("a", {"user.seg": "value"}))
+    step("getxattr a", lambda: files.xattr("a", "user.seg"))
+    step("create a", lambda: files.create("a", r) or count("a"))
+    step("unlink a", lambda: files.unlink("a"))
+    step("open a", lambda: count("a"))
+    step("getxattr a", lambda: files.xattr("a", "user.seg"))
+    step("unlink a", lambda: files.unlink("a"))
+    step("open b", lambda: count("b"))
+    return spark.createDataFrame(rows, "step int, operation string, status string, n int")
+
+
+@query("a_y13_book_size", f"select p_partkey as file, {_KIND} as fstype, case {_KIND} when 'tmpfs' then cast(8388608 as bigint) when 'lfs' then 8589934592 end as booksize from part")
+def book_size(spark, sf):
+    """The book of each file's file system; null where it has none."""
+    kind = F.when(F.col("p_type") == "ECONOMY", "tmpfs").when(F.col("p_type") == "STANDARD", "lfs").otherwise("ext4")
+    return src.with_book_size(t.read(spark, sf, "part").select(F.col("p_partkey").alias("file"), kind.alias("fstype")))
 
 
 _MAPS = "select n_nationkey as line, printf('%x-%x rw-p 00000000 00:00 0 %s', 4096 * (n_nationkey + 1), 4096 * (n_nationkey + 3), case when n_nationkey % 2 = 0 then '[heap]' else n_name end) as text from nation"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from spacemill.operators import extents as ex
 from spacemill.operators import replay as rp
@@ -34,7 +35,7 @@ def replay(spark, sf):
     return rp.replay(t.alloc_log(spark, sf), extent_heap, rp.EXTENT_ROWS)
 
 
-@query("a_m2_frees_only", "with d as (select user_id as k, cast(floor(value) as bigint) * 4 as start, cast(3 as bigint) as len from events where event_type = 'error'), m as (select k, start, start + len as e, max(start + len) over (partition by k order by start, start + len rows between unbounded preceding and 1 preceding) as pm from d), g as (select *, sum(case when pm is null or start > pm then 1 else 0 end) over (partition by k order by start, e rows between unbounded preceding and current row) as g from m) select k, min(start) as start, max(e) - min(start) as len from g group by k, g")
+@query("a_m2_frees_only", "with d as (select user_id as k, cast(floor(value) as bigint) * 4 as start, cast(3 as bigint) as len from events where event_type = 'error'), m as (select k, start, start + len as e, max(start + len) over (partition by k order by start, start + len rows between unbounded preceding and 1 preceding) as pm from (select distinct * from d)), g as (select *, sum(case when pm is null or start > pm then 1 else 0 end) over (partition by k order by start, e rows between unbounded preceding and current row) as g from m) select k, min(start) as start, max(e) - min(start) as len from g group by k, g")
 def frees_only(spark, sf):
     """A log of frees alone needs no order: the free map is what coalescing gives."""
     e = t.read(spark, sf, "events").where("event_type = 'error'")
@@ -62,3 +63,40 @@ def streaming_replay(spark, sf):
     out = sr.stream_replay(sr.event_log(spark, sf), extent_heap, rp.EXTENT_ROWS)
     sr.run_to_table(out, f"{where}/out", f"{where}/checkpoint")
     return spark.read.schema(rp.EXTENT_ROWS).parquet(f"{where}/out")
+
+
+@query("a_m_streaming_hybrid")
+def streaming_hybrid(spark, sf):
+    """The hybrid replay, slabs and extents, as a stream with a state each heap; its rows are those of the batch form."""
+    where = scratch_path(spark)
+    log = sr.event_log(spark, sf).withColumn("size", F.col("n") * 1024)
+    out = sr.stream_replay(log, hybrid_heap, rp.HYBRID_ROWS, size="size")
+    sr.run_to_table(out, f"{where}/out", f"{where}/checkpoint")
+    return spark.read.schema(rp.HYBRID_ROWS).parquet(f"{where}/out")
+
+
+#: Blocks of a heap of the random workload, its live extents at most, and the steps of a heap.
+RANDOM_BLOCKS, RANDOM_LIVE, RANDOM_STEPS = 252, 16, 128
+
+
+@query("a_x15_random_workload", f"with h as (select s_suppkey as heap from supplier) select heap, cast({RANDOM_STEPS} as bigint) as steps, cast(0 as bigint) as overlaps, true as returned from h")
+def random_workload(spark, sf):
+    """Random allocations and frees of each heap, replayed: no two extents that live at once overlap, and frees give back what was handed out.
+
+    An extent lives from its step to its free's step; the k-th free of a heap takes back the k-th extent handed out.
+    """
+    s = t.read(spark, sf, "supplier").select(F.col("s_suppkey").alias("heap"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(RANDOM_STEPS - 1).cast("long"))).alias("seq"))
+    dice = F.pmod(F.xxhash64("heap", "seq"), F.lit(100))
+    log = s.select("heap", "seq", F.when((dice < 50) | (F.col("seq") < 8), "A").otherwise("F").alias("op"), (1 + F.pmod(F.xxhash64("seq", "heap"), F.lit(16))).alias("n"))
+    rows = rp.replay(log, lambda: rp.ExtentHeap(RANDOM_BLOCKS), rp.EXTENT_ROWS).where(f"status = '{rp.OK}'")
+    turn = F.row_number().over(W.partitionBy("heap", "op").orderBy("seq"))
+    rows = rows.withColumn("turn", turn)
+    taken = rows.where("op = 'A'").select("heap", "turn", "seq", "start", "len")
+    back = rows.where("op = 'F'").select("heap", "turn", F.col("seq").alias("until"), F.col("start").alias("b_start"), F.col("len").alias("b_len"))
+    live = taken.join(back, ["heap", "turn"], "left").withColumn("until", F.coalesce("until", F.lit(RANDOM_STEPS).cast("long")))
+    same = F.bool_and(F.coalesce((F.col("start") == F.col("b_start")) & (F.col("len") == F.col("b_len")), F.lit(True))).alias("returned")
+    # a row for each block and step that an extent lives through
+    cells = live.select("heap", F.explode(F.sequence("seq", F.col("until") - 1)).alias("at"), "start", "len").select("heap", "at", F.explode(F.sequence("start", F.col("start") + F.col("len") - 1)).alias("block"))
+    twice = cells.groupBy("heap", "at", "block").agg(F.count("*").alias("n")).groupBy("heap").agg(F.sum(F.col("n") - 1).alias("overlaps"))
+    steps = log.groupBy("heap").agg(F.count("*").alias("steps"))
+    return steps.join(twice, "heap").join(live.groupBy("heap").agg(same), "heap").select("heap", "steps", "overlaps", "returned")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from spacemill.errors import check
+
 
 def create(df: DataFrame, path: str) -> None:
     """A new region file; an existing one is an error."""
@@ -42,6 +44,85 @@ def list_entries(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"))
 
 
+# Default bytes of a book of each file system.
+BOOKS = {"tmpfs": 8 << 20, "lfs": 8 << 30}
+
+
+def with_book_size(files: DataFrame, kind: str = "fstype") -> DataFrame:
+    """files with ``booksize``, the book of their file system, null where it has none."""
+    of = F.create_map(*[F.lit(x) for k, v in BOOKS.items() for x in (k, v)]).cast("map<string,bigint>")
+    return files.withColumn("booksize", F.try_element_at(of, F.col(kind)))
+
+
+def mounted(files: DataFrame, mounts: DataFrame, root: str, root_kind: str) -> DataFrame:
+    """files (with dev) with mount and fstype: those of the first mount, by name, of the device, else of the root."""
+    first = mounts.groupBy("dev").agg(F.min(F.struct("mount", "fstype")).alias("_m"))
+    m = F.col("_m")
+    return files.join(first, "dev", "left").withColumns({"mount": F.coalesce(m["mount"], F.lit(root)), "fstype": F.coalesce(m["fstype"], F.lit(root_kind))}).drop("_m")
+
+
+class RegionFiles:
+    """Region files below a folder, each a Parquet table with its attributes in a table beside it; any store that Spark reaches will do."""
+
+    XATTR = ".xattr"
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def path(self, name: str) -> str:
+        return f"{self.folder}/{name}"
+
+    def _at(self, path: str):
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return where, where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def exists(self, name: str) -> bool:
+        where, fs = self._at(self.path(name))
+        return fs.exists(where)
+
+    def create(self, name: str, df: DataFrame) -> None:
+        """A new file, or one emptied and written anew."""
+        df.write.mode("overwrite").parquet(self.path(name))
+
+    def open(self, name: str, schema: StructType) -> DataFrame:
+        check(self.exists(name), "FsFailedToOpen", name)
+        return open_many(self.spark, [self.path(name)], schema)
+
+    def size(self, name: str) -> int:
+        """Bytes of the file's parts."""
+        check(self.exists(name), "FsFailedToOpen", name)
+        where, fs = self._at(self.path(name))
+        return fs.getContentSummary(where).getLength()
+
+    def set_xattrs(self, name: str, attrs: dict[str, str]) -> None:
+        check(self.exists(name), "FsFailedToOpen", name)
+        self.spark.createDataFrame([(attrs,)], "x map<string,string>").write.mode("overwrite").parquet(self.path(name) + self.XATTR)
+
+    def xattr(self, name: str, attr: str) -> str | None:
+        check(self.exists(name + self.XATTR), "FsFailedToOpen", name)
+        return self.spark.read.parquet(self.path(name) + self.XATTR).select(get_xattr(F.col("x"), attr)).first()[0]
+
+    def unlink(self, name: str) -> None:
+        """Deletes the attributes, if any, and the file; a file that is not there is an error."""
+        for x in (name + self.XATTR, name):
+            where, fs = self._at(self.path(x))
+            if not fs.delete(where, True):
+                check(x != name, "FsUnlinkFailed", name)
+
+
+def map_regions(requests: DataFrame, allow_duplicates: bool = False) -> DataFrame:
+    """requests (seq, region) with ``status``: the first request for a region is taken, later ones are duplicates unless those are allowed."""
+    first = requests.groupBy("region").agg(F.min("seq").alias("_first"))
+    taken = (F.col("seq") == F.col("_first")) | F.lit(allow_duplicates)
+    return requests.join(first, "region").select("seq", "region", F.when(taken, "OK").otherwise("MemoryDuplicateMapping").alias("status"))
+
+
+def unmap_regions(requests: DataFrame, mapped: DataFrame) -> DataFrame:
+    """requests (seq, region) with ``status``: unknown regions are refused."""
+    known = mapped.where("status = 'OK'").select("region", F.lit(True).alias("_known")).distinct()
+    return requests.join(known, "region", "left").select("seq", "region", F.when(F.col("_known"), "OK").otherwise("MemoryUnknownMapping").alias("status"))
+
+
 def parse_maps(lines: DataFrame, name: str, text: str = "text") -> DataFrame:
     """lines of ``lo-hi perms offset dev inode name`` with that name, with lo and hi as numbers."""
     parts = F.split(text, r"\s+", 6)

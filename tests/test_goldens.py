@@ -236,3 +236,168 @@ def test_bitmap_load_counts_all_buckets(spark, tmp_path):
     got = registry.queries()["a_b7_load"](spark, str(tmp_path))
     assert tuples(got, "map", "set_bits", "bytes") == [(1, 4, 4096), (2, 1, 4096), (3, 1, 4096)]
     assert compare.differences(got, compare.duck(tmp_path), registry.oracle_sql()["a_b7_load"]) is None
+
+
+#: The class sizes one by one, by which both the operator's and the SQL's arithmetic are held.
+CLASS_BYTES = """
+8 16 24 32 40 48 56 64 72 80 88 96 104 112 120 128 136 144 152 160 168 176 184 192 200 208 216 224 232 240 248 256 264 272 280 288 296 304 312 320 328 336
+344 352 360 368 376 384 392 400 408 416 424 432 440 448 456 464 472 480 488 496 504 512 576 640 704 768 832 896 960 1024 1536 2048 2560 3072 3584 4096 4608
+5120 5632 6144 6656 7168 7680 8192 9216 10240 11264 12288 13312 14336 15360 16384 18432 20480 22528 24576 26624 28672 30720 16384 32768 49152 65536 81920
+98304 114688 131072 147456 163840 180224 196608 212992 229376 245760
+"""
+
+
+def test_class_table_is_the_listed_one(spark):
+    listed = [int(x) for x in CLASS_BYTES.split()]
+    assert geo.SIZE_CLASSES == listed
+    sizes = sorted({s for b in listed for s in (b - 1, b, b + 1) if s > 0})
+    got = spark.createDataFrame([(s,) for s in sizes], "s long").select("s", geo.sizeclass(F.col("s"))).collect()
+    assert {r[0]: r[1] for r in got} == {s: next((i for i, b in enumerate(listed) if b >= s), None) for s in sizes}
+
+
+def test_open_flags_and_error_codes_are_the_listed_ones():
+    from spacemill.sources import config as cf
+
+    assert dict((n, b) for n, b in sc.OPEN_FLAGS if n in ("O_WRONLY", "O_RDWR", "O_CREAT", "O_TRUNC")) == {"O_WRONLY": 1, "O_RDWR": 2, "O_CREAT": 64, "O_TRUNC": 512}
+    names = {0x0002: "Outofmemory", 0x0003: "InvalidParameter", 0x0010: "NotSupported", 0x0202: "FsFailedToOpen", 0x0213: "FsUnlinkFailed", 0x0302: "MemoryDuplicateMapping", 0x0303: "MemoryUnknownMapping"}
+    assert {c: cf.ERRORS[c][0] for c in names} == names and len(cf.ERRORS) == 56
+    assert [cf.ERRNOS[n] for n in (1, 2)] == ["Operation not permitted", "No such file or directory"]
+
+
+def test_errors_note_the_places_they_pass():
+    from spacemill.errors import SpaceError, check, passing
+
+    check(True, "NotSupported")
+    with pytest.raises(SpaceError) as e, passing("outer"), passing("inner"):
+        check(False, "NotSupported", "resize")
+    assert (e.value.code, e.value.frames) == (0x10, ["inner", "outer"]) and "not supported. resize" in str(e.value)
+    assert len(e.value.push("a").push("b").push("c").push("d").push("e").push("f").push("g").frames) == 8
+
+
+def test_unsupported_operations_raise():
+    from spacemill.errors import SpaceError
+
+    f = rg.MultiRegionFile(["a", "b"])
+    for name in ("create", "truncate", "getxattr", "setxattr", "set_interleave_group"):
+        with pytest.raises(SpaceError, match="NotSupported"):
+            getattr(f, name)(1)
+    with pytest.raises(AttributeError):
+        f.other
+    with pytest.raises(SpaceError, match="InvalidParameter"):
+        rg.place_striped(None, 5000, 4096, 2)
+
+
+def test_duplicate_mappings(spark):
+    from spacemill.sources import files as src
+
+    asked = spark.createDataFrame([(1, 7), (2, 7), (3, 8)], "seq long, region long")
+    got = src.map_regions(asked)
+    assert tuples(got, "seq", "status") == [(1, "OK"), (2, "MemoryDuplicateMapping"), (3, "OK")]
+    assert {r["status"] for r in src.map_regions(asked, allow_duplicates=True).collect()} == {"OK"}
+    gone = src.unmap_regions(spark.createDataFrame([(1, 7), (2, 9)], "seq long, region long"), got)
+    assert tuples(gone, "seq", "status") == [(1, "OK"), (2, "MemoryUnknownMapping")]
+
+
+def test_stored_size(spark):
+    free = frame(spark, [(1, 0, 16), (1, 20, 16), (1, 40, 3)])
+    slabs = spark.createDataFrame([(1, 0, 71)], "k long, start long, cls int")
+    probes = spark.createDataFrame([(i, 1, a) for i, a in enumerate((5, 21, 42, 17))], "id long, k long, addr long")
+    got = ex.stored_size(free, slabs, probes, 4096, 16)
+    assert tuples(got, "id", "bytes") == [(0, geo.SIZE_CLASSES[71]), (1, 65536), (2, 12288), (3, 0)]
+
+
+def test_bitmap_positions_random(spark):
+    from spacemill.functions import bitmap as bm
+
+    rnd = random.Random(4)
+    rows = sorted({(k, b) for k in range(3) for b in [0, 7, 8, 62, 63, 64, 127, 32767, 32768, 65535, *(rnd.randrange(100_000) for _ in range(300))]})
+    d = spark.createDataFrame(rows, "map long, bit long")
+    assert tuples(bm.positions(bm.construct(d, "map", "bit"), "map"), "map", "bit") == rows
+
+
+def test_topology(spark):
+    cpus = spark.createDataFrame([(1, 0, 0), (1, 1, 4), (2, 0, 0)], "host long, node int, first_cpu long")
+    p = spark.createDataFrame([(1, 1, 5), (2, 1, 9), (3, 2, 3), (4, 3, 0)], "process long, host long, cpu long")
+    assert sorted(tuple(r) for r in rg.topology(p, cpus, 4).na.fill(-1).collect()) == [(1, 1, 1, 1), (2, 1, 1, -1), (3, 2, 0, 0), (4, 3, -1, -1)]
+
+
+def test_scratch_is_shared_or_local(spark):
+    from types import SimpleNamespace
+
+    from spacemill import scratch
+
+    assert scratch.shared_dir(spark) == scratch.shared_dir(spark)
+    assert scratch.scratch_path(spark, "x") != scratch.scratch_path(spark, "x")
+    far = lambda where: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: where), sparkContext=SimpleNamespace(master="spark://h:1", applicationId="a"))
+    assert scratch.shared_dir(far("hdfs://x/y/")) == "hdfs://x/y"
+    with pytest.raises(RuntimeError):
+        scratch.shared_dir(far(None))
+
+
+def _log_files(spark, sf, where, parts, order):
+    """The events as part files, by ranges of ``order``, the earlier ones written first."""
+    import os
+    import time
+
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    ids = sorted(r[0] for r in e.select(order).collect())
+    ends = [ids[len(ids) * i // parts] for i in range(parts)] + [None]
+    for i in range(parts):
+        part = e.where(F.col(order) >= ends[i])
+        part = part if ends[i + 1] is None else part.where(F.col(order) < ends[i + 1])
+        part.coalesce(1).write.parquet(f"{where}/tmp{i}")
+        name = next(f for f in os.listdir(f"{where}/tmp{i}") if f.endswith(".parquet"))
+        os.makedirs(f"{where}/events.parquet", exist_ok=True)
+        os.rename(f"{where}/tmp{i}/{name}", f"{where}/events.parquet/part-{i}.parquet")
+        at = time.time() - 1000 + 10 * i
+        os.utime(f"{where}/events.parquet/part-{i}.parquet", (at, at))
+
+
+@pytest.mark.parametrize("files_per_batch", [None, 1])
+def test_stream_of_a_folder_is_batch(spark, sf, tmp_path, files_per_batch):
+    """Three part files, in one micro-batch and in three."""
+    from spacemill.plans import state
+    from spacemill.streaming import replay as sr
+
+    _log_files(spark, sf, tmp_path, 3, "event_id")
+    out = sr.stream_replay(sr.event_log(spark, str(tmp_path), files_per_batch), state.extent_heap, rp.EXTENT_ROWS)
+    sr.run_to_table(out, f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    cols = ("heap", "seq", "op", "n", "status", "start", "len")
+    got = tuples(spark.read.parquet(f"{tmp_path}/out").na.fill(-1), *cols)
+    assert got and got == tuples(state.replay(spark, sf).na.fill(-1), *cols)
+    if files_per_batch is None:
+        assert state.streaming_replay(spark, str(tmp_path)).count() == len(got) == state.streaming_hybrid(spark, str(tmp_path)).count()
+
+
+def test_hybrid_stream_is_batch(spark, sf):
+    from spacemill.plans import state
+
+    cols = ("heap", "seq", "op", "size", "status", "route", "cls", "slab", "block", "start", "stored")
+    fill = lambda df: tuples(df.na.fill(-1).na.fill(""), *cols)
+    assert fill(state.streaming_hybrid(spark, sf)) == fill(state.hybrid_replay(spark, sf))
+
+
+def test_late_rows_are_answered_in_their_place(spark, tmp_path):
+    """Rows of later micro-batches that belong before rows already seen, within the lateness; the last row only moves the watermark."""
+    import datetime
+    import os
+    import time
+
+    from spacemill.streaming import replay as sr
+
+    t0 = datetime.datetime(2024, 1, 1)
+    row = lambda seq, op, n: (1, seq, op, n, t0 + datetime.timedelta(seconds=seq))
+    kind = "heap long, seq long, op string, n long, ts timestamp"
+    batches = [[row(1, "A", 3), row(4, "A", 2)], [row(2, "A", 5), row(3, "F", 0)], [row(5, "A", 3)], [(2, 1000, "A", 1, t0 + datetime.timedelta(days=1))]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, kind).coalesce(1).write.parquet(f"{tmp_path}/tmp{i}")
+        name = next(f for f in os.listdir(f"{tmp_path}/tmp{i}") if f.endswith(".parquet"))
+        os.makedirs(f"{tmp_path}/log", exist_ok=True)
+        os.rename(f"{tmp_path}/tmp{i}/{name}", f"{tmp_path}/log/part-{i}.parquet")
+        os.utime(f"{tmp_path}/log/part-{i}.parquet", (time.time() - 1000 + 10 * i,) * 2)
+    log = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/log")
+    out = sr.stream_replay(log, lambda: rp.ExtentHeap(64), rp.EXTENT_ROWS, event_time="ts", lateness="1 hour")
+    sr.run_to_table(out, f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    m = rp.ExtentHeap(64)
+    want = [(seq, *m.step(op, n).values()) for seq, op, n in sorted(r[1:4] for b in batches[:3] for r in b)]
+    assert tuples(spark.read.parquet(f"{tmp_path}/out").where("heap = 1"), "seq", "status", "start", "len") == want
