@@ -31,8 +31,8 @@ SKETCH, LISTED = 256, 32
 WHOLE = 1 << 30
 #: Standard deviations by which an estimate may fall short before a pair is dropped, and by which listed overlaps may.
 SIGMAS = 5.0
-#: Classes of a long list that are compared with each other at once.
-BLOCK = 512
+#: Classes of a long list that are compared with each other at once, and rows of such groups that are worked on together.
+BLOCK, PACK = 512, 4096
 #: Rows up to which the documents to verify are found by broadcast (some 80 MB); beyond, by a shuffled join.
 BROADCAST_IDS = 1_000_000
 
@@ -170,41 +170,47 @@ def _verified(pairs: DataFrame, active: DataFrame, docs: DataFrame, shingle: int
     return rows.mapInArrow(run, "a binary, b binary").distinct()
 
 
-def _blocks(lists: DataFrame, similarity: float, sketch: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a list and pass the estimate; each pair once.
+def _dealt(lists: DataFrame, similarity: float, broadcast_ids: int) -> DataFrame:
+    """Staged: a row for each group that a class of an open list is compared in: value, kind, band, x, y and side of the group, set_id, size and root of the class.
 
-    lists: value, set_id, size, root, sketch, meets (the class's list values). Similar sets lie in the same or in
-    neighbouring size bands, so a list's band meets itself and the band below. Bands are dealt into blocks of about BLOCK
-    classes and every pair of blocks is a group, so a group is bounded whatever the list's length.
+    lists: value, freq, set_id, size, root. A list of up to BLOCK classes is a group. Of a longer one the size bands meet
+    themselves (kind 0) and the band below (kind 1), since similar sets lie in the same or in neighbouring bands; bands are dealt into
+    blocks of about BLOCK classes, and every pair of blocks is a group. So a group is bounded whatever the list's length.
     """
+    cols = ["set_id", "size", "root"]
+    zero = F.lit(0)
+    short = lists.where(F.col("freq") <= BLOCK).select("value", zero.alias("kind"), zero.cast("long").alias("band"), zero.alias("x"), zero.alias("y"), zero.alias("side"), *cols)
     # a little wider than the similarity asks, against rounding
     band = F.floor(F.log("size") / (math.log(1 / similarity) * (1 + 1e-6) if similarity < 1 else 1e-9)).cast("long")
-    rows = lists.withColumn("band", band)
+    rows = lists.where(F.col("freq") > BLOCK).withColumn("band", band)
     n = stage(rows.groupBy("value", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n")), "near-bands")
-    of = lambda name, shift: n.select("value", (F.col("band") + shift).alias("band"), F.col("n").alias(name))
-    rows = rows.join(of("own", 0), ["value", "band"]).join(of("below", 1), ["value", "band"], "left").join(of("above", -1), ["value", "band"], "left")
-    rows = rows.withColumn("_i", F.pmod(F.xxhash64("set_id"), F.col("own")).cast("int"))
-    kind = lambda k, band, x, y, side: F.struct(F.lit(k).alias("kind"), band.alias("band"), x.alias("x"), y.alias("y"), side.alias("side"))
-    upto = lambda c: F.when(c > 0, F.sequence(F.lit(0), c - 1)).otherwise(F.array().cast("array<int>"))
-    i, none, one = F.col("_i"), F.lit(0), F.lit(1)
-    inside = F.transform(upto(F.col("own")), lambda o: kind(0, F.col("band"), F.least(i, o), F.greatest(i, o), F.when(i <= o, none).otherwise(one)))
-    down = F.transform(upto(F.coalesce("below", none)), lambda o: kind(1, F.col("band"), i, o, none))
-    up = F.transform(upto(F.coalesce("above", none)), lambda o: kind(1, F.col("band") + 1, o, i, one))
-    dealt = rows.withColumn("_g", F.explode(F.concat(inside, down, up))).select("value", "_g.*", "set_id", "size", "root", "sketch", "meets")
+    few = n.count() <= broadcast_ids
+    for name, shift in (("own", 0), ("below", 1), ("above", -1)):
+        m = n.select("value", (F.col("band") + shift).alias("band"), F.col("n").alias(name))
+        rows = rows.join(F.broadcast(m) if few else m, ["value", "band"], "left")
+    i, one = F.pmod(F.xxhash64("set_id"), F.col("own")).cast("int"), F.lit(1)
+    group = lambda k, band, x, y, side: F.struct(F.lit(k).alias("kind"), band.alias("band"), x.alias("x"), y.alias("y"), side.alias("side"))
+    upto = lambda c: F.when(c > 0, F.sequence(zero, c - 1)).otherwise(F.array().cast("array<int>"))
+    inside = F.transform(upto(F.col("own")), lambda o: group(0, F.col("band"), F.least(i, o), F.greatest(i, o), F.when(i <= o, zero).otherwise(one)))
+    down = F.transform(upto(F.coalesce("below", zero)), lambda o: group(1, F.col("band"), i, o, zero))
+    up = F.transform(upto(F.coalesce("above", zero)), lambda o: group(1, F.col("band") + 1, o, i, one))
+    long = rows.withColumn("g", F.explode(F.concat(inside, down, up))).select("value", "g.*", *cols)
+    return stage(short.unionByName(long), "near-dealt")
+
+
+def _blocks(dealt: DataFrame, classes: DataFrame, similarity: float, sketch: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a group of dealt and pass the estimate; each pair once.
+
+    classes: set_id, sketch, and meets (the class's list values). Groups are packed by a hash, some PACK rows together.
+    """
+    packs = max(1, -(-dealt.count() // PACK))
+    group = ["value", "kind", "band", "x", "y"]
+    rows = dealt.withColumn("pack", F.pmod(F.xxhash64(*group), F.lit(packs))).join(classes, "set_id")
 
-    def run(t: pa.Table) -> pa.Table:
-        alone = t.column("kind")[0].as_py() == 0 and t.column("x")[0].as_py() == t.column("y")[0].as_py()
-        value = t.column("value")[0].as_py()
-        side = np.array(t.column("side").to_pylist())
+    def compare(kind: int, x: int, y: int, value: bytes, side: np.ndarray, ids: list, root: np.ndarray, size: np.ndarray, sk: list, meets: list) -> Iterator[tuple[bytes, bytes]]:
+        alone = kind == 0 and x == y
         order = np.argsort(side, kind="stable")
-        ids, roots = t.column("set_id").to_pylist(), t.column("root").to_pylist()
-        code = {r: i for i, r in enumerate(dict.fromkeys(roots))}
-        root = np.array([code[r] for r in roots], np.int64)
-        size = np.array(t.column("size").to_pylist(), np.int64)
-        sk = [np.frombuffer(b, U) for b in t.column("sketch").to_pylist()]
-        meets = t.column("meets").to_pylist()
-        m = len(ids)
-        width = np.array([len(s) for s in sk])
+        m, width = len(ids), np.array([len(s) for s in sk])
         vocab = np.unique(np.concatenate(sk))
         # rows of value codes, padded with a code that nothing holds
         codes = np.full((m, int(width.max())), len(vocab), np.int64)
@@ -212,7 +218,6 @@ def _blocks(lists: DataFrame, similarity: float, sketch: int) -> DataFrame:
             codes[i, : len(s)] = np.searchsorted(vocab, s)
         limit = np.where(width == sketch, codes[np.arange(m), width - 1], len(vocab) - 1)
         mark = np.zeros(len(vocab) + 1, bool)
-        out_a, out_b = [], []
         for p, i in enumerate(order):
             rest = order[p + 1 :] if alone else order[side[order] == 1] if side[i] == 0 else order[:0]
             rest = rest[(root[rest] != root[i]) & (np.minimum(size[rest], size[i]) >= similarity * np.maximum(size[rest], size[i]) - 1e-9)]
@@ -227,11 +232,26 @@ def _blocks(lists: DataFrame, similarity: float, sketch: int) -> DataFrame:
             ok = passes(both / np.maximum(union, 1), union, size[rest], size[i], similarity)
             for j in rest[ok]:
                 if min(set(meets[i]) & set(meets[j])) == value:  # in the first list they share, and in no other
-                    out_a.append(min(ids[i], ids[j]))
-                    out_b.append(max(ids[i], ids[j]))
-        return pa.table({"a": pa.array(out_a, pa.binary()), "b": pa.array(out_b, pa.binary())})
+                    yield min(ids[i], ids[j]), max(ids[i], ids[j])
+
+    def run(t: pa.Table) -> pa.Table:
+        keys = list(zip(*(t.column(c).to_pylist() for c in group)))
+        side, size = (t.column(c).to_numpy().astype(np.int64) for c in ("side", "size"))
+        ids, roots = t.column("set_id").to_pylist(), t.column("root").to_pylist()
+        code = {r: i for i, r in enumerate(dict.fromkeys(roots))}
+        root = np.array([code[r] for r in roots], np.int64)
+        sk = [np.frombuffer(b, U) for b in t.column("sketch").to_pylist()]
+        meets = t.column("meets").to_pylist()
+        where: dict[tuple, list[int]] = {}
+        for i, k in enumerate(keys):
+            where.setdefault(k, []).append(i)
+        out: list[tuple[bytes, bytes]] = []
+        for (value, kind, _, x, y), at in where.items():
+            if len(at) > 1:
+                out += compare(kind, x, y, value, side[at], [ids[i] for i in at], root[at], size[at], [sk[i] for i in at], [meets[i] for i in at])
+        return pa.table({"a": pa.array([a for a, _ in out], pa.binary()), "b": pa.array([b for _, b in out], pa.binary())})
 
-    return dealt.groupBy("value", "kind", "band", "x", "y").applyInArrow(run, "a binary, b binary")
+    return rows.groupBy("pack").applyInArrow(run, "a binary, b binary")
 
 
 def _components(docs: DataFrame, percent: int, shingle: int, id_col: str, text_col: str, broadcast_ids: int, bounds: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
@@ -271,8 +291,9 @@ def _components(docs: DataFrame, percent: int, shingle: int, id_col: str, text_c
     rooted = lists.join(root.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     split = stage(rooted.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("value"), "near-open")
     meets = lists.groupBy("set_id").agg(F.collect_list("value").alias("meets"))
-    open_lists = rooted.join(split, "value", "left_semi").join(meets, "set_id").join(active.select("set_id", "sketch"), "set_id")
-    late = stage(_blocks(open_lists, similarity, kept_values), "near-pairs")
+    dealt = _dealt(rooted.join(split, "value", "left_semi"), similarity, broadcast_ids)
+    late = stage(_blocks(dealt, active.select("set_id", "sketch").join(meets, "set_id"), similarity, kept_values), "near-pairs")
+    delete(spark, [dealt.staged_at])
     if not late.isEmpty():
         more = confirm(late)
         if not more.isEmpty():
