@@ -13,18 +13,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from spacemill.llm import kernels
-from spacemill.llm.common import lookup, salt_of, stage
+from spacemill.llm.common import dropping, lookup, salt_of, stage
 
 U = np.uint64
 #: Bytes that a cut depends on, and about the mean, the least and the greatest distance of cuts. A passage of 50 words has some twelve.
 GEAR, MEAN, LEAST, MOST = 32, 20, 4, 512
 #: Distances between cuts that make a chunk.
 SPAN = 3
-#: Bits of the filter of repeated chunks: 16 MB whatever the corpus. Past its capacity it only lets more chunks by.
-FILTER_BITS = 1 << 27
+#: Repeated hashes up to which a filter of them is sent to every task, with FILTER_EACH bits each (16 MB); beyond, all chunks are shuffled.
+FILTER_HASHES, FILTER_EACH = 1 << 24, 8
 
 
 def cuts(data: np.ndarray, off: np.ndarray, mean: int = MEAN, least: int = LEAST, most: int = MOST) -> np.ndarray:
@@ -82,8 +82,8 @@ def spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return begins[at], ends[last] if len(at) else at, text, out
 
 
-def _repeated_filter(texts: DataFrame) -> np.ndarray:
-    """Bits (packed, FILTER_BITS in all) set for the hashes that occur more than once in the corpus."""
+def _repeated_filter(texts: DataFrame, most: int = FILTER_HASHES) -> np.ndarray | None:
+    """Packed bits set for the hashes that occur more than once in the corpus, a power of two of them; None where there are more than ``most``."""
 
     def count(batches: Iterator[pa.RecordBatch]):
         for batch in kernels.slices(batches, "text"):
@@ -91,18 +91,22 @@ def _repeated_filter(texts: DataFrame) -> np.ndarray:
             h, n = np.unique(spans(data, off)[3], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
-    twice = texts.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
-    bit = F.pmod("h", F.lit(FILTER_BITS))
+    twice = stage(texts.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "chunk-hashes")
+    n = twice.count()
+    if n > most:
+        return None
+    bits = max(1 << 15, 1 << (n * FILTER_EACH - 1).bit_length()) if n else 1 << 15
+    bit = F.pmod("h", F.lit(bits))
     packed = twice.groupBy(F.call_function("div", bit, F.lit(32768).cast("long")).alias("bucket")).agg(F.bitmap_construct_agg(F.pmod(bit, F.lit(32768))).alias("bits"))
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in packed.toLocalIterator():  # at most FILTER_BITS / 32768 rows of 4 KB
+    out = np.zeros(bits // 8, np.uint8)
+    for r in packed.toLocalIterator():  # at most bits / 32768 rows of 4 KB
         out[r["bucket"] * 4096 : (r["bucket"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
     return out
 
 
 def chunks(docs: DataFrame, text_col: str = "text", among: np.ndarray | None = None) -> DataFrame:
     """docs without the text, plus n_chunks and chunks: an array of (digest, start, size) in bytes, of those in the filter only where one is given. Null and empty texts have none."""
-    own = [f for f in docs.schema.fields if f.name != text_col and f.name not in ("chunks", "n_chunks")]
+    own = [f for f in docs.schema.fields if f.name != text_col and f.name.lower() not in ("chunks", "n_chunks")]
     item = pa.struct([("digest", pa.binary()), ("start", pa.int64()), ("size", pa.int32())])
     bits = docs.sparkSession.sparkContext.broadcast(among) if among is not None else None
 
@@ -112,7 +116,7 @@ def chunks(docs: DataFrame, text_col: str = "text", among: np.ndarray | None = N
             begins, ends, text, h = spans(data, off)
             keep = np.arange(len(ends))
             if bits is not None:
-                h = h % U(FILTER_BITS)
+                h = h % U(8 * len(bits.value))
                 keep = np.flatnonzero((bits.value[(h >> U(3)).astype(np.int64)] >> (h & U(7)).astype(np.uint8)) & 1)
             raw = data.tobytes()
             digests = [xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(begins[keep].tolist(), ends[keep].tolist())]
@@ -123,44 +127,66 @@ def chunks(docs: DataFrame, text_col: str = "text", among: np.ndarray | None = N
             yield pa.RecordBatch.from_arrays([*cols, pa.array(total.astype(np.int64)), pa.ListArray.from_arrays(pa.array(at), flat)], [*[f.name for f in own], "n_chunks", "chunks"])
 
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own), "n_chunks long, chunks array<struct<digest:binary,start:long,size:int>>"])
-    return docs.mapInArrow(run, ddl)
+    return docs.select(*[f"`{f.name}`" for f in own], text_col).mapInArrow(run, ddl)
 
 
-def _runs(spans: Column) -> Column:
-    """Sorted (start, end) spans with those that touch joined."""
+def runs(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The spans, those that overlap or touch joined, ascending."""
+    order = np.argsort(start, kind="stable")
+    start, reach = start[order], np.maximum.accumulate(end[order]) if len(end) else end
+    new = np.flatnonzero(np.concatenate(([True], start[1:] > reach[:-1]))) if len(start) else np.zeros(0, np.int64)
+    return start[new], reach[np.append(new[1:], len(start)) - 1] if len(new) else start[new]
 
-    def grow(acc, s):
-        last = F.element_at(acc, -1)
-        touch = (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] >= s["start"])
-        return F.when(touch, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["start"].alias("start"), s["end"].alias("end"))))).otherwise(F.concat(acc, F.array(s)))
 
-    return F.aggregate(F.array_sort(spans), F.array().cast("array<struct<start:long,end:long>>"), grow)
+def counted(start: np.ndarray, end: np.ndarray, away: np.ndarray, least: int) -> tuple[tuple, int, int, tuple]:
+    """Of a document's repeated chunks: the joined spans of at least ``least`` bytes, the chunks in them, those of them that are away from home, and the joined spans of these."""
+    lo, hi = runs(start, end)
+    lo, hi = lo[hi - lo >= least], hi[hi - lo >= least]
+    at = np.searchsorted(lo, start, "right") - 1
+    inside = (at >= 0) & (end <= hi[at]) if len(lo) else np.zeros(len(start), bool)
+    gone = inside & away
+    return (lo, hi), int(inside.sum()), int(gone.sum()), runs(start[gone], end[gone])
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_bytes: int = 100) -> DataFrame:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_bytes: int = 100, filter_hashes: int = FILTER_HASHES) -> DataFrame:
     """One row per row of docs: id, n_chunks, n_repeated, n_removed, repeated, repeat_spans and removed_spans (arrays of byte spans).
 
     A chunk is repeated when its digest occurs more than once in the corpus. Repeated chunks that overlap or touch make a span;
-    spans of at least least_bytes count (``repeated`` tells whether there are any). Of each digest the occurrence with the smallest
-    (id, start) is its home and stays; ``removed_spans`` joins the others that lie in counted spans. Null and empty texts have none; null ids come after others.
+    spans of at least least_bytes count: ``repeated`` tells whether there are any, ``n_repeated`` is the chunks in them. Of each
+    digest the occurrence with the smallest (id, start) is its home and stays; ``removed_spans`` joins the others that lie in
+    counted spans, n_removed of them. Null and empty texts have none; null ids come after others; rows that repeat an id are
+    documents of their own, and of equal rows one is home. Other columns are not looked at. An empty table gives no rows.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    # a first pass over hashes alone leaves few chunks to be shuffled with digest and place
-    cut = stage(chunks(texts, among=_repeated_filter(texts)).withColumn("rid", F.monotonically_increasing_id()), "chunks")
-    flat = cut.select("rid", "id", F.explode("chunks").alias("c")).select("rid", "id", "c.*")
-    order = F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("id"), F.col("rid").alias("rid"), F.col("start").alias("start"))
-    homes = stage(flat.groupBy("digest").agg(F.count("*").alias("n"), F.min(order).alias("home")).where("n > 1").select("digest", F.col("home.rid").alias("home_rid"), F.col("home.start").alias("home_start")), "chunk-homes")
+    kept: list[DataFrame] = []
+    with dropping(docs.sparkSession, kept):
+        # a first pass over hashes alone leaves few chunks to be shuffled with digest and place
+        cut = stage(chunks(texts, among=_repeated_filter(texts, filter_hashes)).withColumn("rid", F.monotonically_increasing_id()), "chunks")
+        flat = cut.select("rid", "id", F.explode("chunks").alias("c")).select("rid", "id", "c.*")
+        order = F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("id"), F.col("rid").alias("rid"), F.col("start").alias("start"))
+        homes = stage(flat.groupBy("digest").agg(F.count("*").alias("n"), F.min(order).alias("home")).where("n > 1").select("digest", F.col("home.rid").alias("home_rid"), F.col("home.start").alias("home_start")), "chunk-homes")
+        kept += [cut, homes]
     hit = lookup(flat.select("rid", "digest", "start", "size").withColumn("salt", salt_of("rid")), homes, "digest", "salt", "inner")
     away = (F.col("rid") != F.col("home_rid")) | (F.col("start") != F.col("home_start"))
-    span = F.struct(F.col("start"), (F.col("start") + F.col("size")).alias("end"))
-    per = hit.groupBy("rid").agg(F.collect_list(span).alias("_all"), F.collect_list(F.when(away, span)).alias("_away"))
-    long_enough = F.filter(_runs(F.col("_all")), lambda s: s["end"] - s["start"] >= least_bytes)
-    per = per.withColumn("repeat_spans", long_enough)
-    inside = F.filter("_away", lambda s: F.exists("repeat_spans", lambda r: (r["start"] <= s["start"]) & (s["end"] <= r["end"])))
-    per = per.select("rid", "repeat_spans", F.size("_all").cast("long").alias("n_repeated"), F.size(inside).cast("long").alias("n_removed"), _runs(inside).alias("removed_spans"))
-    none = F.array().cast("array<struct<start:long,end:long>>")
-    out = cut.select("rid", "id", "n_chunks").join(per, "rid", "left")
-    return out.select(
-        F.col("id").alias(id_col), "n_chunks", F.coalesce("n_repeated", F.lit(0).cast("long")).alias("n_repeated"), F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
+    # a document's chunks are bounded by its length
+    per = hit.groupBy("rid").agg(F.collect_list(F.struct(F.col("start"), (F.col("start") + F.col("size")).alias("end"), away.alias("away"))).alias("hits"))
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    kind = pa.schema([("rid", pa.int64()), ("n_repeated", pa.int64()), ("n_removed", pa.int64()), ("repeat_spans", span), ("removed_spans", span)])
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        listed = lambda x: [{"start": a, "end": b} for a, b in zip(x[0].tolist(), x[1].tolist())]
+        for batch in batches:
+            rows = []
+            for rid, hits in zip(batch.column(0).to_pylist(), batch.column(1)):
+                start, end, away = (hits.values.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+                spans_, n, gone, removed = counted(start, end, away, least_bytes)
+                rows.append({"rid": rid, "n_repeated": n, "n_removed": gone, "repeat_spans": listed(spans_), "removed_spans": listed(removed)})
+            yield pa.RecordBatch.from_pylist(rows, kind)
+
+    array = "array<struct<start:long,end:long>>"
+    per = per.mapInArrow(run, f"rid long, n_repeated long, n_removed long, repeat_spans {array}, removed_spans {array}")
+    none, zero = F.array().cast(array), F.lit(0).cast("long")
+    return cut.select("rid", "id", "n_chunks").join(per, "rid", "left").select(
+        F.col("id").alias(id_col), "n_chunks", F.coalesce("n_repeated", zero).alias("n_repeated"), F.coalesce("n_removed", zero).alias("n_removed"),
         (F.size(F.coalesce("repeat_spans", none)) > 0).alias("repeated"), F.coalesce("repeat_spans", none).alias("repeat_spans"), F.coalesce("removed_spans", none).alias("removed_spans"),
     )
