@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spacemill.llm import chunk_dedup, decontaminate, exact_dedup, mixing, near_dedup, oracle, pii, secret_scan, sharding, toxicity, warc
-from spacemill.llm.common import new_path, stage
+from spacemill.llm.common import dropping, new_path, stage
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,9 +59,13 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = new_path(spark, "warc")
-    warc.write_warc(table(spark, sf_dir, "pages"), path)
-    records = stage(warc.read_warc(spark, path, payload=False), "warc-records")
+    """The assembled captures hold their payloads; of these rows the digest columns are derived."""
+    kept: list[DataFrame] = []
+    with dropping(spark, kept):
+        path = new_path(spark, "warc")
+        warc.write_warc(table(spark, sf_dir, "pages"), path)
+        records = stage(warc.read_warc(spark, path), "warc-records")
+        kept.append(records)
     return warc.revisits_resolved(warc.assemble(records))
 
 
@@ -71,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_near_dedup": oracle.OP1, "op3_decontamination": oracle.OP3, "op6_exact_dedup": oracle.OP6, "op10_warc": oracle.OP10}
+    return {"op1_minhash_near_dedup": oracle.OP1, "op3_decontamination": oracle.OP3, "op4_secret_scan": oracle.OP4, "op6_exact_dedup": oracle.OP6, "op10_warc": oracle.OP10}

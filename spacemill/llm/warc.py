@@ -8,14 +8,18 @@ from __future__ import annotations
 import hashlib
 import zlib
 from base64 import b32encode
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from spacemill.llm.common import lookup, salt_of
+from spacemill.llm.common import lookup, salt_of, stage
 
 CRLF = "\r\n"
+#: Payloads with copies up to which their digests are sent to the pages by broadcast (some 100 MB); beyond, they are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
+#: Bytes of payloads that an archive holds, on the average over hashes; an archive is read back as one file.
+ARCHIVE_BYTES = 64 << 20
 #: Fixed values of the WARC 1.1 standard.
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -34,10 +38,11 @@ def _urn(kind: str, *cols: str) -> Column:
     return F.concat(F.lit("<urn:uuid:"), dashed, F.lit(">"))
 
 
-def capture_plan(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def capture_plan(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """page_id, url, html, payload_bytes, payload_digest and winner: of pages with equal payloads of at least min_bytes, the largest page_id.
 
-    Payloads are equal when length and SHA-1 are. A page is a revisit unless it is the winner of its group.
+    Payloads are equal when length and SHA-1 are. A page is a revisit unless it is the winner of its group. Groups are
+    found on digests alone, and only those of several pages are joined to the pages: without a shuffle of these where the groups are few.
     """
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), html.alias("html"))
@@ -45,8 +50,10 @@ def capture_plan(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id",
     rows = rows.withColumns({"key": F.concat_ws(":", "payload_digest", "payload_bytes"), "salt": salt_of("page_id")})
     long_enough = rows.where(F.col("payload_bytes") >= min_bytes)
     # two levels: the salted maxima of a hot payload, then their maximum
-    best = long_enough.groupBy("key", "salt").agg(F.max("page_id").alias("winner")).groupBy("key").agg(F.max("winner").alias("winner"))
-    return lookup(rows, best, "key", "salt").drop("key", "salt")
+    best = long_enough.groupBy("key", "salt").agg(F.max("page_id").alias("winner"), F.count("*").alias("n")).groupBy("key").agg(F.max("winner").alias("winner"), F.sum("n").alias("n"))
+    shared = stage(best.where("n > 1").select("key", "winner"), "warc-shared")
+    out = rows.join(F.broadcast(shared), "key", "left") if shared.count() <= broadcast_keys else lookup(rows, shared, "key", "salt")
+    return out.withColumn("winner", F.coalesce("winner", "page_id")).drop("key", "salt")
 
 
 def records_of(plan: DataFrame, date: str) -> DataFrame:
@@ -84,65 +91,115 @@ def records_of(plan: DataFrame, date: str) -> DataFrame:
     return p.select(F.concat_ws(CRLF * 2, *three).alias("value"))
 
 
-def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "2000-01-01T00:00:00Z", rows_per_file: int = 5000, **cols: str) -> None:
-    """Writes gzip-compressed archives of at most rows_per_file captures below path.
+def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "2000-01-01T00:00:00Z", rows_per_file: int = 5000, bytes_per_file: int = ARCHIVE_BYTES, **cols: str) -> None:
+    """Writes gzip-compressed archives of at most rows_per_file captures, and of about bytes_per_file of payloads or one longer one, below path.
 
     A null html is an empty payload, a null url leaves the target out, a null page_id is written as none; pages
-    that repeat an id and payload are written as often. Control characters and spaces in a url are escaped.
+    that repeat an id and payload are written as often. Control characters and spaces in a url are escaped. Other columns are
+    not looked at. An empty table makes no records.
     """
-    text = records_of(capture_plan(pages, min_bytes, **cols), date)
-    text.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", rows_per_file).text(path)
+    plan = capture_plan(pages, min_bytes, **cols)
+    total = plan.agg(F.sum("payload_bytes")).first()[0] or 0
+    # a task's pages are dealt by a hash into as many archives as its share of the bytes asks for
+    parts = max(1, -(-total // (max(1, pages.rdd.getNumPartitions()) * bytes_per_file)))
+    text = records_of(plan, date)
+    if parts > 1:
+        text = text.withColumn("archive", F.pmod(F.xxhash64("value"), F.lit(parts)).cast("int"))
+    writer = text.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", rows_per_file)
+    (writer.partitionBy("archive") if parts > 1 else writer).text(path)
 
 
 RECORD = "record_id string, type string, concurrent_to string, refers_to string, target_uri string, date string, content_type string, header_digest string, http_head string, fields map<string,string>, payload binary, payload_bytes long, payload_digest string"
 
 
-def parse_archive(raw: bytes) -> Iterator[dict]:
-    """The records of one archive, by their Content-Length. A truncated or damaged archive raises ValueError."""
-    data = b""
-    if raw[:2] == b"\x1f\x8b":
-        parts = []
-        while raw:
-            d = zlib.decompressobj(31)
-            parts.append(d.decompress(raw) + d.flush())
-            raw = d.unused_data
-        data = b"".join(parts)
-    else:
-        data = raw
-    at = 0
-    while at < len(data):
-        split = data.find(b"\r\n\r\n", at)
+#: Bytes that are unpacked at once.
+CHUNK = 1 << 20
+
+
+def _unpacked(raw: bytes) -> Iterator[bytes]:
+    """The bytes of an archive in parts, whatever its number of gzip members, or as they are."""
+    if raw[:2] != b"\x1f\x8b":
+        yield from (raw[a : a + CHUNK] for a in range(0, len(raw), CHUNK))
+        return
+    view = memoryview(raw)
+    while len(view):
+        d = zlib.decompressobj(31)
+        part = d.decompress(view, CHUNK)
+        while part or not d.eof:
+            yield part
+            if d.eof:
+                break
+            left = d.unconsumed_tail
+            part = d.decompress(left, CHUNK)
+            if not part and not left and not d.eof:
+                raise ValueError("truncated archive")
+        view = view[len(view) - len(d.unused_data) :]
+
+
+def parse_archive(raw: bytes | Iterable[bytes]) -> Iterator[dict]:
+    """The records of one archive, by their Content-Length; no more than a record and a part are held unpacked. A truncated or damaged archive raises ValueError."""
+    parts = iter(_unpacked(raw) if isinstance(raw, bytes) else raw)
+    data, at, place = bytearray(), 0, 0
+
+    def more() -> bool:
+        """Takes in a further part; what was read is let go."""
+        nonlocal at
+        part = next(parts, None)
+        if part is None:
+            return False
+        del data[:at]
+        at = 0
+        data.extend(part)
+        return True
+
+    while True:
+        while data[at : at + 2] == b"\r\n":
+            at, place = at + 2, place + 2
+        if len(data) - at < 2:
+            if more():
+                continue
+            if len(data) > at:
+                raise ValueError(f"no WARC record at byte {place}")
+            return
+        sought = 0
+        while (split := data.find(b"\r\n\r\n", at + sought)) < 0 and (len(data) - at < 5 or data.startswith(b"WARC/", at)):
+            sought = max(0, len(data) - at - 3)
+            if not more():
+                break
         if not data.startswith(b"WARC/", at) or split < 0:
-            raise ValueError(f"no WARC record at byte {at}")
+            raise ValueError(f"no WARC record at byte {place}")
         h = {}
-        for x in data[at:split].decode("utf-8", "replace").split(CRLF)[1:]:
+        for x in bytes(data[at:split]).decode("utf-8", "replace").split(CRLF)[1:]:
             k, _, v = x.partition(":")
             h[k.strip().lower()] = v.strip()
-        a = split + 4
-        b = a + int(h["content-length"])
-        if b > len(data):
-            raise ValueError(f"truncated WARC record at byte {at}")
-        kind, block, fields, head, payload, size, digest = h.get("warc-type"), data[a:b], None, None, None, None, None
-        if h.get("content-type", "").startswith("application/http"):
-            top, _, payload = block.partition(b"\r\n\r\n")
-            head = top.decode("utf-8", "replace")
-        if kind == "response":
-            size, digest = len(payload), b32encode(hashlib.sha1(payload).digest()).decode()
-            if h.get("warc-payload-digest", f"sha1:{digest}") != f"sha1:{digest}":
-                raise ValueError(f"payload digest differs in the WARC record at byte {at}")
-        elif kind == "revisit":  # the payload is elsewhere; its length and digest are as recorded
-            digest = h.get("warc-payload-digest", "").removeprefix("sha1:") or None
-            size = next((int(x.split(":")[1]) for x in (head or "").split(CRLF) if x.lower().startswith("content-length:")), None)
-            payload = None
-        elif kind in ("metadata", "warcinfo"):
-            fields = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in block.decode("utf-8", "replace").split(CRLF)) if k}
-        yield dict(
-            record_id=h.get("warc-record-id"), type=kind, concurrent_to=h.get("warc-concurrent-to"), refers_to=h.get("warc-refers-to"), target_uri=h.get("warc-target-uri"), date=h.get("warc-date"), content_type=h.get("content-type"),
-            header_digest=h.get("warc-payload-digest"), http_head=head, fields=list(fields.items()) if fields is not None else None, payload=payload, payload_bytes=size, payload_digest=digest,
-        )
-        at = b
-        while data.startswith(b"\r\n", at):
-            at += 2
+        head_size, size = split + 4 - at, int(h["content-length"])
+        while len(data) - at < head_size + size:
+            if not more():
+                raise ValueError(f"truncated WARC record at byte {place}")
+        yield _record(h, bytes(data[at + head_size : at + head_size + size]), place)
+        at, place = at + head_size + size, place + head_size + size
+
+
+def _record(h: dict[str, str], block: bytes, place: int) -> dict:
+    kind, fields, head, payload, size, digest = h.get("warc-type"), None, None, None, None, None
+    if h.get("content-type", "").startswith("application/http"):
+        top, _, payload = block.partition(b"\r\n\r\n")
+        head = top.decode("utf-8", "replace")
+    if kind == "response":
+        payload = payload or b""
+        size, digest = len(payload), b32encode(hashlib.sha1(payload).digest()).decode()
+        if h.get("warc-payload-digest", f"sha1:{digest}") != f"sha1:{digest}":
+            raise ValueError(f"payload digest differs in the WARC record at byte {place}")
+    elif kind == "revisit":  # the payload is elsewhere; its length and digest are as recorded
+        digest = h.get("warc-payload-digest", "").removeprefix("sha1:") or None
+        size = next((int(x.split(":")[1]) for x in (head or "").split(CRLF) if x.lower().startswith("content-length:")), None)
+        payload = None
+    elif kind in ("metadata", "warcinfo"):
+        fields = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in block.decode("utf-8", "replace").split(CRLF)) if k}
+    return dict(
+        record_id=h.get("warc-record-id"), type=kind, concurrent_to=h.get("warc-concurrent-to"), refers_to=h.get("warc-refers-to"), target_uri=h.get("warc-target-uri"), date=h.get("warc-date"), content_type=h.get("content-type"),
+        header_digest=h.get("warc-payload-digest"), http_head=head, fields=list(fields.items()) if fields is not None else None, payload=payload, payload_bytes=size, payload_digest=digest,
+    )
 
 
 def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
@@ -157,8 +214,8 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
             for raw in batch.column(0):
                 rows, held = [], 0
                 for r in parse_archive(raw.as_py()):
-                    held += len(r["payload"] or b"")
                     r = r if payload else r | {"payload": None}
+                    held += len(r["payload"] or b"")
                     rows.append(r)
                     if len(rows) == 2000 or held > 16 << 20:
                         yield pa.RecordBatch.from_pylist(rows, kind)
@@ -166,20 +223,21 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, kind)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("content")
     return files.mapInArrow(parse, RECORD)
 
 
 def assemble(records: DataFrame) -> DataFrame:
-    """One nested row per capture: capture_id, response, requests and metadata, joined through concurrent-to identifiers.
+    """One nested row per capture: capture_id, response (with its payload), requests and metadata, joined through concurrent-to identifiers.
 
     A record belongs to the response or revisit that its concurrent-to names, or whose request it names.
-    Records without such an answer form a capture with a null response; a record that names nothing stands alone.
+    Records without such an answer form a capture with a null response; a record that names nothing stands alone. Records of a null
+    id are captures of their own, with a null capture_id; records of a null or other type count as metadata. An empty table gives no rows.
     """
-    kinds = F.col("type")
+    kinds = F.coalesce(F.col("type"), F.lit(""))
     slim = [c for c in records.columns if c not in ("payload",)]
     direct = records.where(kinds == "request").select(F.col("record_id").alias("_q"), F.col("concurrent_to").alias("_via"))
-    others = records.where(~F.coalesce(kinds.isin("response", "revisit"), F.lit(False)))
+    others = records.where(~kinds.isin("response", "revisit"))
     via = others.where(kinds != "request").join(direct, F.col("concurrent_to") == F.col("_q"), "left").withColumn("capture_id", F.coalesce("_via", "concurrent_to", "record_id")).drop("_q", "_via")
     asked = others.where(kinds == "request").withColumn("capture_id", F.coalesce("concurrent_to", "record_id"))
     answers = records.where(kinds.isin("response", "revisit")).withColumn("capture_id", F.col("record_id"))
