@@ -47,6 +47,26 @@ select d.doc_id, cast(len(d.w) as bigint) as n_words, coalesce(h.n_hit, 0) as n_
 from d left join h using (doc_id) left join k using (doc_id) left join nr using (doc_id)
 """
 
+_KEYS = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+#: The base patterns of secrets as (kind, pattern, group of the value, its least length). Runs are maximal, so their least length may stand in the pattern.
+_SECRETS = (("assign", f"({_KEYS})[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", 2, 6), ("access", "AKIA[A-Z0-9]{16,}", 0, 20), ("hex", "[0-9a-f]{24,}", 0, 24))
+#: Matches m and what stands between them, g, give each match's place.
+_FOUND = """{kind}_m as (select doc_id, regexp_extract_all(t, '{pattern}') as m, string_split_regex(t, '{pattern}') as g from d),
+{kind}_s as (select doc_id, unnest(m) as x, unnest(list_transform(range(1, len(m) + 1), lambda i: cast(list_sum(list_transform(g[1:i], lambda y: length(y))) as bigint) + coalesce(cast(list_sum(list_transform(m[1:i - 1], lambda y: length(y))) as bigint), 0))) as a from {kind}_m where len(m) > 0),
+{kind} as (select doc_id, '{kind}' as kind, a, a + length(x) as b, regexp_extract(x, '{pattern}', {group}) as v from {kind}_s where length(regexp_extract(x, '{pattern}', {group})) >= {least})"""
+
+OP4 = f"""
+with d as (select doc_id, coalesce(source, chr(0) || 'null') as owner, coalesce(text, '') as t from documents),
+{",".join(_FOUND.format(kind=k, pattern=p, group=g, least=n) for k, p, g, n in _SECRETS)},
+f as (select * from assign union all select * from access union all select * from hex),
+c as (select distinct doc_id, b - length(v) as a, b, v from f),
+o as (select v, count(distinct owner) as owners from c join d using (doc_id) group by v),
+x as (select doc_id, kind, a, b, list_position(['assign', 'access', 'hex'], kind) as r from f union all select doc_id, case when owners >= 3 then 'example' else 'live' end, a, b, case when owners >= 3 then 5 else 4 end from c join o using (v)),
+z as (select doc_id, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex,
+  string_agg(kind || ':' || a || ':' || b, ',' order by a, r, b) filter (r <= 3) as base, string_agg(kind || ':' || a || ':' || b, ',' order by a, r, b) as spans from x group by doc_id)
+select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from d left join z using (doc_id)
+"""
+
 OP6 = r"""
 with n as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents),
 g as (select t, min(doc_id) as keep_id, count(*) as group_size from n group by t)

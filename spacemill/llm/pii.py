@@ -7,10 +7,14 @@ writes, the source span it came from; detectors run on what it wrote and their s
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import pairwise
 
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
+from spacemill.llm.common import others
 from spacemill.llm.spans import Span, digest, joined, map_rows
 
 KINDS = ("email", "ip", "card", "phone")
@@ -86,21 +90,23 @@ _SHIFT = 0xFEE0
 _ODD = re.compile("[" + "".join([*CYRILLIC, *GREEK]) + "！-～․。٠-٩۰-۹०-९​-‍⁠﻿­‐-―   ]")
 _SPACES = "   "
 _DASHES = "‐‑‒–—―"
-_BREAK = r"[\x20\t]{0,4}"
+_BREAK = r"[\x20\t]*+"
 # Words for @ and the dot, and top-level domains that a bare "at ... dot ..." must end in.
 _ATS, _DOTS = "at|arroba|ät", "dot|punkt|point|punto"
 _TOP = "com|org|net|edu|gov|info|io|co|de|fr|es|uk|eu|us|ai|dev|app|biz|me|ch|at|it|nl|example|test|local"
+# runs of blanks are taken whole and, by what stands before, from their start only, so that every pattern is linear
 _OPEN, _CLOSE = rf"{_BREAK}[\[({{<]{_BREAK}", rf"{_BREAK}[\])}}>]{_BREAK}"
-_LABELS = rf"(?:[A-Za-z0-9-]{{1,63}}(?:{_OPEN}(?:{_DOTS}|\.){_CLOSE}|[\x20\t]{{1,4}}(?:{_DOTS})[\x20\t]{{1,4}}|\.)){{1,5}}"
+# a domain's labels: of 63 characters and 126 before the last, as many as a domain name may have
+_LABELS = rf"(?:[A-Za-z0-9-]{{1,63}}+(?:{_OPEN}(?:{_DOTS}|\.){_CLOSE}|[\x20\t]++(?:{_DOTS})[\x20\t]++|\.)){{1,126}}"
 # bracketed, or standing alone before a domain
-_AT = re.compile(rf"{_OPEN}(?:{_ATS}){_CLOSE}|(?<=[A-Za-z0-9]){_BREAK}\(@\){_BREAK}|(?<=[A-Za-z0-9])[\x20\t]{{1,4}}(?:{_ATS})[\x20\t]{{1,4}}(?={_LABELS}(?:{_TOP})(?![A-Za-z0-9]))", re.I)
-_DOT = re.compile(rf"(?<=[A-Za-z0-9]){_OPEN}(?:{_DOTS}|\.){_CLOSE}(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])[\x20\t]{{1,4}}(?:{_DOTS})[\x20\t]{{1,4}}(?=[A-Za-z0-9])", re.I)
+_AT = re.compile(rf"(?<![\x20\t]){_OPEN}(?:{_ATS}){_CLOSE}|(?<=[A-Za-z0-9]){_BREAK}\(@\){_BREAK}|(?<=[A-Za-z0-9])[\x20\t]++(?:{_ATS})[\x20\t]++(?={_LABELS}(?:{_TOP})(?![A-Za-z0-9]))", re.I)
+_DOT = re.compile(rf"(?<=[A-Za-z0-9]){_OPEN}(?:{_DOTS}|\.){_CLOSE}(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])[\x20\t]++(?:{_DOTS})[\x20\t]++(?=[A-Za-z0-9])", re.I)
 _NUMBER = rf"(?:{'|'.join(sorted(DIGIT_WORDS, key=len, reverse=True))})"
-_SPELLED = re.compile(rf"(?<![^\W_])(?:plus[\x20]+)?{_NUMBER}(?:[\x20.-]{{1,4}}(?:{_NUMBER}|[0-9]+)){{2,}}(?![^\W_])", re.I)
+_SPELLED = re.compile(rf"(?<![^\W_])(?:plus[\x20]++)?{_NUMBER}(?:[\x20.-]++(?:{_NUMBER}|[0-9]+))+(?![^\W_])", re.I)
 _WORD = re.compile(rf"plus[\x20]+|{_NUMBER}", re.I)
-_HINT = re.compile(rf"(?:{_ATS}|@)\s{{0,4}}[\])}}>]|(?:{_DOTS}|\.)\s{{0,4}}[\])}}>]|[ \t](?:{_DOTS})[ \t]", re.I)
+_HINT = re.compile(rf"(?:{_ATS}|@)[\x20\t]*+[\])}}>]|(?:{_DOTS}|\.)[\x20\t]*+[\])}}>]|[ \t](?:{_DOTS})[ \t]", re.I)
 # a bare "at" of _AT, whatever stands before it
-_BARE_AT = re.compile(rf"[\x20\t](?:{_ATS})[\x20\t]{{1,4}}(?={_LABELS}(?:{_TOP})(?![A-Za-z0-9]))", re.I)
+_BARE_AT = re.compile(rf"[\x20\t](?:{_ATS})[\x20\t]++(?={_LABELS}(?:{_TOP})(?![A-Za-z0-9]))", re.I)
 _BARE_DOTS = tuple(f"{a}{w}" for w in _DOTS.split("|") for a in " \t")
 _BARE_ATS = tuple(f"{a}{w}" for w in _ATS.split("|") for a in " \t")
 _NUMBER_WORDS = tuple(DIGIT_WORDS)
@@ -119,13 +125,9 @@ def _hints(text: str, low: str) -> bool:
 
 
 def _numbers(low: str) -> bool:
-    """Whether a number word and two more, or digits, may stand in a row, true wherever _SPELLED matches: the middle one is a word of its own."""
+    """Whether a number word and another, or digits, may stand in a row, true wherever _SPELLED matches."""
     words = low.replace("-", " ").replace(".", " ").split()
-    return any(
-        words[i - 1].endswith(_NUMBER_WORDS) and (words[i + 1].startswith(_NUMBER_WORDS) or words[i + 1][0].isdigit())
-        for i in [i for i, w in enumerate(words) if w in DIGIT_WORDS or w.isdigit()]
-        if 0 < i < len(words) - 1
-    )
+    return any(a.endswith(_NUMBER_WORDS) and (b.startswith(_NUMBER_WORDS) or b[0].isdigit()) for a, b in pairwise(words))
 
 
 class Tape:
@@ -173,8 +175,8 @@ def _plain(m: re.Match) -> str:
 
 
 def _spelled(m: re.Match) -> str:
-    """Digit words become digits; the separators stay, so that groups of a number stay apart."""
-    return re.sub(r"(?<=[0-9])\x20(?=[0-9])", "", _WORD.sub(lambda w: DIGIT_WORDS.get(_fold(w[0]), "+"), m[0]))
+    """Digit words become digits; the separators stay but for blanks, so that groups of a number stay apart."""
+    return re.sub(r"(?<=[0-9])\x20+(?=[0-9])", "", _WORD.sub(lambda w: DIGIT_WORDS.get(_fold(w[0]), "+"), m[0]))
 
 
 def normalise(text: str) -> Tape | None:
@@ -201,7 +203,9 @@ def disguised(text: str, base: list[Span]) -> list[Span]:
     out = []
     for kind, a, b in detect(tape.text):
         s, e = tape.source(a, b)
-        if not any(x < e and s < y for x, y in taken[kind]):
+        # base spans of a kind do not overlap, so the last that starts before e is the one to look at
+        i = bisect_left(taken[kind], (e,)) - 1
+        if i < 0 or taken[kind][i][1] <= s:
             out.append((kind, s, e))
     return out
 
@@ -212,12 +216,12 @@ RESULT = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string
 def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The columns of docs but for the text, with n_<kind> of the base spans, base_sha256, and spans, base and disguised ones together.
 
-    A null text counts as empty. Columns of docs with these names are replaced. Texts are taken whole.
+    A null text counts as empty; texts are taken whole, and rows that repeat an id or a text are rows of their own. Columns of docs
+    with these names, in any case, are replaced. An empty table gives no rows.
     """
-    new = [x.split()[0] for x in RESULT.split(", ")]
-    own = [c for c in docs.columns if c != text_col and c not in new]
-    rows = docs.select(*own, text_col)
-    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), RESULT])
+    new = StructType.fromDDL(RESULT)
+    own = [c for c in others(docs, new.names) if c != text_col]
+    rows = docs.select(*[f"`{c}`" for c in own], text_col)
 
     def row(*values):
         text = values[-1] or ""
@@ -227,4 +231,4 @@ def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
             "base_sha256": digest(base, KINDS), "spans": joined([*base, *disguised(text, base)], KINDS),
         }
 
-    return map_rows(rows, row, ddl)
+    return map_rows(rows, row, StructType([*rows.schema.fields[:-1], *new.fields]))

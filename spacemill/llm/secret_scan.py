@@ -7,8 +7,9 @@ import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
-from spacemill.llm.common import lookup, salt_of, stage
+from spacemill.llm.common import dropping, lookup, others, salt_of, stage
 from spacemill.llm.spans import Span, digest, map_rows
 
 BASE = ("assign", "access", "hex")
@@ -35,17 +36,18 @@ def base_spans(text: str) -> Iterator[tuple[Span, int, int]]:
         yield ("hex", m.start(), m.end()), m.start(), m.end()
 
 
-SCANNED = "rid long, n_assign long, n_access long, n_hex long, base_sha256 string, spans array<struct<kind:string,start:int,end:int>>, candidates array<struct<hash:binary,start:int,end:int>>"
+SCANNED = "n_assign long, n_access long, n_hex long, base_sha256 string, spans array<struct<kind:string,start:int,end:int>>, candidates array<struct<hash:binary,start:int,end:int>>"
+RESULT = ("n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
-def _scan(rid: int, text: str | None) -> dict:
+def _scan(text: str | None) -> dict:
     text = text or ""
     found = list(base_spans(text))
     spans = [s for s, _, _ in found]
     values = {(a, b): hashlib.sha256(text[a:b].encode("utf-8", "surrogatepass")).digest()[:16] for _, a, b in found}
     count = {k: sum(s[0] == k for s in spans) for k in BASE}
     return {
-        "rid": rid, **{f"n_{k}": n for k, n in count.items()}, "base_sha256": digest(spans, BASE),
+        **{f"n_{k}": n for k, n in count.items()}, "base_sha256": digest(spans, BASE),
         "spans": [{"kind": k, "start": a, "end": b} for k, a, b in spans], "candidates": [{"hash": h, "start": a, "end": b} for (a, b), h in values.items()],
     }
 
@@ -55,34 +57,35 @@ def scan(docs: DataFrame, repository: list[str], owner: list[str], text_col: str
 
     Besides the base spans, each distinct candidate value's span is there as ``live`` or ``example``: ``example``
     where at least wide_owners distinct owners hold the value anywhere in the corpus. Counts are over all rows; nulls in
-    the repository or owner columns are values like others. A null text counts as empty. Columns that clash are replaced.
+    the repository or owner columns are values like others. A null text counts as empty; rows that repeat an id are rows of
+    their own. Columns with the result's names, in any case, are replaced; others may have any name.
     """
-    own = [c for c in docs.columns if c != text_col and c.lower() not in {"rid", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "candidates", "_repo", "_owner"}]
-    as_key = lambda cols: F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0null")) for c in cols]) if cols else F.lit(0).cast("long")
-    keyed = docs.select(*own, as_key(repository).alias("_repo"), as_key(owner).alias("_owner"), F.col(text_col).alias("_text"))
-    # one pass over the texts; the passed-on columns ride along, so nothing is joined by document
-    carried = [f for f in keyed.schema.fields if f.name != "_text"]
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried) + ", " + SCANNED.removeprefix("rid long, ")
-    names = [f.name for f in carried]
-
-    def row(*values):
-        out = _scan(0, values[-1])
-        out.pop("rid")
-        return {**dict(zip(names, values)), **out}
-
-    seen = stage(map_rows(keyed, row, ddl).withColumn("rid", F.monotonically_increasing_id()), "secrets-scanned")
-    cand = seen.select("rid", "_repo", "_owner", F.explode("candidates").alias("c")).select("rid", "_repo", "_owner", "c.*")
-    per_repo = cand.groupBy("hash", "_owner", "_repo").agg(F.count("*").alias("copies"))
-    per_owner = per_repo.groupBy("hash", "_owner").agg(F.count("*").alias("repositories"), F.sum("copies").alias("copies"))
+    own = [c for c in others(docs, RESULT) if c != text_col]
+    as_key = lambda cols: F.xxhash64(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0null")) for c in cols]) if cols else F.lit(0).cast("long")
+    # the passed-on columns ride along in a struct, so that nothing is joined by document and no name clashes
+    mine = F.struct(*[F.col(f"`{c}`") for c in own]) if own else F.struct(F.lit(None).cast("int").alias("none"))
+    keyed = docs.select(mine.alias("own"), as_key(repository).alias("repository"), as_key(owner).alias("owner"), F.col(text_col).alias("text"))
+    kind = StructType([*keyed.schema.fields[:3], *StructType.fromDDL(SCANNED).fields])
+
+    def row(own_, repository_, owner_, text):
+        return {"own": own_, "repository": repository_, "owner": owner_, **_scan(text)}
+
+    kept: list[DataFrame] = []
+    with dropping(docs.sparkSession, kept):
+        seen = stage(map_rows(keyed, row, kind).withColumn("rid", F.monotonically_increasing_id()), "secrets-scanned")
+        kept.append(seen)
+    cand = seen.select("rid", "repository", "owner", F.explode("candidates").alias("c")).select("rid", "repository", "owner", "c.*")
+    per_repo = cand.groupBy("hash", "owner", "repository").agg(F.count("*").alias("copies"))
+    per_owner = per_repo.groupBy("hash", "owner").agg(F.count("*").alias("repositories"), F.sum("copies").alias("copies"))
     held = per_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"), F.sum("copies").alias("copies"))
     told = lookup(cand.withColumn("salt", salt_of("rid")), held, "hash", "salt", "inner")
-    kind = F.when(F.col("owners") >= wide_owners, "example").otherwise("live")
-    more = told.groupBy("rid").agg(F.collect_list(F.struct(kind.alias("kind"), "start", "end", "owners", "repositories", "copies")).alias("_more"))
+    named = F.when(F.col("owners") >= wide_owners, "example").otherwise("live")
+    more = told.groupBy("rid").agg(F.collect_list(F.struct(named.alias("kind"), "start", "end", "owners", "repositories", "copies")).alias("more"))
     none = F.lit(None).cast("long")
     base = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), none.alias("owners"), none.alias("repositories"), none.alias("copies")))
     plain = seen.where(F.size("candidates") == 0).withColumn("spans", base)
-    marked = seen.where(F.size("candidates") > 0).join(more, "rid").withColumn("spans", F.concat(base, "_more"))
-    cols = [*own, "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+    marked = seen.where(F.size("candidates") > 0).join(more, "rid").withColumn("spans", F.concat(base, "more"))
+    cols = [*[F.col("own")[c].alias(c) for c in own], *RESULT]
     return plain.select(*cols).unionByName(marked.select(*cols))
 
 

@@ -23,9 +23,9 @@ def digest(spans: Iterable[Span], kinds: tuple[str, ...]) -> str:
     return hashlib.sha256(joined(spans, kinds).encode()).hexdigest()
 
 
-def map_rows(df: DataFrame, row: Callable[..., dict], schema: str, rows_per_batch: int = 500) -> DataFrame:
+def map_rows(df: DataFrame, row: Callable[..., dict], schema: StructType, rows_per_batch: int = 500) -> DataFrame:
     """A row out for each row in: row(*values) gives its columns. Rows are taken one by one, so memory follows the longest text."""
-    kind = to_arrow_schema(StructType.fromDDL(schema))
+    kind = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spacemill.llm import kernels
-from spacemill.llm.common import stage
+from spacemill.llm.common import others, stage
 
 #: Word bytes: letters, digits, bytes of non-ASCII letters, and signs that disguise letters.
 WORD = kernels.ALNUM.copy()
@@ -223,12 +223,15 @@ def _count(sample: DataFrame, among: frozenset[str] | None) -> DataFrame:
     return sample.select("text").mapInArrow(run, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_entries: int = 300, ratio: float = 20.0, stem_ratio: float = 20.0, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, ratio: float = 20.0, stem_ratio: float = 20.0, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Learns a Model from at most max_rows labelled rows (the documented bound), held-out ids excluded.
 
     A word marks label 1 at least ``ratio`` times as often as label 0, a stem ``stem_ratio`` times; of stems and words that
-    begin with each other the one that tells most is taken. Words of label 1 under a taken stem are entries too, beyond
-    max_entries, so that misspellings of them are met. What reaches the driver is bounded by max_entries and max_rows. Without rows of both labels the model finds nothing and scores all alike.
+    begin with each other the one that tells most is taken. Words of label 1 under a taken stem are entries too, so that
+    misspellings of them are met. Features are bounded by evidence alone: each is in at least 0.4 % of the sampled rows of label 1, and in three,
+    so that what reaches the driver follows from max_rows. Null and empty texts have no words; labels of null ids or other values are
+    left out, of several labels of an id the larger counts, and rows that repeat an id are each taken. Without rows of both labels the
+    model finds nothing and scores all alike.
     """
     sample = training_sample(docs, labels, max_rows, id_col, text_col)
     totals = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -237,7 +240,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_entries:
         return Model(coefficients=[math.log((pos + 0.5) / (neg + 0.5)), 0, 0, 0])
     least = max(3, round(0.004 * pos))
     marked = stage(_count(sample.where("y = 1"), None), "toxicity-counts")
-    likely = {r["feature"]: r["n"] for r in marked.where(F.col("n") >= least).orderBy(F.desc("n"), "feature").limit(max_entries * 40).collect()}
+    likely = {r["feature"]: r["n"] for r in marked.where(F.col("n") >= least).collect()}
     clean = {r["feature"]: r["n"] for r in _count(sample.where("y = 0"), frozenset(likely)).collect()}
     score = {f: math.log((n + 0.5) / (pos + 1)) - math.log((clean.get(f, 0) + 0.5) / (neg + 1)) for f, n in likely.items()}
     entries: list[tuple[str, bool, int]] = []
@@ -248,7 +251,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_entries:
         if is_stem and any(likely[w] >= 0.9 * likely[f] for w in likely if w.endswith("$") and w.startswith(text)):
             continue
         nested = any((s and text.startswith(t)) or (is_stem and t.startswith(text)) for t, s, _ in entries)
-        if not nested and len(entries) < max_entries:
+        if not nested:
             entries.append((text, is_stem, 0 if is_stem else edits_allowed(len(text))))
     # exact words under a stem are hits of the stem
     of = list(range(len(entries)))
@@ -312,8 +315,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, strength: float =
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool = True) -> DataFrame:
-    """docs without clashing columns, plus ``score`` (0 to 1) and ``predicted`` (score >= 0.5). Null and empty texts have no hits."""
-    rows = docs.drop(*[c for c in ("score", "predicted") if c != text_col])
+    """docs without clashing columns, plus ``score`` (0 to 1) and ``predicted`` (score >= 0.5).
+
+    Null and empty texts have no hits; words and texts may have any length; repeated rows are scored alike. Columns named score or
+    predicted, in any case, are replaced, unless they are the text. An empty table gives no rows.
+    """
+    rows = docs.select(*[f"`{c}`" for c in others(docs, ("score", "predicted"), text_col)])
     fields = [f for f in rows.schema.fields if keep_text or f.name != text_col]
     b = np.array(model.coefficients)
 

@@ -115,8 +115,9 @@ def test_near_blocks_alone_find_links(spark, monkeypatch):
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (100, 100), (7, 3)]
     d = spark.createDataFrame(chain, "a long, b long")
-    got = {r["node"]: r["root"] for r in components.components(d).collect()}
-    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
+    for few in (0, components.HUB_EDGES):
+        got = {r["node"]: r["root"] for r in components.components(d, hub_edges=few).collect()}
+        assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
     assert components.components(d.where("a > 1000")).count() == 0
 
 
@@ -507,3 +508,182 @@ def test_staged_tables_can_be_deleted(spark):
     path = Path(common._made[spark.sparkContext.applicationId][-1].removeprefix("file://"))
     assert path.is_dir() and str(path).startswith(where.removeprefix("file://"))
     assert common.clean(spark) > 0 and not path.exists() and common.clean(spark) == 0
+
+
+CLASHES = ("RID", "Id", "set_id", "digest", "salt", "_block", "_parts", "_text", "_repo", "Chunks", "own", "block", "above", "k1", "found", "value", "norm", "key", "html", "winner", "jump", "file", "row")
+
+
+def clashing(df):
+    """df with a column of each name that operators are likely to use themselves."""
+    return df.select("*", *[F.lit(i).alias(c) for i, c in enumerate(CLASHES) if c not in df.columns])
+
+
+def test_columns_of_any_name(spark, odd):
+    d = clashing(odd)
+    plain = lambda df, *cols: sorted((tuple(r) for r in df.select(*cols).collect()), key=str)
+    cols = ("doc_id", "n_shingles", "component_id", "kept")
+    assert plain(near_dedup.near_duplicates(d), *cols) == plain(near_dedup.near_duplicates(odd), *cols)
+    cols = ("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    assert plain(exact_dedup.exact_dedup(d), *cols) == plain(exact_dedup.exact_dedup(odd), *cols)
+    cols = ("doc_id", "n_chunks", "n_repeated", "repeat_spans")
+    assert plain(chunk_dedup.repeats(d), *cols) == plain(chunk_dedup.repeats(odd), *cols)
+    for op, new in ((lambda x: secret_scan.scan(x, ["source", "lang"], ["source"]), "base_sha256"), (pii.find, "base_sha256"), (lambda x: toxicity.score(x, toxicity.Model(), keep_text=False), "score")):
+        out = op(d)
+        assert plain(out, "doc_id", new) == plain(op(odd), "doc_id", new)
+        assert all(set(out.select(c).distinct().collect()) == {(i,)} for i, c in enumerate(CLASHES) if c in ("RID", "_text", "_repo", "Chunks", "own"))
+    for op, new in ((mixing.mix, ("mix_slot", "mix_place")), (sharding.shard_documents, ("shard", "slot"))):
+        out = op(d)
+        assert out.columns[: len(d.columns)] == d.columns and out.select(*new).distinct().count() == len(ODD)
+        assert out.select(*CLASHES).distinct().count() == 1
+    items = spark.createDataFrame([(1, "a b c d")], "item_id long, text string")
+    out = decontaminate.decontaminate(d, items)
+    assert plain(out, "doc_id", "n_hit") == plain(decontaminate.decontaminate(odd, items), "doc_id", "n_hit") and set(CLASHES) <= set(out.columns)
+
+
+@pytest.mark.parametrize("name", ["Spans", "N_EMAIL", "base_SHA256"])
+def test_result_names_in_any_case_are_replaced(odd, name):
+    assert len(pii.find(odd.withColumn(name, F.lit(1))).select("spans", "n_email", "base_sha256").collect()) == len(ODD)
+    assert len(secret_scan.scan(odd.withColumn(name, F.lit(1)), [], []).select("spans", "base_sha256").collect()) == len(ODD)
+
+
+def test_warc_pages_with_repeated_ids_and_other_columns(spark, tmp_path):
+    pages = [(1, "http://a", "same", "x"), (1, "http://a", "same", "y"), (1, "http://b", "other", None), (None, "u", "same", "z"), (2, None, None, "w")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, response string").withColumns({"key": F.lit(1), "Winner": F.lit(2), "payload": F.lit("p")})
+    warc.write_warc(df, f"{tmp_path}/w")
+    rows = warc.revisits_resolved(warc.assemble(warc.read_warc(spark, f"{tmp_path}/w"))).collect()
+    assert sorted(((r["page_id"], r["record_type"], r["payload_bytes"]) for r in rows), key=str) == sorted([(1, "response", 4), (1, "response", 4), (1, "response", 5), (None, "response", 4), (2, "response", 0)], key=str)
+
+
+def test_warc_archives_are_bounded_by_bytes(spark, tmp_path):
+    from pathlib import Path
+
+    pages = [(i, f"http://a/{i}", f"{i} " * 2000) for i in range(60)] + [(99, "u", "long " * 40000)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    few = lambda keys: {r["page_id"]: r["winner"] for r in warc.capture_plan(df, broadcast_keys=keys).collect()}
+    assert few(0) == few(10) == {p[0]: p[0] for p in pages}
+    warc.write_warc(df, f"{tmp_path}/w", bytes_per_file=50_000)
+    files = list(Path(tmp_path, "w").rglob("part-*.gz"))
+    assert len(files) > 5
+    got = {r["page_id"]: r["payload_bytes"] for r in warc.revisits_resolved(warc.assemble(warc.read_warc(spark, f"{tmp_path}/w"))).collect()}
+    assert got == {i: len(h) for i, _, h in pages}
+    caps = {r["response"]["payload_bytes"]: bytes(r["response"]["payload"]) for r in warc.assemble(warc.read_warc(spark, f"{tmp_path}/w")).collect()}
+    assert caps[200_000] == b"long " * 40000
+
+
+def test_warc_parse_in_parts(monkeypatch):
+    import gzip
+
+    record = lambda i: f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <{i}>\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: {len(body(i))}\r\n\r\n".encode() + body(i) + b"\r\n\r\n"
+    body = lambda i: b"HTTP/1.1 200 OK\r\n\r\n" + b"\r\n\r\nWARC/" * i
+    whole = b"".join(record(i) for i in range(40))
+    want = [len(b"\r\n\r\nWARC/" * i) for i in range(40)]
+    for size in (1, 7, 64, 1 << 20):
+        monkeypatch.setattr(warc, "CHUNK", size)
+        for raw in (whole, gzip.compress(whole), b"".join(gzip.compress(record(i)) for i in range(40))):
+            assert [r["payload_bytes"] for r in warc.parse_archive(raw)] == want
+    with pytest.raises(ValueError):
+        list(warc.parse_archive(gzip.compress(whole)[:-20]))
+
+
+def plain_chunks(texts, least):
+    """Repeated spans by comparing the chunks themselves."""
+    from collections import Counter
+
+    each, seen = [], Counter()
+    for t in texts:
+        data, off = kernels.of_texts([t])
+        raw = data.tobytes()
+        a, b, _, _ = chunk_dedup.spans(data, off)
+        each.append([(x, y, raw[x:y]) for x, y in zip(a.tolist(), b.tolist())])
+        seen.update(c for _, _, c in each[-1])
+    out = []
+    for chunks in each:
+        spans = []
+        for x, y, c in sorted(chunks):
+            if seen[c] > 1:
+                if spans and spans[-1][1] >= x:
+                    spans[-1][1] = max(spans[-1][1], y)
+                else:
+                    spans.append([x, y])
+        spans = [s for s in spans if s[1] - s[0] >= least]
+        out.append((len(chunks), [tuple(s) for s in spans], sum(seen[c] > 1 and any(s[0] <= x and y <= s[1] for s in spans) for x, y, c in chunks)))
+    return out
+
+
+def test_chunks_are_those_of_plain_comparison(spark):
+    """Ties, repeated rows, repeated ids, passages within a text and across texts; with the filter and beyond its bound."""
+    rnd = random.Random(6)
+    passages = [" ".join(words(rnd.randint(5, 70), 400 + i)) for i in range(12)]
+    texts = [" ".join(rnd.choice(passages) if rnd.random() < 0.5 else " ".join(words(rnd.randint(3, 40), rnd.randrange(10**6))) for _ in range(rnd.randint(1, 9))) for _ in range(60)]
+    texts += [texts[0], texts[0], None, "", "a", "a", passages[0] + " " + passages[0]]
+    want = plain_chunks(texts, 100)
+    for bound in (0, chunk_dedup.FILTER_HASHES):
+        rows = {r["doc_id"]: r for r in chunk_dedup.repeats(table(spark, texts), filter_hashes=bound).collect()}
+        for i, (n, spans, repeated) in enumerate(want):
+            r = rows[i]
+            assert (r["n_chunks"], [tuple(s) for s in r["repeat_spans"]], r["n_repeated"], r["repeated"]) == (n, spans, repeated, bool(spans)), i
+    same = chunk_dedup.repeats(table(spark, [texts[0]] * 3, [5, 5, None])).collect()
+    assert sorted(r["n_removed"] for r in same)[0] == 0 and [r["n_removed"] > 0 for r in same].count(True) == 2
+
+
+def test_spans_are_joined_in_linear_time():
+    import time
+
+    import numpy as np
+
+    start = np.arange(0, 3_000_000, 3)
+    t0 = time.time()
+    lo, hi = chunk_dedup.runs(start, start + 2)
+    (a, b), n, gone, _ = chunk_dedup.counted(start, start + 2, start % 2 == 0, 2)
+    assert len(lo) == len(start) == n == len(a) and gone == len(start) // 2 and time.time() - t0 < 5
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_automaton_is_the_edit_distance():
+    rnd = random.Random(13)
+    word = lambda n: "".join(rnd.choice("abcd") for _ in range(n))
+    for _ in range(40):
+        entries = list({w: (w, False, rnd.choice([0, 1, 2])) for w in (word(rnd.randint(2, 9)) for _ in range(rnd.randint(1, 8)))}.values())
+        a = toxicity.Automaton(entries)
+        for _ in range(150):
+            w = word(rnd.randint(0, 10))
+            near = [(d, i) for i, (t, _, k) in enumerate(entries) if (d := distance(w, t)) <= k]
+            got = a.match(w)
+            assert (got is None) == (not near) and (got is None or (got[1] == min(near)[0] and (got[1], got[0]) in near)), (entries, w)
+
+
+def test_mixing_without_broadcasts_and_with_equal_rows(spark):
+    rnd = random.Random(4)
+    rows = [(i, "x" * rnd.randint(0, 300), "en", rnd.choice(["a", "b", None]), i) for i in range(600)]
+    rows += rows[:50] + rows[:50] + [(None, "n", "en", "a", 1)] * 3 + [(7, "other", "en", "b", 2)]
+    d = spark.createDataFrame(rows, DOCS)
+    plain = [tuple(r) for r in mixing.mix(d, block_bytes=500).collect()]
+    far = [tuple(r) for r in mixing.mix(d, block_bytes=500, broadcast_rows=0, block_rows=5).collect()]
+    assert sorted(map(str, (r[:5] for r in plain))) == sorted(map(str, rows)) == sorted(map(str, (r[:5] for r in far)))
+    for got in (plain, far):
+        assert [r[5:] for r in got] == sorted(r[5:] for r in got)
+        for s in ("a", "b", None):
+            assert sorted(r[6] for r in got if r[3] == s) == list(range(sum(r[3] == s for r in rows)))
+    mapped = d.limit(20).withColumn("m", F.create_map(F.lit("k"), F.col("doc_id")))
+    assert mixing.mix(mapped).count() == 20
+
+
+@pytest.mark.parametrize("text, kind, shown", [
+    ("to jane" + " " * 9 + "[at]" + "\t" * 7 + "mail" + " " * 6 + "(dot)" + " " * 5 + "example.com now", "email", None),
+    ("to jane at a.b.c.d.e.f.g.h.example.com now", "email", "jane at a.b.c.d.e.f.g.h.example.com"),
+    ("to jane" + " " * 12 + "at" + " " * 8 + "mail" + " " * 7 + "dot" + " " * 9 + "com now", "email", None),
+    ("host eight.8.four.4 up", "ip", "eight.8.four.4"),
+])
+def test_disguises_have_no_bounds_on_blanks_labels_and_words(text, kind, shown):
+    spans = pii.disguised(text, list(pii.detect(text)))
+    found = [text[a:b] for k, a, b in spans if k == kind]
+    assert found and (shown is None or shown in found)
+    assert shown is not None or (found[0].startswith("jane") and found[0].endswith("com"))
