@@ -55,7 +55,7 @@ def emit(spark, sf):
     return s.select(back.alias("c")).select("c.s_suppkey", F.col("c.child.name").alias("name"), F.col("c.child.nation").alias("nation"))
 
 
-@query("a_s27_s28_s29_options")
+@query("a_s27_s28_s29_options", "select * from (values ('child.name', 'test_string'), ('foo_bool', 'True'), ('foo_enum', '1'), ('foo_size', '128K'), ('foo_vector', '[1, 2, 3]')) o(name, value)")
 def options(spark, sf):
     """Options from a text, saved, read again and overridden by command-line arguments."""
     text = "foo_bool: true\nfoo_size: 128K\nfoo_vector: [1, 2, 3]\nchild:\n  name: test_string\n"

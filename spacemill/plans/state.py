@@ -15,6 +15,24 @@ from spacemill.streaming import replay as sr
 _LOG = "lg as (select user_id as heap, event_id as seq, case when event_type = 'error' then 'F' else 'A' end as op, cast(1 + cast(floor(value) as bigint) % 16 as bigint) as n from events where event_type in ('signup', 'purchase', 'error'))"
 
 
+#: The replay of 64 blocks a heap: a heap's free extents and its live ones, oldest first, from step to step.
+_REPLAY = f"""with recursive {_LOG}, ev as (select *, row_number() over (partition by heap order by seq) as i from lg),
+st as (
+  select heap, cast(0 as bigint) as i, cast(null as bigint) as seq, cast(null as varchar) as op, cast(null as bigint) as n, cast(null as varchar) as status, cast(null as bigint) as start, cast(null as bigint) as len,
+    [{{'l': cast(64 as bigint), 's': cast(0 as bigint)}}] as free, cast([] as struct(l bigint, s bigint)[]) as live from (select distinct heap from ev)
+  union all
+  select heap, i, seq, op, n, status, start, len,
+    case when start is null then free
+      when op = 'A' then list_concat(list_filter(free, lambda x: x.s <> start), case when got.l > len then [{{'l': got.l - len, 's': start + len}}] else [] end)
+      else list_append(list_filter(free, lambda x: x.s + x.l <> start and x.s <> start + len),
+        {{'l': len + coalesce(list_sum(list_transform(list_filter(free, lambda x: x.s + x.l = start or x.s = start + len), lambda x: x.l)), 0)::bigint, 's': coalesce(list_min(list_transform(list_filter(free, lambda x: x.s + x.l = start), lambda x: x.s)), start)}}) end,
+    case when start is null then live when op = 'A' then list_append(live, {{'l': len, 's': start}}) else live[2:] end
+  from (
+    select *, case when got is not null then '{rp.OK}' when op = 'A' then '{rp.OUT_OF_MEMORY}' else '{rp.INVALID}' end as status, got.s as start, case when got is not null then case when op = 'A' then n else got.l end end as len
+    from (select e.heap, e.i, e.seq, e.op, e.n, st.free, st.live, case when e.op = 'A' then list_min(list_filter(st.free, lambda x: x.l >= e.n)) else st.live[1] end as got from st join ev e on e.heap = st.heap and e.i = st.i + 1)))
+select heap, seq, op, n, status, start, len from st where i > 0"""
+
+
 def extent_heap():
     return rp.ExtentHeap(64)
 
@@ -29,7 +47,7 @@ def log(spark, sf):
     return t.alloc_log(spark, sf).drop("ts")
 
 
-@query("a_m1_m3_m4_m5_m6_replay")
+@query("a_m1_m3_m4_m5_m6_replay", _REPLAY)
 def replay(spark, sf):
     """Best-fit allocation and freeing in every heap's own order."""
     return rp.replay(t.alloc_log(spark, sf), extent_heap, rp.EXTENT_ROWS)
@@ -56,7 +74,7 @@ def route(spark, sf):
     return s.withColumn("route", F.when(F.col("size") < 65536, "small").otherwise("big"))
 
 
-@query("a_m_streaming_replay")
+@query("a_m_streaming_replay", _REPLAY)
 def streaming_replay(spark, sf):
     """The extent replay as a stream with a state each heap; its rows are those of the batch form."""
     where = scratch_path(spark)
