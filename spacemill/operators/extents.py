@@ -36,24 +36,32 @@ def neighbours(df: DataFrame, key: str = "k") -> DataFrame:
     return df.select(key, "start", "len", *[c.alias(n) for n, c in names.items()])
 
 
-def previous(extents: DataFrame, probes: DataFrame, key: str = "k", at: str = "addr", inclusive: bool = False) -> DataFrame:
+def previous(extents: DataFrame, probes: DataFrame, key: str = "k", at: str = "addr", inclusive: bool = False, width: int | None = None) -> DataFrame:
     """As-of backward: id, key, ``at``, x_start and x_len of the last extent that starts before (or at) each probe.
 
-    Extents and probes are sorted together once and a running ``last`` carries the extent along, so there is no range join.
+    Extents and probes are sorted together once and a running ``last`` carries the extent along, so there is no range join. With a
+    width, that is done within (key, place div width), so that a key with a large share of the rows is several tasks' work; a
+    stretch's first probes take the last extent of the stretches before it, from a table of one row a stretch.
     """
     a = extents.select(F.col(key), F.col("start").alias("_at"), F.lit(1).alias("_extent"), F.struct("start", "len").alias("_x"), F.lit(None).cast("long").alias("_id"))
     p = probes.select(F.col(key), F.col(at).alias("_at"), F.lit(0).alias("_extent"), F.lit(None).cast(a.schema["_x"].dataType).alias("_x"), F.col("id").cast("long").alias("_id"))
     # of equal places the extent comes first for an inclusive probe
     tie = F.col("_extent").desc() if inclusive else F.col("_extent").asc()
-    w = W.partitionBy(key).orderBy(F.col("_at"), tie).rowsBetween(W.unboundedPreceding, -1)
-    out = a.unionByName(p).withColumn("_found", F.last("_x", ignorenulls=True).over(w)).where("_extent = 0")
+    stretch = F.floor(F.col("_at") / width).cast("long") if width else F.lit(0).cast("long")
+    rows = a.unionByName(p).withColumn("_part", stretch)
+    w = W.partitionBy(key, "_part").orderBy(F.col("_at"), tie).rowsBetween(W.unboundedPreceding, -1)
+    out = rows.withColumn("_found", F.last("_x", ignorenulls=True).over(w)).where("_extent = 0")
+    if width:
+        upto = W.partitionBy(key).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+        lasts = rows.groupBy(key, "_part").agg(F.max("_x").alias("_x")).select(F.col(key).alias("_k"), F.col("_part").alias("_p"), F.last("_x", ignorenulls=True).over(upto).alias("_before"))
+        out = out.join(lasts, (F.col(key) == F.col("_k")) & (F.col("_part") == F.col("_p"))).withColumn("_found", F.coalesce("_found", "_before"))
     return out.select(F.col("_id").alias("id"), key, F.col("_at").alias(at), F.col("_found.start").alias("x_start"), F.col("_found.len").alias("x_len"))
 
 
-def following(extents: DataFrame, probes: DataFrame, key: str = "k", at: str = "addr") -> DataFrame:
+def following(extents: DataFrame, probes: DataFrame, key: str = "k", at: str = "addr", width: int | None = None) -> DataFrame:
     """As-of forward: the first extent that starts after each probe, as the last one before it on the mirrored axis."""
     flipped = extents.select(key, (-F.col("start")).alias("start"), "len")
-    back = previous(flipped, probes.withColumn(at, -F.col(at)), key, at)
+    back = previous(flipped, probes.withColumn(at, -F.col(at)), key, at, width=width)
     return back.select("id", key, (-F.col(at)).alias(at), (-F.col("x_start")).alias("x_start"), "x_len")
 
 
@@ -84,19 +92,19 @@ def fits(extents: DataFrame, requests: DataFrame, key: str = "k", n: str = "n")
     return requests.join(longest, key, "left").select(key, n, F.coalesce((F.col(n) >= 1) & (F.col(n) <= F.col("_most")), F.lit(False)).alias("fits"))
 
 
-def containing(extents: DataFrame, probes: DataFrame, key: str = "k", at: str = "addr") -> DataFrame:
+def containing(extents: DataFrame, probes: DataFrame, key: str = "k", at: str = "addr", width: int | None = None) -> DataFrame:
     """For disjoint extents: the extent that holds each probe's address, else null."""
-    p = previous(extents, probes, key, at, inclusive=True)
+    p = previous(extents, probes, key, at, inclusive=True, width=width)
     inside = F.col(at) < F.col("x_start") + F.col("x_len")
     return p.select("id", key, at, F.when(inside, F.col("x_start")).alias("start"), F.when(inside, F.col("x_len")).alias("len"))
 
 
-def stored_size(extents: DataFrame, slabs: DataFrame, probes: DataFrame, block: int, slab_blocks: int, key: str = "k", at: str = "addr") -> DataFrame:
+def stored_size(extents: DataFrame, slabs: DataFrame, probes: DataFrame, block: int, slab_blocks: int, key: str = "k", at: str = "addr", width: int | None = None) -> DataFrame:
     """id, key, ``at``, bytes: the block size of the slab that holds the address where its extent is of a slab's size, else the extent's bytes; 0 where no extent holds it.
 
     slabs: key, start, cls of the slabs. An extent of a slab's size that is none of them has its own bytes.
     """
-    found = containing(extents, probes, key, at).join(slabs.select(key, "start", "cls"), [key, "start"], "left")
+    found = containing(extents, probes, key, at, width).join(slabs.select(key, "start", "cls"), [key, "start"], "left")
     whole = F.col("len") * block
     size = F.when(F.col("start").isNull(), F.lit(0).cast("long")).when(F.col("len") == slab_blocks, F.coalesce(size_from_class(F.col("cls")), whole)).otherwise(whole)
     return found.select("id", key, at, size.alias("bytes"))

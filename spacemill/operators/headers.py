@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import Window as W
 
+from spacemill.operators.extents import coalesce
+
 #: Types of a block header.
 FREE, FIRST, RUN = 0, 1, 2
 
@@ -32,13 +34,21 @@ def headers(allocated: DataFrame, nblocks: int, key: str = "k") -> DataFrame:
     return mark(e, key).unionByName(clear(gaps, key))
 
 
-def scan(h: DataFrame, key: str = "k") -> DataFrame:
-    """key, start, len, is_free: maximal free runs, and allocated extents by their First header."""
-    w = W.partitionBy(key).orderBy("idx")
-    free = h.where(F.col("type") == FREE).select(key, "idx", (F.col("idx") - F.row_number().over(w)).alias("_g"))
-    runs = free.groupBy(key, "_g").agg(F.min("idx").alias("start"), F.count("*").alias("len")).select(key, "start", "len", F.lit(True).alias("is_free"))
+#: Headers of a key that one task scans for runs.
+STRETCH = 4096
+
+
+def scan(h: DataFrame, key: str = "k", stretch: int = STRETCH) -> DataFrame:
+    """key, start, len, is_free: maximal free runs, and allocated extents by their First header.
+
+    Runs are found within stretches of the headers, and those that meet at a stretch's border are then joined.
+    """
+    part = F.call_function("div", F.col("idx"), F.lit(stretch).cast("long"))
+    w = W.partitionBy(key, "_part").orderBy("idx")
+    free = h.where(F.col("type") == FREE).withColumn("_part", part).select(key, "_part", "idx", (F.col("idx") - F.row_number().over(w)).alias("_g"))
+    runs = coalesce(free.groupBy(key, "_part", "_g").agg(F.min("idx").alias("start"), F.count("*").alias("len")).select(key, "start", "len"), key)
     held = h.where(F.col("type") == FIRST).select(key, F.col("idx").alias("start"), F.col("size").alias("len"), F.lit(False).alias("is_free"))
-    return runs.unionByName(held)
+    return runs.withColumn("is_free", F.lit(True)).unionByName(held)
 
 
 def recover(h: DataFrame, key: str = "k") -> DataFrame:

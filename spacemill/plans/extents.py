@@ -12,6 +12,8 @@ from spacemill.sources import tables as t
 
 #: Days of a bucket of interval joins, near the median length of an area.
 WIDTH = 16
+#: Days of a stretch that one task coalesces or probes, so that a hot key is several tasks' work.
+PART = 512
 
 
 def _pairs(spark, sf):
@@ -34,7 +36,7 @@ def overlaps(spark, sf):
 @query("a_i1_overlap_join", f"with {FX}, o as (select o_custkey % (select count(*) from supplier) as k, date_diff('day', date '1995-01-01', cast(o_orderdate as date)) as start, cast(3 as bigint) as len from orders) select a.k, a.start as a_start, a.len as a_len, b.start as b_start, b.len as b_len from fx a join o b on a.k = b.k and a.start <= b.start + b.len and b.start <= a.start + a.len")
 def overlap_join(spark, sf):
     b = t.probes(spark, sf).select("k", F.col("addr").alias("start"), F.lit(3).cast("long").alias("len"))
-    return ex.overlap_join(ex.coalesce(t.intervals(spark, sf)), b, "k", WIDTH)
+    return ex.overlap_join(ex.coalesce(t.intervals(spark, sf), width=PART), b, "k", WIDTH)
 
 
 @query("a_i2_merge", f"with {_PAIRS} select *, case when {_OV} then least(a_start, b_start) else a_start end as m_start, case when {_OV} then greatest(a_start + a_len, b_start + b_len) - least(a_start, b_start) else a_len end as m_len from pp")
@@ -54,7 +56,7 @@ def equal(spark, sf):
 
 
 def free(spark, sf):
-    return ex.coalesce(t.intervals(spark, sf))
+    return ex.coalesce(t.intervals(spark, sf), width=PART)
 
 
 @query("a_i5_coalesce", f"with {FX} select * from fx")
@@ -67,12 +69,12 @@ _P = "select p.id, p.k, p.addr, x.start as x_start, x.len as x_len from pr p"
 
 @query("a_i6_prev", f"with {FX}, {PR} {_P} asof left join fx x on p.k = x.k and p.addr > x.start")
 def prev(spark, sf):
-    return ex.previous(free(spark, sf), t.probes(spark, sf))
+    return ex.previous(free(spark, sf), t.probes(spark, sf), width=PART)
 
 
 @query("a_i7_next", f"with {FX}, {PR} {_P} asof left join fx x on p.k = x.k and p.addr < x.start")
 def following(spark, sf):
-    return ex.following(free(spark, sf), t.probes(spark, sf))
+    return ex.following(free(spark, sf), t.probes(spark, sf), width=PART)
 
 
 @query("a_i6_i7_neighbours", f"with {FX} select k, start, len, lag(start) over w as prev_start, lag(len) over w as prev_len, lead(start) over w as next_start, lead(len) over w as next_len from fx window w as (partition by k order by start)")
@@ -100,7 +102,7 @@ _IV10 = "iv10 as (select * from iv where len <= 10)"
 
 @query("a_i11_equal_maps", f"with {FX}, {_IV10}, {islands('iv10', 'fy')}, b as (select *, 1 as d from fx union all select *, -1 from fy), o as (select k, start, len, sum(d) as d from b group by all) select k, max(abs(d)) = 0 as equal from o group by k")
 def equal_maps(spark, sf):
-    return ex.same_extents(free(spark, sf), ex.coalesce(t.intervals(spark, sf, 10)))
+    return ex.same_extents(free(spark, sf), ex.coalesce(t.intervals(spark, sf, 10), width=PART))
 
 
 @query("a_i12_indexes_agree", f"with {FX} select k, count(*) = count(distinct (start, len)) and count(*) = count(distinct start) as agree from fx group by k")
@@ -145,13 +147,13 @@ _IN = f"with {FX}, {PR}, a as (select p.id, p.k, p.addr, x.start, x.len from pr
 
 @query("a_l5_extent_at", f"{_IN} select *, case when start is null then 'INVALID_ADDRESS' else 'OK' end as status from a")
 def extent_at(spark, sf):
-    found = ex.containing(free(spark, sf), t.probes(spark, sf))
+    found = ex.containing(free(spark, sf), t.probes(spark, sf), width=PART)
     return found.withColumn("status", F.when(F.col("start").isNull(), "INVALID_ADDRESS").otherwise("OK"))
 
 
 @query("a_l6_getsize", f"{_IN} select id, k, addr, coalesce(len * 4096, 0) as bytes from a")
 def getsize(spark, sf):
-    found = ex.containing(free(spark, sf), t.probes(spark, sf))
+    found = ex.containing(free(spark, sf), t.probes(spark, sf), width=PART)
     return found.select("id", "k", "addr", F.coalesce(F.col("len") * 4096, F.lit(0).cast("long")).alias("bytes"))
 
 

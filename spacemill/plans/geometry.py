@@ -68,9 +68,9 @@ _SLAB_CLASS = "40 + (k * 31 + start) % 70"
 def getsize(spark, sf):
     """Bytes behind an address of a hybrid heap: a slab's block size where its extent is a slab, else the extent's bytes, 0 where none holds it."""
     slab_class = (F.pmod(F.col("k") * 31 + F.col("start"), F.lit(70)) + 40).cast("int")
-    free = ex.coalesce(t.intervals(spark, sf))
+    free = ex.coalesce(t.intervals(spark, sf), width=512)
     slabs = free.where(F.col("len") == SLAB_BLOCKS).select("k", "start", slab_class.alias("cls"))
-    return ex.stored_size(free, slabs, t.probes(spark, sf), 4096, SLAB_BLOCKS)
+    return ex.stored_size(free, slabs, t.probes(spark, sf), 4096, SLAB_BLOCKS, width=512)
 
 
 @query("a_g7_free_blocks", f"with {SLABS} select slab, nblocks - used as free, used = nblocks as \"full\", used = 0 as empty from oc")

@@ -401,3 +401,23 @@ def test_late_rows_are_answered_in_their_place(spark, tmp_path):
     m = rp.ExtentHeap(64)
     want = [(seq, *m.step(op, n).values()) for seq, op, n in sorted(r[1:4] for b in batches[:3] for r in b)]
     assert tuples(spark.read.parquet(f"{tmp_path}/out").where("heap = 1"), "seq", "status", "start", "len") == want
+
+
+@pytest.mark.parametrize("inclusive", [True, False])
+def test_probes_by_stretches_are_probes(spark, inclusive):
+    rnd = random.Random(12)
+    taken = sorted({(rnd.choice((1, 1, 1, 2)), rnd.randrange(-300, 300, 3)) for _ in range(120)})
+    d = frame(spark, [(k, a, rnd.randint(1, 3)) for k, a in taken])
+    p = spark.createDataFrame([(i, rnd.choice((1, 2, 3)), rnd.randint(-350, 350)) for i in range(300)], "id long, k long, addr long")
+    cols = ("id", "k", "addr", "x_start", "x_len")
+    fill = lambda df: tuples(df.na.fill(-999), *cols)
+    whole = fill(ex.previous(d, p, inclusive=inclusive))
+    assert all(whole == fill(ex.previous(d, p, inclusive=inclusive, width=n)) for n in (7, 100, 10_000))
+    ahead = fill(ex.following(d, p))
+    assert all(ahead == fill(ex.following(d, p, width=n)) for n in (7, 10_000))
+
+
+def test_scan_by_stretches_is_scan(spark):
+    held = frame(spark, [(1, 0, 10), (1, 10, 1), (1, 13, 14), (1, 100, 3), (2, 5, 1)])
+    cols = ("k", "start", "len", "is_free")
+    assert tuples(hd.scan(hd.headers(held, 252), stretch=7), *cols) == tuples(hd.scan(hd.headers(held, 252)), *cols)
