@@ -32,7 +32,7 @@ WHOLE = 1 << 30
 #: Standard deviations by which an estimate may fall short before a pair is dropped, and by which listed overlaps may.
 SIGMAS = 5.0
 #: Classes of a long list that are compared with each other at once, and rows of such groups that are worked on together.
-BLOCK, PACK = 512, 4096
+BLOCK, PACK = 512, 1024
 #: Rows up to which the documents to verify are found by broadcast (some 80 MB); beyond, by a shuffled join.
 BROADCAST_IDS = 1_000_000
 
