@@ -102,7 +102,7 @@ _LABELS = rf"(?:[A-Za-z0-9-]{{1,63}}+(?:{_OPEN}(?:{_DOTS}|\.){_CLOSE}|[\x20\t]++
 _AT = re.compile(rf"(?<![\x20\t]){_OPEN}(?:{_ATS}){_CLOSE}|(?<=[A-Za-z0-9]){_BREAK}\(@\){_BREAK}|(?<=[A-Za-z0-9])[\x20\t]++(?:{_ATS})[\x20\t]++(?={_LABELS}(?:{_TOP})(?![A-Za-z0-9]))", re.I)
 _DOT = re.compile(rf"(?<=[A-Za-z0-9]){_OPEN}(?:{_DOTS}|\.){_CLOSE}(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])[\x20\t]++(?:{_DOTS})[\x20\t]++(?=[A-Za-z0-9])", re.I)
 _NUMBER = rf"(?:{'|'.join(sorted(DIGIT_WORDS, key=len, reverse=True))})"
-_SPELLED = re.compile(rf"(?<![^\W_])(?:plus[\x20]++)?{_NUMBER}(?:[\x20.-]++(?:{_NUMBER}|[0-9]+))+(?![^\W_])", re.I)
+_SPELLED = re.compile(rf"(?<![^\W_])(?:plus[\x20]++(?:[0-9]++[\x20.-]++)*+)?{_NUMBER}(?:[\x20.-]++(?:{_NUMBER}|[0-9]+))+(?![^\W_])", re.I)
 _WORD = re.compile(rf"plus[\x20]+|{_NUMBER}", re.I)
 _HINT = re.compile(rf"(?:{_ATS}|@)[\x20\t]*+[\])}}>]|(?:{_DOTS}|\.)[\x20\t]*+[\])}}>]|[ \t](?:{_DOTS})[ \t]", re.I)
 # a bare "at" of _AT, whatever stands before it
