@@ -59,6 +59,15 @@ def topology(processes: DataFrame, cpus: DataFrame, per_node: int) -> DataFrame:
     return found.select("process", "host", "max_node", F.col("node").cast("int").alias("nearest"))
 
 
+def with_each(df: DataFrame, few: DataFrame, name: str, most: int = 1000) -> DataFrame:
+    """A row of df for each row of the few, which ``name`` holds as a struct; more than ``most`` of them raise."""
+    rows = few.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows to pair with")
+    held = F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, few.schema.fields)]) for r in rows]) if rows else F.array().cast(f"array<{few.schema.simpleString()}>")
+    return df.withColumn(name, F.explode(held))
+
+
 class MultiRegionFile:
     """Several files as one range of addresses: it is read by ``clip``, and cannot be made, cut or given attributes."""
 

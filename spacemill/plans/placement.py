@@ -131,12 +131,12 @@ def node_codec(spark, sf):
 
 @query("a_p10_hops", f"with {_NODE}, pr as (select cast(n_nationkey + 1 as bigint) as a, id as b from nation, nd) select pr.a as a, pr.b as b, case when x.encl <> y.encl then 5 when x.node <> y.node then 3 else 1 end as hops from pr join nd x on x.id = pr.a join nd y on y.id = pr.b")
 def hops(spark, sf):
-    """Hops from each of the nations' nodes to every node: 25 rows, a fixed number, against all."""
+    """Hops from each of the nations' nodes to every node; the few are counted, and more than a thousand are refused."""
     n = _nodes(spark, sf)
-    few = t.read(spark, sf, "nation").select((F.col("n_nationkey") + 1).cast("long").alias("a"))
-    few = few.select("a", geo.node_parts(F.col("a")).alias("x")).join(n.select(F.col("id").alias("a")), "a", "left_semi")
-    every = n.select(F.col("id").alias("b"), F.col("n").alias("y"))
-    return every.crossJoin(F.broadcast(few)).select("a", "b", geo.hops(F.col("x"), F.col("y")).alias("hops"))
+    few = t.read(spark, sf, "nation").select((F.col("n_nationkey") + 1).cast("long").alias("id"))
+    few = few.join(n.select("id"), "id", "left_semi").select(F.col("id").alias("a"))
+    pairs = rg.with_each(n.select(F.col("id").alias("b"), F.col("n").alias("y")), few, "x")
+    return pairs.select(F.col("x.a").alias("a"), "b", "y").withColumn("x", geo.node_parts(F.col("a"))).select("a", "b", geo.hops(F.col("x"), F.col("y")).alias("hops"))
 
 
 @query("a_p11_region_nodes", f"with {BOOKS} select s_suppkey as region, bk.i, cast(bk.i % 3 as integer) as node from supplier join bk on bk.file = s_suppkey")

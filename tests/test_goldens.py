@@ -421,3 +421,18 @@ def test_scan_by_stretches_is_scan(spark):
     held = frame(spark, [(1, 0, 10), (1, 10, 1), (1, 13, 14), (1, 100, 3), (2, 5, 1)])
     cols = ("k", "start", "len", "is_free")
     assert tuples(hd.scan(hd.headers(held, 252), stretch=7), *cols) == tuples(hd.scan(hd.headers(held, 252)), *cols)
+
+
+def test_session_is_one_and_options_are_layered(spark):
+    from spacemill.session import layered_options, session
+
+    assert session() is session(Options({"spark.x": 1})) and session().sparkContext is spark.sparkContext
+    file = Options.from_text("spark:\n  sql:\n    session.timeZone: CET\nother: 1\n")
+    assert layered_options(Options({"a": 1, "b": 1}), Options({"b": 2}), file).values == {"a": 1, "b": 2, "spark.sql.session.timeZone": "CET", "other": 1}
+
+
+def test_pairs_with_a_fixed_few_are_bounded(spark):
+    few, every = spark.range(3).toDF("a"), spark.range(5).toDF("b")
+    assert rg.with_each(every, few, "x", most=3).select("b", "x.a").distinct().count() == 15
+    with pytest.raises(ValueError):
+        rg.with_each(every, few, "x", most=2)
