@@ -77,7 +77,7 @@ def _row_key(docs: DataFrame) -> list[Column]:
 def mix(docs: DataFrame, weights: dict | None = None, block_bytes: int = 1 << 16, power: float = 0.7, slots: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", broadcast_rows: int = BROADCAST_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """docs plus mix_slot (the Pfair slot of the row's block) and mix_place (its number in its source), sorted by them over partitions.
 
-    A source's rows come in the order of a hash of their id, and a block is block_bytes of their text; a row is
+    A source's rows come in the order of the MD5 digest of their id, and a block is block_bytes of their text; a row is
     in the block where it begins. Every row has a place: where some sources are used up their slots stay
     empty and the others go on at their mutual rates. With ``slots`` the feature is a cut: only rows of slots below it are
     given. Weights default to tempered shares of bytes; sources of no weight are left out only where weights are given. A null
@@ -91,7 +91,7 @@ def mix(docs: DataFrame, weights: dict | None = None, block_bytes: int = 1 << 16
     size = F.coalesce(F.octet_length(text_col).cast("long"), F.lit(0).cast("long"))
     k1, k2 = _row_key(docs)
     slim = docs.select(F.col(source_col).cast("string").alias("source"), F.col(id_col).alias("id"), size.alias("size"), k1.alias("k1"), k2.alias("k2"))
-    slim = stage(slim.groupBy("source", "id", "size", "k1", "k2").agg(F.count("*").alias("n")), "mix-rows")
+    staged = slim = stage(slim.groupBy("source", "id", "size", "k1", "k2").agg(F.count("*").alias("n")), "mix-rows")
     sources = {r["source"]: r for r in slim.groupBy("source").agg(F.sum(F.col("n") * (F.col("size") + 1)).alias("bytes"), F.count("*").alias("rows")).collect()}
     if weights is None:
         weights = tempered({s: r["bytes"] for s, r in sources.items()}, power)
@@ -103,8 +103,11 @@ def mix(docs: DataFrame, weights: dict | None = None, block_bytes: int = 1 << 16
     # PERIOD slots in all, or four times the sources
     table = spark.createDataFrame([(s, p[s], slots_) for s, slots_ in at.items()], "s string, parts long, pattern array<long>")
     blocks = max(64, -(-max([0, *(r["rows"] for r in sources.values())]) // block_rows))
-    keys = [F.col("id"), F.col("size"), F.col("k1"), F.col("k2")]
-    counted = numbered(slim, "source", [F.xxhash64("id"), *keys], {"place": F.col("n"), "above": F.col("n") * F.col("size")}, blocks, keys)
+    slim = slim.withColumn("turn", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")))
+    # equal stretches of the digests, so that blocks follow one another as the digests do
+    block = F.floor(F.conv(F.substring("turn", 1, 8), 16, 10).cast("double") * (blocks / 2**32)).cast("long")
+    order = [F.col(c) for c in ("turn", "id", "size", "k1", "k2")]
+    counted = numbered(slim, "source", order, {"place": F.col("n"), "above": F.col("n") * F.col("size")}, blocks, [], block=block)
 
     def slot(above: Column) -> Column:
         block = F.floor(above / block_bytes).cast("long")
@@ -112,7 +115,7 @@ def mix(docs: DataFrame, weights: dict | None = None, block_bytes: int = 1 << 16
 
     placed = counted.join(F.broadcast(table) if len(at) <= broadcast_rows else table, F.col("source").eqNullSafe(F.col("s")))
     found = stage(placed.select("source", "k1", "k2", "n", "size", "place", "above", slot(F.col("above")).alias("slot")), "mix-places")
-    delete(spark, [slim.staged_at])
+    delete(spark, [staged.staged_at])
     many = not found.where("n > 1").isEmpty()
     own = docs.columns
     a, b, x = unused([*own, "mix_slot", "mix_place"], "k1", "k2", "found")

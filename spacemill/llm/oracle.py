@@ -73,6 +73,22 @@ g as (select t, min(doc_id) as keep_id, count(*) as group_size from n group by t
 select n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id as kept, sha256(n.t) as text_sha256 from n join g using (t)
 """
 
+OP8 = """
+with recursive d as (select doc_id, source, cast(coalesce(strlen(text), 0) as bigint) as size from documents),
+b as (select source, sum(size + 1) as n from d group by source),
+w as (select source, pow(greatest(n, 1), 0.7) / pow((select sum(n) from b), 0.7) as w from b),
+e as (select source, w / (select sum(w) from w) * 4096 as x from w),
+f as (select source, x, greatest(1, cast(floor(x) as bigint)) as least, row_number() over (order by greatest(1, cast(floor(x) as bigint)) - x, coalesce(source, 'None')) as r from e),
+p as (select source, least + case when r <= 4096 - (select sum(least) from f) then 1 else 0 end as p from f),
+q as (select cast(-1 as bigint) as t, cast(null as varchar) as s, list({'s': coalesce(source, 'None'), 'i': cast(1 as bigint), 'p': cast(p as bigint)}) as st from p
+  union all select t, s, list_transform(st, lambda x: {'s': x.s, 'i': x.i + case when x.s = s then 1 else 0 end, 'p': x.p})
+  from (select t + 1 as t, st, list_min(list_transform(list_filter(st, lambda x: (x.i - 1) * 4096 // x.p <= t + 1), lambda x: {'d': (x.i * 4096 + x.p - 1) // x.p, 's': x.s})).s as s from q where t < 4095)),
+a as (select s, t, row_number() over (partition by s order by t) - 1 as k from q where t >= 0),
+n as (select doc_id, source, row_number() over o - 1 as mix_place, cast(sum(size) over o as bigint) - size as above from d window o as (partition by source order by md5(cast(doc_id as varchar)), doc_id rows between unbounded preceding and current row))
+select n.doc_id, n.source, cast(n.above // 65536 // p.p * 4096 + a.t as bigint) as mix_slot, n.mix_place
+from n join p on p.source is not distinct from n.source join a on a.s = coalesce(n.source, 'None') and a.k = n.above // 65536 % p.p
+"""
+
 _PART = "array_to_string(list_transform(range(8), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast((cast('0x' || substr(s, {at}, 10) as bigint) >> (35 - 5 * i)) & 31 as bigint) + 1, 1)), '')"
 
 OP10 = f"""
