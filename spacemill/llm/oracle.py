@@ -19,6 +19,17 @@ d as (select a as doc_id, count(*) as links from e group by a)
 select n.doc_id, n.n as n_shingles, c.component_id, n.doc_id = c.component_id as kept from n join c using (doc_id)
 """
 
+#: CRC-32 byte by byte and bit by bit, and the jumps of the generator modulo 2**64 up to 25 shards.
+OP2 = """
+with recursive d as (select doc_id, cast(strlen(coalesce(text, '')) as bigint) + 8 as size, list_transform(string_split(hex(encode(coalesce(text, ''))), ''), lambda c: cast(strpos('0123456789ABCDEF', c) - 1 as bigint)) as x from documents),
+y as (select doc_id, size, list_transform(range(1, (size - 8) + 1), lambda i: x[2 * i] + 16 * x[2 * i - 1]) as y from d),
+c as (select doc_id, size, case when size = 8 then cast(0 as bigint) else xor(list_reduce(y, lambda c, b: xor(c >> 8, list_reduce(range(8), lambda z, k: case when z & 1 = 1 then xor(z >> 1, 3988292384) else z >> 1 end, xor(c, b) & 255)), cast(4294967295 as bigint)), cast(4294967295 as bigint)) end as crc from y),
+j as (select doc_id, 0 as step, (cast(doc_id as hugeint) * 2862933555777941757 + 1) % 18446744073709551616 as k, cast(0 as bigint) as j, cast(-1 as bigint) as b, cast(-1 as bigint) as g from documents
+  union all select doc_id, step + 1, (k * 2862933555777941757 + 1) % 18446744073709551616, cast(floor((j + 1) * (cast(2147483648 as double) / (cast(k // 8589934592 as double) + 1))) as bigint), case when j < 24 then j else b end, j from j where j < 25),
+s as (select doc_id, cast(arg_max(b, step) as integer) as shard, cast(arg_max(g, step) as integer) as grown_shard from j group by doc_id)
+select doc_id, size, crc as text_crc32, 'key' as law, shard, row_number() over (partition by shard order by (doc_id % 256 + crc % 256) % 256, doc_id, crc, size) - 1 as slot, grown_shard from c join s using (doc_id)
+"""
+
 _WORDS = rf"regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 #: Of the places in {a}, those with the window's word of rank {r} at most two places off its own.

@@ -75,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_near_dedup": oracle.OP1, "op3_decontamination": oracle.OP3, "op4_secret_scan": oracle.OP4, "op6_exact_dedup": oracle.OP6, "op8_pfair_mixing": oracle.OP8, "op10_warc": oracle.OP10}
+    return {"op1_minhash_near_dedup": oracle.OP1, "op2_jump_sharding": oracle.OP2, "op3_decontamination": oracle.OP3, "op4_secret_scan": oracle.OP4, "op6_exact_dedup": oracle.OP6, "op8_pfair_mixing": oracle.OP8, "op10_warc": oracle.OP10}

@@ -51,7 +51,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
 
     The integral id alone decides the shard (null counts as id 0). ``size`` is the text's UTF-8 bytes plus 8,
     ``text_crc32`` its unsigned CRC-32; a null text has no bytes. ``slot`` numbers a shard's rows from 0 without
-    gaps, block by block of an id and text hash, ties in any order; equal rows are interchangeable. With ``sequence``, the names of
+    gaps, block by block of the sum of id and text_crc32 modulo ``blocks`` and by id in these, ties in any order; equal rows are interchangeable. With ``sequence``, the names of
     two columns that tell rows apart and are not given back, it follows their order: rows of one value of the first are
     numbered together, by the second, on these columns alone. Columns of docs with the result's names, in any case, are replaced. An empty table gives no rows.
     """
@@ -63,7 +63,9 @@ def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
     out = out.withColumns({"shard": F.col(walked)["shard"], "grown_shard": F.col(walked)["grown"]}).drop(walked)
     if not sequence:
         by = [F.col(id_col), F.col("text_crc32"), F.col("size")]
-        return numbered(out, "shard", by, {"slot": F.lit(1)}, blocks, by)
+        n = F.lit(blocks)
+        block = F.pmod(F.pmod(F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long")), n) + F.pmod("text_crc32", n), n)
+        return numbered(out, "shard", by, {"slot": F.lit(1)}, blocks, [], block=block)
     file, row = sequence
     keys = rows.select(F.col(file).alias("file"), F.col(row).alias("row"), jump(F.col(id_col), shards)["shard"].alias("shard"))
     slots = stage(numbered(keys, "shard", [F.col("row")], {"slot": F.lit(1)}, blocks, [], block=F.col("file")).drop("shard"), "shard-slots")
