@@ -99,7 +99,7 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "200
     not looked at. An empty table makes no records.
     """
     plan = capture_plan(pages, min_bytes, **cols)
-    total = plan.agg(F.sum("payload_bytes")).first()[0] or 0
+    total = pages.agg(F.sum(F.octet_length(cols.get("html_col", "html")).cast("long"))).first()[0] or 0
     # a task's pages are dealt by a hash into as many archives as its share of the bytes asks for
     parts = max(1, -(-total // (max(1, pages.rdd.getNumPartitions()) * bytes_per_file)))
     text = records_of(plan, date)
