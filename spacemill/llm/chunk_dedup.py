@@ -57,29 +57,26 @@ def cuts(data: np.ndarray, off: np.ndarray, mean: int = MEAN, least: int = LEAST
     return np.unique(ends)
 
 
-def part_hashes(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes before each cut, for the filter only."""
-    return kernels.span_hashes(data, np.concatenate(([0], ends[:-1])).astype(np.int64)[: len(ends)], ends, laned=MOST)
+def part_hashes(data: np.ndarray, ends: np.ndarray, starts: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of the bytes up to each end, from the end before or from the given starts, for the filter only."""
+    starts = np.concatenate(([0], ends[:-1])).astype(np.int64)[: len(ends)] if starts is None else starts
+    return kernels.span_hashes(data, starts, ends, laned=MOST)
 
 
 def spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end, text and 64-bit hash of each chunk of a column's texts. A text of fewer than SPAN parts is one chunk."""
+    """Start, end, text and 64-bit hash of each chunk of a column's texts. A text of fewer than SPAN parts is one chunk.
+
+    The hash is of the chunk's bytes, as its digest is: where equal chunks are cut inside depends on what stands before them.
+    """
     ends = cuts(data, off)
     begins = np.concatenate(([0], ends[:-1])).astype(np.int64)[: len(ends)]
-    h = part_hashes(data, ends)
     first = np.searchsorted(begins, off)
     parts = np.diff(first)
     n = np.where(parts >= SPAN, parts - SPAN + 1, parts > 0)
     text = np.repeat(np.arange(len(n)), n)
     at = first[text] + np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
-    last = np.minimum(at + SPAN, first[text + 1]) - 1
-    whole = kernels.grams(h, SPAN)
-    out = np.zeros(len(at), U)
-    full = last - at == SPAN - 1
-    out[full] = whole[at[full]]
-    for k in np.flatnonzero(~full).tolist():
-        out[k] = kernels.sequence(h[at[k] : last[k] + 1])[0]
-    return begins[at], ends[last] if len(at) else at, text, out
+    start, end = begins[at], ends[np.minimum(at + SPAN, first[text + 1]) - 1] if len(at) else at
+    return start, end, text, part_hashes(data, end, start)
 
 
 def _repeated_filter(texts: DataFrame, most: int = FILTER_HASHES) -> np.ndarray | None:
