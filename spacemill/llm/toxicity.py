@@ -223,13 +223,35 @@ def _count(sample: DataFrame, among: frozenset[str] | None) -> DataFrame:
     return sample.select("text").mapInArrow(run, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, ratio: float = 20.0, stem_ratio: float = 20.0, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def _contexts(sample: DataFrame, among: frozenset[str]) -> DataFrame:
+    """feature, n: the different pairs of words (before, after) between which words with each feature of ``among`` stand."""
+
+    def run(batches):
+        for batch in kernels.slices(batches, "text"):
+            data, off, h, first, s, e = _each_text(batch)
+            raw, found = data.tobytes(), set()
+            code, at = kernels.vocabulary(kernels.LOWER[data], s, e, h)
+            of = [_features([_word(raw[a:b])]) & among for a, b in zip(s[at].tolist(), e[at].tolist())]
+            has = np.array([bool(x) for x in of], bool)
+            edge = np.zeros(len(h) + 1, bool)
+            edge[first] = True
+            for i in np.flatnonzero(has[code]).tolist() if len(h) else ():
+                pair = (0 if edge[i] else int(h[i - 1]), 0 if edge[i + 1] else int(h[i + 1]))
+                found.update((f, hash(pair)) for f in of[code[i]])
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.string()), pa.array([c for _, c in found], pa.int64())], ["feature", "context"])
+
+    return sample.select("text").mapInArrow(run, "feature string, context long").groupBy("feature").agg(F.count_distinct("context").alias("n"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, evidence: float = 0.004, ratio: float = 20.0, stem_ratio: float = 20.0, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Learns a Model from at most max_rows labelled rows (the documented bound), held-out ids excluded.
 
     A word marks label 1 at least ``ratio`` times as often as label 0, a stem ``stem_ratio`` times; of stems and words that
     begin with each other the one that tells most is taken. Words of label 1 under a taken stem are entries too, so that
-    misspellings of them are met. Features are bounded by evidence alone: each is in at least 0.4 % of the sampled rows of label 1, and in three,
-    so that what reaches the driver follows from max_rows. Null and empty texts have no words; labels of null ids or other values are
+    misspellings of them are met. Features are bounded by evidence alone: each is in at least the share ``evidence`` of the sampled rows of label 1, and in three,
+    and stands there between as many different pairs of words, so that words of a toxic text's copies are none. What reaches the driver
+    follows from max_rows. Null and empty texts have no words; labels of null ids or other values are
     left out, of several labels of an id the larger counts, and rows that repeat an id are each taken. Without rows of both labels the
     model finds nothing and scores all alike.
     """
@@ -238,13 +260,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, ratio: float
     pos, neg = totals.get(1, 0), totals.get(0, 0)
     if not pos or not neg:
         return Model(coefficients=[math.log((pos + 0.5) / (neg + 0.5)), 0, 0, 0])
-    least = max(3, round(0.004 * pos))
+    least = max(3, round(evidence * pos))
     marked = stage(_count(sample.where("y = 1"), None), "toxicity-counts")
     likely = {r["feature"]: r["n"] for r in marked.where(F.col("n") >= least).collect()}
     clean = {r["feature"]: r["n"] for r in _count(sample.where("y = 0"), frozenset(likely)).collect()}
     score = {f: math.log((n + 0.5) / (pos + 1)) - math.log((clean.get(f, 0) + 0.5) / (neg + 1)) for f, n in likely.items()}
     entries: list[tuple[str, bool, int]] = []
     marks = [f for f, x in score.items() if x >= math.log(ratio if f.endswith("$") else stem_ratio)]
+    varied = {r["feature"]: r["n"] for r in _contexts(sample.where("y = 1"), frozenset(marks)).collect()}
+    marks = [f for f in marks if varied.get(f, 0) >= least]
     for f in sorted(marks, key=lambda f: (-likely[f] * score[f], len(f), f)):
         text, is_stem = f.removesuffix("$"), not f.endswith("$")
         # a stem that one word makes up is that word

@@ -687,3 +687,22 @@ def test_disguises_have_no_bounds_on_blanks_labels_and_words(text, kind, shown):
     found = [text[a:b] for k, a, b in spans if k == kind]
     assert found and (shown is None or shown in found)
     assert shown is not None or (found[0].startswith("jane") and found[0].endswith("com"))
+
+
+def test_toxicity_takes_no_words_from_copies(spark):
+    """Words that only the near copies of one toxic text hold mark nothing, however many copies there are."""
+    rnd = random.Random(21)
+    copied = words(30, 77)
+    rows, labels = [], []
+    for i in range(1200):
+        w = words(30, 10_000 + i)
+        if i % 5 == 0:
+            w[rnd.randrange(30)] = "grunkle"
+        elif i % 5 == 1 and i < 600:
+            w = [*copied[:10], f"n{i}", *copied[10:], "quibbler"]
+        rows.append((i, " ".join(w), "en", "s", 0))
+        labels.append((i, 1, int(i % 5 < 2)))
+    docs = spark.createDataFrame(rows, DOCS)
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    found = {e[0] for e in model.entries}
+    assert "grunkle" in found and "quibbler" not in found and not found & set(copied)
