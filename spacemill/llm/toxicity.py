@@ -224,7 +224,7 @@ def _count(sample: DataFrame, among: frozenset[str] | None) -> DataFrame:
 
 
 def _contexts(sample: DataFrame, among: frozenset[str]) -> DataFrame:
-    """feature, n: the different pairs of words (before, after) between which words with each feature of ``among`` stand."""
+    """feature, n: the different words that stand before, or after if these are fewer, words with each feature of ``among``."""
 
     def run(batches):
         for batch in kernels.slices(batches, "text"):
@@ -236,12 +236,13 @@ def _contexts(sample: DataFrame, among: frozenset[str]) -> DataFrame:
             edge = np.zeros(len(h) + 1, bool)
             edge[first] = True
             for i in np.flatnonzero(has[code]).tolist() if len(h) else ():
-                pair = (0 if edge[i] else int(h[i - 1]), 0 if edge[i + 1] else int(h[i + 1]))
-                found.update((f, hash(pair)) for f in of[code[i]])
+                before, after = 0 if edge[i] else int(h[i - 1].view(np.int64)), 0 if edge[i + 1] else int(h[i + 1].view(np.int64))
+                found.update((f, before, after) for f in of[code[i]])
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.string()), pa.array([c for _, c in found], pa.int64())], ["feature", "context"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*found), (pa.string(), pa.int64(), pa.int64()))], ["feature", "before", "after"])
 
-    return sample.select("text").mapInArrow(run, "feature string, context long").groupBy("feature").agg(F.count_distinct("context").alias("n"))
+    rows = sample.select("text").mapInArrow(run, "feature string, before long, after long")
+    return rows.groupBy("feature").agg(F.least(F.count_distinct("before"), F.count_distinct("after")).alias("n"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, evidence: float = 0.004, ratio: float = 20.0, stem_ratio: float = 20.0, id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -250,7 +251,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, evidence: fl
     A word marks label 1 at least ``ratio`` times as often as label 0, a stem ``stem_ratio`` times; of stems and words that
     begin with each other the one that tells most is taken. Words of label 1 under a taken stem are entries too, so that
     misspellings of them are met. Features are bounded by evidence alone: each is in at least the share ``evidence`` of the sampled rows of label 1, and in three,
-    and stands there between as many different pairs of words, so that words of a toxic text's copies are none. What reaches the driver
+    and stands there after as many different words, and before as many, so that words of a toxic text's copies are none. What reaches the driver
     follows from max_rows. Null and empty texts have no words; labels of null ids or other values are
     left out, of several labels of an id the larger counts, and rows that repeat an id are each taken. Without rows of both labels the
     model finds nothing and scores all alike.

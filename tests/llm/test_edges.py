@@ -692,7 +692,7 @@ def test_disguises_have_no_bounds_on_blanks_labels_and_words(text, kind, shown):
 def test_toxicity_takes_no_words_from_copies(spark):
     """Words that only the near copies of one toxic text hold mark nothing, however many copies there are."""
     rnd = random.Random(21)
-    copied = words(30, 77)
+    copied = [f"{w}kopi{i}" for i, w in enumerate(words(30, 77))]
     rows, labels = [], []
     for i in range(1200):
         w = words(30, 10_000 + i)
