@@ -9,7 +9,6 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import pairwise
 
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
@@ -109,7 +108,7 @@ _HINT = re.compile(rf"(?:{_ATS}|@)[\x20\t]*+[\])}}>]|(?:{_DOTS}|\.)[\x20\t]*+[\]
 _BARE_AT = re.compile(rf"[\x20\t](?:{_ATS})[\x20\t]++(?={_LABELS}(?:{_TOP})(?![A-Za-z0-9]))", re.I)
 _BARE_DOTS = tuple(f"{a}{w}" for w in _DOTS.split("|") for a in " \t")
 _BARE_ATS = tuple(f"{a}{w}" for w in _ATS.split("|") for a in " \t")
-_NUMBER_WORDS = tuple(DIGIT_WORDS)
+_TOKEN = re.compile(r"[^\W_]+")
 
 
 def _fold(text: str) -> str:
@@ -125,9 +124,9 @@ def _hints(text: str, low: str) -> bool:
 
 
 def _numbers(low: str) -> bool:
-    """Whether a number word and another, or digits, may stand in a row, true wherever _SPELLED matches."""
-    words = low.replace("-", " ").replace(".", " ").split()
-    return any(a.endswith(_NUMBER_WORDS) and (b.startswith(_NUMBER_WORDS) or b[0].isdigit()) for a, b in pairwise(words))
+    """Whether a number word and another, or digits, stand next to each other, true wherever _SPELLED matches: both are tokens of their own."""
+    words = _TOKEN.findall(low)
+    return any(w in DIGIT_WORDS and (words[i] in DIGIT_WORDS or words[i][0].isdigit()) for i, w in enumerate(words[:-1], 1))
 
 
 class Tape:
