@@ -4,6 +4,10 @@ A gear rolling hash over the text's UTF-8 bytes cuts a chunk where its masked bi
 bytes just before it only: after an insertion cuts fall into step again, and a repeated passage is cut alike wherever it
 stands. A chunk goes from a cut to the third cut after it, so chunks overlap, are long enough not to recur by chance, and cover
 a repeated passage from its first cut to its last. They are deduplicated by a 128-bit digest across the corpus.
+
+What is shuffled is packed: a slice of texts gives each bucket of digests one row, with each of its digests once, and is
+answered with the places of those that other slices have too. So a chunk costs some twenty bytes, however many recur, and a
+chunk of many copies is one record of each slice.
 """
 
 from __future__ import annotations
@@ -12,19 +16,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, LongType, StructField, StructType
 
 from spacemill.llm import kernels
-from spacemill.llm.common import dropping, lookup, salt_of, stage
 
 U = np.uint64
 #: Bytes that a cut depends on, and about the mean, the least and the greatest distance of cuts. A passage of 50 words has some twelve.
 GEAR, MEAN, LEAST, MOST = 32, 20, 4, 512
 #: Distances between cuts that make a chunk.
 SPAN = 3
-#: Repeated hashes up to which a filter of them is sent to every task, with FILTER_EACH bits each (16 MB); beyond, all chunks are shuffled.
-FILTER_HASHES, FILTER_EACH = 1 << 24, 8
+#: Not used any more, as there is no filter: callers may still give ``filter_hashes``.
+FILTER_HASHES = 1 << 24
+#: Bytes of text whose digests make a bucket, which one call holds; smaller corpora have up to EVEN buckets of at least SMALL bytes each.
+BUCKET, EVEN, SMALL = 16 << 20, 256, 64 << 10
 
 
 def cuts(data: np.ndarray, off: np.ndarray, mean: int = MEAN, least: int = LEAST, most: int = MOST) -> np.ndarray:
@@ -58,73 +67,145 @@ def cuts(data: np.ndarray, off: np.ndarray, mean: int = MEAN, least: int = LEAST
 
 
 def part_hashes(data: np.ndarray, ends: np.ndarray, starts: np.ndarray | None = None) -> np.ndarray:
-    """A 64-bit hash of the bytes up to each end, from the end before or from the given starts, for the filter only."""
+    """A 64-bit hash of the bytes up to each end, from the end before or from the given starts."""
     starts = np.concatenate(([0], ends[:-1])).astype(np.int64)[: len(ends)] if starts is None else starts
     return kernels.span_hashes(data, starts, ends, laned=MOST)
 
 
-def spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end, text and 64-bit hash of each chunk of a column's texts. A text of fewer than SPAN parts is one chunk.
-
-    The hash is of the chunk's bytes, as its digest is: where equal chunks are cut inside depends on what stands before them.
-    """
-    ends = cuts(data, off)
+def laid(ends: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and text of each chunk that the cuts of a column's texts make. A text of fewer than SPAN parts is one chunk."""
     begins = np.concatenate(([0], ends[:-1])).astype(np.int64)[: len(ends)]
     first = np.searchsorted(begins, off)
     parts = np.diff(first)
     n = np.where(parts >= SPAN, parts - SPAN + 1, parts > 0)
     text = np.repeat(np.arange(len(n)), n)
     at = first[text] + np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
-    start, end = begins[at], ends[np.minimum(at + SPAN, first[text + 1]) - 1] if len(at) else at
+    return begins[at], ends[np.minimum(at + SPAN, first[text + 1]) - 1] if len(at) else at, text
+
+
+def spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end, text and 64-bit hash of each chunk of a column's texts.
+
+    The hash is of the chunk's bytes, as its digest is: where equal chunks are cut inside depends on what stands before them.
+    """
+    start, end, text = laid(cuts(data, off), off)
     return start, end, text, part_hashes(data, end, start)
 
 
-def _repeated_filter(texts: DataFrame, most: int = FILTER_HASHES) -> np.ndarray | None:
-    """Packed bits set for the hashes that occur more than once in the corpus, a power of two of them; None where there are more than ``most``."""
+def grouped(digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the digests (rows of two numbers) that brings equal ones together, in the order they had, and where in it another begins."""
+    order = np.argsort(digests[:, 0], kind="stable")
+    x = digests[order]
+    same = x[1:, 0] == x[:-1, 0]
+    if (same & (x[1:, 1] != x[:-1, 1])).any():  # two digests that share a half
+        order = np.lexsort((digests[:, 1], digests[:, 0]))
+        x = digests[order]
+    return order, np.concatenate(([True], (x[1:] != x[:-1]).any(axis=1)))[: len(order)]
 
-    def count(batches: Iterator[pa.RecordBatch]):
-        for batch in kernels.slices(batches, "text"):
-            data, off = kernels.column(batch, "text")
-            h, n = np.unique(spans(data, off)[3], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
-
-    twice = stage(texts.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "chunk-hashes")
-    n = twice.count()
-    if n > most:
-        return None
-    bits = max(1 << 15, 1 << (n * FILTER_EACH - 1).bit_length()) if n else 1 << 15
-    bit = F.pmod("h", F.lit(bits))
-    packed = twice.groupBy(F.call_function("div", bit, F.lit(32768).cast("long")).alias("bucket")).agg(F.bitmap_construct_agg(F.pmod(bit, F.lit(32768))).alias("bits"))
-    out = np.zeros(bits // 8, np.uint8)
-    for r in packed.toLocalIterator():  # at most bits / 32768 rows of 4 KB
-        out[r["bucket"] * 4096 : (r["bucket"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+
+def binary(data: np.ndarray, off: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def packed(values: np.ndarray, first: np.ndarray) -> pa.Array:
+    """Lists of numbers below 2**32, given by the place of each one's first, as binaries: a list's lowest bytes, then its next ones, so that the high ones, mostly zero, compress."""
+    n = np.repeat(np.diff(first), np.diff(first))
+    base = np.arange(len(values)) + 3 * np.repeat(first[:-1], np.diff(first))
+    out = np.empty(4 * len(values), np.uint8)
+    for k in range(4):
+        out[base + k * n] = (values >> (8 * k)) & 0xFF
+    return binary(out, 4 * first)
+
+
+def unpacked(a: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """What ``packed`` was given; null is an empty list."""
+    data, off = kernels.binaries(a)
+    first = off // 4
+    n = np.repeat(np.diff(first), np.diff(first))
+    base = np.arange(int(first[-1])) + 3 * np.repeat(first[:-1], np.diff(first))
+    return sum((data[base + k * n].astype(np.int64) << (8 * k) for k in range(4)), np.zeros(len(base), np.int64)), first
+
+
+def steps(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Of ascending numbers in lists, the distance to the one before in the list, or to zero."""
+    out = np.diff(values, prepend=0)
+    at = first[:-1][np.diff(first) > 0]
+    out[at] = values[at]
     return out
 
 
-def chunks(docs: DataFrame, text_col: str = "text", among: np.ndarray | None = None) -> DataFrame:
-    """docs without the text, plus n_chunks and chunks: an array of (digest, start, size) in bytes, of those in the filter only where one is given. Null and empty texts have none."""
-    own = [f for f in docs.schema.fields if f.name != text_col and f.name.lower() not in ("chunks", "n_chunks")]
-    item = pa.struct([("digest", pa.binary()), ("start", pa.int64()), ("size", pa.int32())])
-    bits = docs.sparkSession.sparkContext.broadcast(among) if among is not None else None
-
-    def run(batches: Iterator[pa.RecordBatch]):
-        for batch in kernels.slices(batches, text_col):
-            data, off = kernels.column(batch, text_col)
-            begins, ends, text, h = spans(data, off)
-            keep = np.arange(len(ends))
-            if bits is not None:
-                h = h % U(8 * len(bits.value))
-                keep = np.flatnonzero((bits.value[(h >> U(3)).astype(np.int64)] >> (h & U(7)).astype(np.uint8)) & 1)
-            raw = data.tobytes()
-            digests = [xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(begins[keep].tolist(), ends[keep].tolist())]
-            flat = pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.array(begins[keep] - off[text[keep]]), pa.array((ends[keep] - begins[keep]).astype(np.int32))], fields=list(item))
-            at = np.searchsorted(text[keep], np.arange(batch.num_rows + 1)).astype(np.int32)
-            total = np.bincount(text, minlength=batch.num_rows)
-            cols = [batch.column(batch.schema.get_field_index(f.name)) for f in own]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(total.astype(np.int64)), pa.ListArray.from_arrays(pa.array(at), flat)], [*[f.name for f in own], "n_chunks", "chunks"])
-
-    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own), "n_chunks long, chunks array<struct<digest:binary,start:long,size:int>>"])
-    return docs.select(*[f"`{f.name}`" for f in own], text_col).mapInArrow(run, ddl)
+def climbed(step: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The numbers of which ``steps`` are given."""
+    total = np.concatenate(([0], np.cumsum(step)))
+    return total[1:] - np.repeat(total[first[:-1]], np.diff(first))
+
+
+def asked(ids: pa.Array, data: np.ndarray, off: np.ndarray, buckets: int, kind: pa.Schema, slice_: int) -> pa.RecordBatch:
+    """The rows that a slice of texts, in the order of ids, sends out: one to each bucket, and one with its cuts, which goes through to itself.
+
+    A bucket's row has the digests with their first places among the slice's chunks, and the ids of these places' texts. ``codes``
+    are steps of places, doubled, plus one where a text is the first time met; in the row of cuts, the sizes of the parts.
+    ``twins`` tells the other places of a digest and how far back the first is.
+    """
+    ends = cuts(data, off)
+    start, end, text = laid(ends, off)
+    raw = data.tobytes()
+    digests = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(start.tolist(), end.tolist())]), np.uint64).reshape(-1, 2)
+    order, new = grouped(digests)
+    of = np.empty(len(order), np.int64)
+    of[order] = order[new][np.cumsum(new) - 1]
+    place = np.flatnonzero(of == np.arange(len(of)))
+    twin = np.flatnonzero(of != np.arange(len(of)))
+    bucket = (digests[place, 0] % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+    by = np.argsort(bucket, kind="stable")
+    place, bucket = place[by], bucket[by].astype(np.int64)
+    first = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
+    rows = len(first) - 1
+    head = np.zeros(len(place), bool)
+    head[first[:-1]] = True
+    fresh = head | (np.diff(text[place], prepend=-1) != 0)
+    met = np.concatenate(([0], np.cumsum(fresh)))[first]
+    stamp = xxhash.xxh3_64_intdigest(raw + off.tobytes() + repr(ids.to_pylist()).encode()) >> 1
+    parts = np.diff(np.searchsorted(ends, off, "right"))
+    whole = lambda x: packed(x, np.array([0, len(x)]))
+    none = lambda n: pa.nulls(n, pa.binary())
+    every = np.concatenate((text[place][fresh], np.arange(len(ids))))
+    cols = {
+        "bucket": pa.array(np.append(bucket[first[:-1]], stamp % buckets).astype(np.int32)),
+        "slice": pa.array(np.full(rows + 1, slice_, np.int64)),
+        "stamp": pa.array(np.full(rows + 1, stamp, np.int64)),
+        "answers": pa.array([None] * rows + [rows], pa.int32()),
+        "ids": pa.ListArray.from_arrays(pa.array(np.append(met, met[-1] + len(ids)).astype(np.int32)), ids.take(pa.array(every))),
+        "codes": pa.concat_arrays([packed(2 * steps(place, first) + fresh, first), whole(np.diff(ends, prepend=0))]),
+        "digests": pa.concat_arrays([binary(digests[place].view(np.uint8).reshape(-1), 16 * first), none(1)]),
+        "parts": pa.concat_arrays([none(rows), whole(parts)]),
+        "twins": pa.concat_arrays([none(rows), whole(np.concatenate((np.diff(twin, prepend=0), twin - of[twin])))]),
+    }
+    return pa.RecordBatch.from_arrays([cols[f.name].cast(f.type) for f in kind], schema=kind)
+
+
+def answered(rows: pa.Table) -> pa.Table:
+    """Rows of one bucket: each slice's with the places of its digests that other slices have too, as steps, doubled, plus one where the digest's home is there. Rows of cuts go through."""
+    through = rows.filter(pc.is_valid(rows["answers"]))
+    rows = rows.filter(pc.is_null(rows["answers"]))
+    code, first = unpacked(rows["codes"])
+    row, fresh = np.repeat(np.arange(len(first) - 1), np.diff(first)), code & 1
+    place, doc = climbed(code >> 1, first), np.cumsum(fresh) - 1
+    order, new = grouped(kernels.binaries(rows["digests"])[0].view(np.uint64).reshape(-1, 2))
+    group = np.cumsum(new) - 1
+    shared = (np.bincount(group) > 1)[group] if len(group) else new
+    at, group = order[shared], group[shared]
+    ids = pc.list_flatten(rows["ids"]).take(pa.array(doc[at]))
+    rank = pc.rank(ids, "ascending", null_placement="at_end", tiebreaker="dense").to_numpy().astype(np.int64) if len(at) else at
+    # a digest is in a row once, and a slice's places are in the order of ids
+    by = np.lexsort((rows["slice"].to_numpy()[row[at]], rank, group))
+    at, home = at[by], np.diff(group[by], prepend=-1) != 0
+    by = np.argsort(at)
+    at, home = at[by], home[by]
+    found = np.searchsorted(row[at], np.arange(rows.num_rows + 1))
+    codes = packed(2 * steps(place[at], found) + home, found)
+    rows = rows.set_column(rows.schema.get_field_index("codes"), "codes", codes).set_column(rows.schema.get_field_index("ids"), "ids", pa.nulls(rows.num_rows, rows.schema.field("ids").type))
+    return pa.concat_tables([through, rows]).select(["slice", "stamp", "answers", "ids", "codes", "parts", "twins"])
 
 
 def runs(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,14 +216,57 @@ def runs(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[new], reach[np.append(new[1:], len(start)) - 1] if len(new) else start[new]
 
 
-def counted(start: np.ndarray, end: np.ndarray, away: np.ndarray, least: int) -> tuple[tuple, int, int, tuple]:
-    """Of a document's repeated chunks: the joined spans of at least ``least`` bytes, the chunks in them, those of them that are away from home, and the joined spans of these."""
+def marked(start: np.ndarray, end: np.ndarray, away: np.ndarray, least: int) -> tuple[tuple, np.ndarray, np.ndarray, tuple]:
+    """Of repeated chunks: the joined spans of at least ``least`` bytes, which chunks are in them, which of those are away from home, and the joined spans of these."""
     lo, hi = runs(start, end)
     lo, hi = lo[hi - lo >= least], hi[hi - lo >= least]
     at = np.searchsorted(lo, start, "right") - 1
     inside = (at >= 0) & (end <= hi[at]) if len(lo) else np.zeros(len(start), bool)
     gone = inside & away
-    return (lo, hi), int(inside.sum()), int(gone.sum()), runs(start[gone], end[gone])
+    return (lo, hi), inside, gone, runs(start[gone], end[gone])
+
+
+def counted(start: np.ndarray, end: np.ndarray, away: np.ndarray, least: int) -> tuple[tuple, int, int, tuple]:
+    """Of a document's repeated chunks what ``marked`` gives, the chunks counted."""
+    joined, inside, gone, removed = marked(start, end, away, least)
+    return joined, int(inside.sum()), int(gone.sum()), removed
+
+
+def assembled(rows: pa.Table, least: int, kind: pa.Schema) -> pa.Table:
+    """The result's rows of one slice, from its row of cuts and its answers."""
+    own = rows.filter(pc.is_valid(rows["answers"]))
+    rows = rows.filter(pc.is_null(rows["answers"]))
+    if own.num_rows != 1 or rows.num_rows != own["answers"][0].as_py() or not pc.all(pc.equal(rows["stamp"], own["stamp"][0]), min_count=0).as_py():
+        raise RuntimeError("docs gave other rows, or the same in another order, when a lost task was run again: stage them first")
+    ids = pc.list_flatten(own["ids"]).combine_chunks()
+    ends, parts = np.cumsum(unpacked(own["codes"])[0]), unpacked(own["parts"])[0]
+    off = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(parts)))]
+    start, end, text = laid(ends, off)
+    of, twins = np.arange(len(text)), unpacked(own["twins"])[0]
+    step, back = twins[: len(twins) // 2], twins[len(twins) // 2 :]
+    twin = np.cumsum(step)
+    of[twin] -= back
+    code, first = unpacked(rows["codes"])
+    place = climbed(code >> 1, first)
+    # a digest is repeated where another slice has it or it has a twin here; away is all but the first place in the slice that is its home
+    repeated, away = np.zeros(len(text), bool), np.zeros(len(text), bool)
+    repeated[place], away[place] = True, (code & 1) == 0
+    repeated[of[twin]] = True
+    repeated, away = repeated[of], away[of] | (of != np.arange(len(of)))
+    # a byte between texts keeps their spans apart
+    at = np.flatnonzero(repeated)
+    spans_, inside, gone, removed = marked(start[at] + text[at], end[at] + text[at], away[at], least)
+    border = off + np.arange(len(off))
+    each = lambda x: pa.array(np.bincount(x, minlength=len(ids)).astype(np.int64))
+
+    def listed(spans: tuple[np.ndarray, np.ndarray], t: pa.DataType) -> pa.Array:
+        to = np.searchsorted(spans[0], border)
+        by = np.repeat(border[:-1], np.diff(to))
+        return pa.ListArray.from_arrays(pa.array(to.astype(np.int32)), pa.StructArray.from_arrays([pa.array(spans[0] - by), pa.array(spans[1] - by)], fields=list(t.value_type))).cast(t)
+
+    lists = [listed(s, kind.field(n).type) for s, n in ((spans_, "repeat_spans"), (removed, "removed_spans"))]
+    some = pc.greater(pc.list_value_length(lists[0]), 0)
+    return pa.Table.from_arrays([ids.cast(kind.field(0).type), each(text), each(text[at[inside]]), each(text[at[gone]]), some, *lists], schema=kind)
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_bytes: int = 100, filter_hashes: int = FILTER_HASHES) -> DataFrame:
@@ -152,38 +276,31 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     spans of at least least_bytes count: ``repeated`` tells whether there are any, ``n_repeated`` is the chunks in them. Of each
     digest the occurrence with the smallest (id, start) is its home and stays; ``removed_spans`` joins the others that lie in
     counted spans, n_removed of them. Null and empty texts have none; null ids come after others; rows that repeat an id are
-    documents of their own, and of equal rows one is home. Other columns are not looked at. An empty table gives no rows.
+    documents of their own, and of equal rows one is home. Other columns are not looked at. An empty table gives no rows. Ids are
+    of an atomic type. ``filter_hashes`` has no effect any more: all chunks go the same, packed way.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kept: list[DataFrame] = []
-    with dropping(docs.sparkSession, kept):
-        # a first pass over hashes alone leaves few chunks to be shuffled with digest and place
-        cut = stage(chunks(texts, among=_repeated_filter(texts, filter_hashes)).withColumn("rid", F.monotonically_increasing_id()), "chunks")
-        flat = cut.select("rid", "id", F.explode("chunks").alias("c")).select("rid", "id", "c.*")
-        order = F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("id"), F.col("rid").alias("rid"), F.col("start").alias("start"))
-        homes = stage(flat.groupBy("digest").agg(F.count("*").alias("n"), F.min(order).alias("home")).where("n > 1").select("digest", F.col("home.rid").alias("home_rid"), F.col("home.start").alias("home_start")), "chunk-homes")
-        kept += [cut, homes]
-    hit = lookup(flat.select("rid", "digest", "start", "size").withColumn("salt", salt_of("rid")), homes, "digest", "salt", "inner")
-    away = (F.col("rid") != F.col("home_rid")) | (F.col("start") != F.col("home_start"))
-    # a document's chunks are bounded by its length
-    per = hit.groupBy("rid").agg(F.collect_list(F.struct(F.col("start"), (F.col("start") + F.col("size")).alias("end"), away.alias("away"))).alias("hits"))
-    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    kind = pa.schema([("rid", pa.int64()), ("n_repeated", pa.int64()), ("n_removed", pa.int64()), ("repeat_spans", span), ("removed_spans", span)])
-
-    def run(batches: Iterator[pa.RecordBatch]):
-        listed = lambda x: [{"start": a, "end": b} for a, b in zip(x[0].tolist(), x[1].tolist())]
-        for batch in batches:
-            rows = []
-            for rid, hits in zip(batch.column(0).to_pylist(), batch.column(1)):
-                start, end, away = (hits.values.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-                spans_, n, gone, removed = counted(start, end, away, least_bytes)
-                rows.append({"rid": rid, "n_repeated": n, "n_removed": gone, "repeat_spans": listed(spans_), "removed_spans": listed(removed)})
-            yield pa.RecordBatch.from_pylist(rows, kind)
-
-    array = "array<struct<start:long,end:long>>"
-    per = per.mapInArrow(run, f"rid long, n_repeated long, n_removed long, repeat_spans {array}, removed_spans {array}")
-    none, zero = F.array().cast(array), F.lit(0).cast("long")
-    return cut.select("rid", "id", "n_chunks").join(per, "rid", "left").select(
-        F.col("id").alias(id_col), "n_chunks", F.coalesce("n_repeated", zero).alias("n_repeated"), F.coalesce("n_removed", zero).alias("n_removed"),
-        (F.size(F.coalesce("repeat_spans", none)) > 0).alias("repeated"), F.coalesce("repeat_spans", none).alias("repeat_spans"), F.coalesce("removed_spans", none).alias("removed_spans"),
-    )
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1, min(EVEN, size // SMALL), size // BUCKET)
+    id_type = texts.schema["id"].dataType
+    ids, long, blob = ArrayType(id_type), LongType(), BinaryType()
+    answer = [("slice", long), ("stamp", long), ("answers", IntegerType()), ("ids", ids), ("codes", blob), ("parts", blob), ("twins", blob)]
+    question = StructType([StructField(n, t) for n, t in [("bucket", IntegerType()), *answer, ("digests", blob)]])
+    answer = StructType([StructField(n, t) for n, t in answer])
+    span = ArrayType(StructType([StructField("start", long), StructField("end", long)]))
+    result = [("id", id_type), ("n_chunks", long), ("n_repeated", long), ("n_removed", long), ("repeated", BooleanType()), ("repeat_spans", span), ("removed_spans", span)]
+    result = StructType([StructField(n, t) for n, t in result])
+    asks, tells = (to_arrow_schema(t) for t in (question, result))
+
+    def ask(batches: Iterator[pa.RecordBatch]):
+        slice_ = TaskContext.get().partitionId() << 33
+        for batch in kernels.slices(batches, "text"):
+            batch = batch.take(pc.sort_indices(batch.column(0), null_placement="at_end"))
+            yield asked(batch.column(0), *kernels.column(batch, "text"), buckets, asks, slice_)
+            slice_ += 1
+
+    def tell(rows: pa.Table) -> pa.Table:
+        return assembled(rows, least_bytes, tells)
+
+    found = texts.mapInArrow(ask, question).groupBy("bucket").applyInArrow(answered, answer)
+    return found.groupBy("slice").applyInArrow(tell, result).select(F.col("id").alias(id_col), *result.names[1:])

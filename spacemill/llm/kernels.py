@@ -112,7 +112,16 @@ ALNUM = table([(0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)], False)
 
 def column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (n + 1, from 0) of a string column; null counts as empty."""
-    a = batch.column(batch.schema.get_field_index(name)).fill_null("").cast(pa.large_string())
+    return _parts(batch.column(batch.schema.get_field_index(name)).fill_null("").cast(pa.large_string()))
+
+
+def binaries(a: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets (n + 1, from 0) of a binary array; null counts as empty."""
+    a = a.combine_chunks() if isinstance(a, pa.ChunkedArray) else a
+    return _parts(a.fill_null(b"").cast(pa.large_binary()))
+
+
+def _parts(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     off = np.frombuffer(a.buffers()[1], np.int64)[a.offset : a.offset + len(a) + 1]
     data = np.frombuffer(a.buffers()[2], np.uint8) if a.buffers()[2] is not None else np.zeros(0, np.uint8)
     return (data[off[0] : off[-1]], off - off[0]) if len(a) else (data[:0], np.zeros(1, np.int64))

@@ -626,6 +626,48 @@ def test_chunks_are_those_of_plain_comparison(spark):
     assert sorted(r["n_removed"] for r in same)[0] == 0 and [r["n_removed"] > 0 for r in same].count(True) == 2
 
 
+def shuffled_bytes(spark):
+    store, gate = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+    stages = store.stageList(None, False, False, gate.new_array(gate.jvm.double, 0), gate.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def staged_bytes(spark):
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(p) for p in common.made(spark)]
+    return sum(p.getFileSystem(conf).getContentSummary(p).getLength() for p in paths)
+
+
+def test_chunks_take_little_disk_however_many_recur(spark):
+    """Shuffled and staged bytes stay in proportion to the texts beyond any count of repeated chunks; homes and spans are those of plain comparison."""
+    from collections import Counter
+
+    rnd = random.Random(11)
+    passages = [" ".join(words(60, 3000 + i)) for i in range(150)]
+    texts = [" ".join(rnd.choice(passages) if rnd.random() < 0.5 else " ".join(words(60, 10**6 + 10 * i + k)) for k in range(8)) for i in range(400)]
+    ids = [f"{i % 10}-{i}" for i in range(399)] + [None]
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id string, text string").repartition(8, "text").localCheckpoint()
+    size = sum(len(t.encode()) for t in texts)
+    before = shuffled_bytes(spark) + staged_bytes(spark)
+    rows = {r["doc_id"]: r for r in chunk_dedup.repeats(docs, filter_hashes=0).collect()}
+    assert len(rows) == 400 and shuffled_bytes(spark) + staged_bytes(spark) - before < 2 * size
+    seen, homes, each = Counter(), {}, {}
+    for i, t in sorted(zip(ids, texts), key=lambda x: (x[0] is None, x[0])):
+        data, off = kernels.of_texts([t])
+        a, b, _, _ = chunk_dedup.spans(data, off)
+        each[i] = [(x, y, t.encode()[x:y]) for x, y in zip(a.tolist(), b.tolist())]
+        seen.update(c for _, _, c in each[i])
+        for x, _, c in each[i]:
+            homes.setdefault(c, (i, x))
+    for (i, chunks), (_, spans, repeated) in zip(each.items(), plain_chunks([b[1] for b in sorted(zip(ids, texts), key=lambda x: (x[0] is None, x[0]))], 100)):
+        counted = [(x, y, c) for x, y, c in chunks if seen[c] > 1 and any(a <= x and y <= b for a, b in spans)]
+        gone = [(x, y) for x, y, c in counted if homes[c] != (i, x)]
+        r = rows[i]
+        assert [tuple(s) for s in r["repeat_spans"]] == spans and (r["n_repeated"], r["n_removed"]) == (repeated, len(gone))
+        covered = {z for x, y in gone for z in range(x, y)}
+        assert {z for x, y in r["removed_spans"] for z in range(x, y)} == covered
+
+
 def test_spans_are_joined_in_linear_time():
     import time
 
