@@ -1,4 +1,4 @@
-"""Bitmaps, least significant bit first: packed BINARY of 32768 bits a bucket, or positions."""
+"""Bitmaps, least significant bit first: packed BINARY of 32768 bits a bucket, packed words of 64 bits, or positions."""
 
 from __future__ import annotations
 
@@ -24,6 +24,31 @@ def empty(bits: int) -> Column:
     return F.unhex(F.repeat(F.lit("00"), F.lit((bits + 7) // 8)))
 
 
+def _parts(df: DataFrame) -> int:
+    """Partitions that adaptive execution leaves as they are; it goes by compressed bytes, of which bitmaps have few."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def words(df: DataFrame, key: str, bit: str, cleared: Column | None = None) -> DataFrame:
+    """key, word, bits: the set positions of each key as words of 64 bits; those of rows where ``cleared`` holds are cleared again.
+
+    Positions move as slim rows and by word, so that memory goes by the positions of a task, and a key with many is several tasks' work.
+    """
+    b, c = F.col(bit).cast("long"), F.lit(False) if cleared is None else cleared
+    p = df.select(key, F.shiftright(b, 6).alias("word"), b.bitwiseAND(63).cast("byte").alias("_j"), c.alias("_c")).where("word is not null")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_j").cast("int"))
+    held = F.bit_or(one)
+    if cleared is not None:
+        held = held.bitwiseAND(F.bitwise_not(F.bit_or(F.when(F.col("_c"), one).otherwise(0))))
+    return p.repartition(_parts(df), key, "word").groupBy(key, "word").agg(held.alias("bits"))
+
+
+def word_positions(df: DataFrame, key: str) -> DataFrame:
+    """key, bit: the set positions of packed words, again as rows."""
+    bit = F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda j: F.getbit("bits", j) == 1))
+    return df.select(key, "word", bit.alias("_j")).select(key, (F.col("word") * 64 + F.col("_j")).alias("bit"))
+
+
 def construct(df: DataFrame, key: str, bit: str) -> DataFrame:
     """key, bucket, bits: the set positions (0-based) of each key as packed buckets; map-side combined."""
     b = F.col(bit).cast("long")
@@ -31,9 +56,8 @@ def construct(df: DataFrame, key: str, bit: str) -> DataFrame:
 
 
 def is_set(bits: Column, bit: Column) -> Column:
-    """Whether a 0-based bit of a packed bucket is set."""
-    byte = F.conv(F.hex(F.substring(bits, element(bit).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return byte.bitwiseAND(mask(bit)) != 0
+    """Whether a 0-based bit is set, by its packed word."""
+    return F.getbit(bits, bit.bitwiseAND(63).cast("int")) == 1
 
 
 def positions(df: DataFrame, key: str) -> DataFrame:

@@ -145,11 +145,10 @@ def bitmap_clear(spark, sf):
 @query("a_b4_is_set", f"with {POS}, {PR} select pr.id, pr.k, pr.id % 512 as bit, ps.map is not null as is_set from pr left join ps on ps.map = pr.k and ps.bit = pr.id % 512")
 def bitmap_is_set(spark, sf):
     """Probes of single bits, answered on the packed form."""
-    maps = bm.construct(t.positions(spark, sf), "map", "bit").select(F.col("map").alias("k"), "bucket", "bits")
-    p = t.probes(spark, sf).select("id", "k", F.pmod("id", F.lit(512)).alias("bit")).withColumn("bucket", geo.div(F.col("bit"), bm.BUCKET))
-    p = p.join(maps, ["k", "bucket"], "left")
-    inside = F.pmod("bit", F.lit(bm.BUCKET))
-    return p.select("id", "k", "bit", F.coalesce(bm.is_set(F.col("bits"), inside), F.lit(False)).alias("is_set"))
+    maps = bm.words(t.positions(spark, sf), "map", "bit").withColumnRenamed("map", "k")
+    p = t.probes(spark, sf).select("id", "k", F.pmod("id", F.lit(512)).alias("bit")).withColumn("word", F.shiftright("bit", 6))
+    p = p.join(maps, ["k", "word"], "left")
+    return p.select("id", "k", "bit", F.coalesce(bm.is_set(F.col("bits"), F.col("bit")), F.lit(False)).alias("is_set"))
 
 
 @query("a_b7_load", f"with {POS} select map, count(*) as set_bits, cast(4096 as integer) as bytes from ps group by map")

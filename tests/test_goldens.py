@@ -315,6 +315,32 @@ def test_bitmap_positions_random(spark):
     assert tuples(bm.positions(bm.construct(d, "map", "bit"), "map"), "map", "bit") == rows
 
 
+@pytest.mark.parametrize("clear", [False, True])
+def test_bitmap_words_random(spark, clear):
+    from spacemill.functions import bitmap as bm
+
+    rnd = random.Random(14)
+    rows = [(k, b) for k in range(3) for b in [-65, -64, -1, 0, 7, 62, 63, 64, 127, 32767, 32768, *(rnd.randrange(3000) for _ in range(300))]]
+    d = bm.words(spark.createDataFrame(rows * 2, "map long, bit long"), "map", "bit", F.col("bit") % 7 == 0 if clear else None)
+    assert tuples(bm.word_positions(d, "map"), "map", "bit") == sorted({(k, b) for k, b in rows if not clear or b % 7})
+    probes = spark.createDataFrame([(b,) for b in range(128)], "bit long").withColumn("word", F.shiftright("bit", 6))
+    got = probes.join(d.where("map = 1"), "word").where(bm.is_set(F.col("bits"), F.col("bit")))
+    assert tuples(got, "bit") == sorted({(b,) for k, b in rows if k == 1 and 0 <= b < 128 and (not clear or b % 7)})
+
+
+@pytest.mark.parametrize("name", ["a_b4_is_set"])
+def test_no_packed_bucket_is_moved_or_sorted(spark, sf, name):
+    """A bucket has 4096 bytes however few of its bits are set."""
+    from spacemill.plans import registry
+
+    plan = registry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan()
+    todo = [plan.inputPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan]
+    for node in todo:
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() in ("Exchange", "Sort"):
+            assert "binary" not in node.schema().simpleString()
+
+
 def test_topology(spark):
     cpus = spark.createDataFrame([(1, 0, 0), (1, 1, 4), (2, 0, 0)], "host long, node int, first_cpu long")
     p = spark.createDataFrame([(1, 1, 5), (2, 1, 9), (3, 2, 3), (4, 3, 0)], "process long, host long, cpu long")
