@@ -50,9 +50,12 @@ def word_positions(df: DataFrame, key: str) -> DataFrame:
 
 
 def construct(df: DataFrame, key: str, bit: str) -> DataFrame:
-    """key, bucket, bits: the set positions (0-based) of each key as packed buckets; map-side combined."""
-    b = F.col(bit).cast("long")
-    return df.groupBy(key, F.call_function("div", b, F.lit(BUCKET).cast("long")).alias("bucket")).agg(F.bitmap_construct_agg(F.pmod(b, F.lit(BUCKET))).alias("bits"))
+    """key, bucket, bits: the set positions (0-based) of each key as packed buckets.
+
+    A task's positions come to it once each, by way of words, so that buckets are neither moved nor sorted, but made one after another.
+    """
+    p = word_positions(words(df, key, bit), key).select(key, F.call_function("div", F.col("bit"), F.lit(BUCKET).cast("long")).alias("bucket"), "bit")
+    return p.repartition(_parts(df), key, "bucket").groupBy(key, "bucket").agg(F.bitmap_construct_agg(F.pmod("bit", F.lit(BUCKET))).alias("bits"))
 
 
 def is_set(bits: Column, bit: Column) -> Column:
