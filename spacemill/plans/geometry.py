@@ -129,8 +129,8 @@ def layout(spark, sf):
 
 @query("a_b2_set", f"with {POS} select map, count(*) as n, min(bit) as lo, max(bit) as hi from ps group by map")
 def bitmap_set(spark, sf):
-    """Positions packed into bitmaps, and read from them again."""
-    bits = bm.positions(bm.construct(t.positions(spark, sf), "map", "bit"), "map")
+    """Positions packed into words of bits, and read from them again."""
+    bits = bm.word_positions(bm.words(t.positions(spark, sf), "map", "bit"), "map")
     return bits.groupBy("map").agg(F.count("*").alias("n"), F.min("bit").alias("lo"), F.max("bit").alias("hi"))
 
 
