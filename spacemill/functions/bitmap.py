@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from spacemill.session import partitions
+
 #: Bits of one of Spark's bitmaps.
 BUCKET = 32768
 
@@ -24,11 +26,6 @@ def empty(bits: int) -> Column:
     return F.unhex(F.repeat(F.lit("00"), F.lit((bits + 7) // 8)))
 
 
-def _parts(df: DataFrame) -> int:
-    """Partitions that adaptive execution leaves as they are; it goes by compressed bytes, of which bitmaps have few."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def words(df: DataFrame, key: str, bit: str, cleared: Column | None = None) -> DataFrame:
     """key, word, bits: the set positions of each key as words of 64 bits; those of rows where ``cleared`` holds are cleared again.
 
@@ -40,7 +37,7 @@ def words(df: DataFrame, key: str, bit: str, cleared: Column | None = None) -> D
     held = F.bit_or(one)
     if cleared is not None:
         held = held.bitwiseAND(F.bitwise_not(F.bit_or(F.when(F.col("_c"), one).otherwise(0))))
-    return p.repartition(_parts(df), key, "word").groupBy(key, "word").agg(held.alias("bits"))
+    return p.repartition(partitions(df), key, "word").groupBy(key, "word").agg(held.alias("bits"))
 
 
 def word_positions(df: DataFrame, key: str) -> DataFrame:
@@ -55,7 +52,7 @@ def construct(df: DataFrame, key: str, bit: str) -> DataFrame:
     A task's positions come to it once each, by way of words, so that buckets are neither moved nor sorted, but made one after another.
     """
     p = word_positions(words(df, key, bit), key).select(key, F.call_function("div", F.col("bit"), F.lit(BUCKET).cast("long")).alias("bucket"), "bit")
-    return p.repartition(_parts(df), key, "bucket").groupBy(key, "bucket").agg(F.bitmap_construct_agg(F.pmod("bit", F.lit(BUCKET))).alias("bits"))
+    return p.repartition(partitions(df), key, "bucket").groupBy(key, "bucket").agg(F.bitmap_construct_agg(F.pmod("bit", F.lit(BUCKET))).alias("bits"))
 
 
 def is_set(bits: Column, bit: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import Window as W
 
 from spacemill.functions.geometry import size_from_class
+from spacemill.session import partitions
 
 
 def _islands(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -18,15 +19,16 @@ def _islands(df: DataFrame, keys: list[str]) -> DataFrame:
     return merged.select(*keys, "start", (F.col("_end") - F.col("start")).alias("len"))
 
 
-def coalesce(df: DataFrame, key: str = "k", width: int | None = None) -> DataFrame:
+def coalesce(df: DataFrame, key: str = "k", width: int | None = None, spread: bool = False) -> DataFrame:
     """key, start, len: the maximal merged extents of each key.
 
     With a width, intervals are first merged within (key, start div width), which spreads a key that holds a large share of all
     intervals over tasks; what is left of it is merged again by key. Merging parts first changes nothing in the result.
+    With spread, adaptive execution does not join the partitions of the keys, for extents of which many rows are made.
     """
     if width:
         df = _islands(df.withColumn("_part", F.floor(F.col("start") / width)), [key, "_part"])
-    return _islands(df, [key])
+    return _islands(df.repartition(partitions(df), key) if spread else df, [key])
 
 
 def neighbours(df: DataFrame, key: str = "k") -> DataFrame:

@@ -9,15 +9,16 @@ from spacemill.errors import SpaceError
 from spacemill.functions import geometry as geo
 from spacemill.functions.bitmap import positions
 from spacemill.operators import headers as hd
+from spacemill.operators.extents import coalesce
 from spacemill.plans.base import FX, HD, NBLOCKS, query
-from spacemill.plans.extents import free
+from spacemill.plans.extents import PART, free
 from spacemill.scratch import scratch_path
 from spacemill.sources import files as src
 from spacemill.sources import tables as t
 
 
 def headers(spark, sf):
-    return hd.headers(free(spark, sf), NBLOCKS)
+    return hd.headers(coalesce(t.intervals(spark, sf), width=PART, spread=True), NBLOCKS)
 
 
 @query("a_m7_mark", f"with {FX}, b as (select k, start, len, unnest(range(0, len)) as i from fx) select k, start + i as idx, cast(case when i = 0 then 1 else 2 end as integer) as type, case when i = 0 then len else 0 end as size from b")

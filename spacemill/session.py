@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from spacemill.sources.config import Options
 
@@ -28,3 +28,10 @@ def session(options: Options | None = None, name: str = "spacemill") -> SparkSes
         if k.startswith("spark."):
             builder = builder.config(k, str(v))
     return builder.getOrCreate()
+
+
+def partitions(df: DataFrame) -> int:
+    """The session's shuffle partitions. Given to ``repartition``, adaptive execution leaves them as they are; it joins partitions by
+    their compressed bytes, which say little of the memory of what is made of the rows.
+    """
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
