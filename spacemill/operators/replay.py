@@ -11,11 +11,13 @@ from collections import deque
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Window as W
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from spacemill.functions.geometry import ALIGN, SIZE_CLASSES, SLAB_FIXED
+from spacemill.session import partitions
 
 OK, OUT_OF_MEMORY, INVALID = "OK", "OUT_OF_MEMORY", "INVALID_ADDRESS"
 
@@ -237,3 +239,37 @@ def replay(log: DataFrame, machine: Callable, schema: str, key: str = "heap", or
 
     rows = log.select(key, order, "op", size)
     return rows.repartition(key).sortWithinPartitions(key, order).mapInArrow(run, schema)
+
+
+def lives(rows: DataFrame, end: int, key: str = "heap") -> DataFrame:
+    """key, seq, until, start, len, returned: each extent handed out in a replay, with the step that took it back, or the end.
+
+    The k-th free of a heap takes back its k-th extent; returned says whether it is the same blocks. All of a heap is in one partition,
+    and adaptive execution does not join the partitions, as rows become many when they are dealt over steps.
+    """
+    ok = rows.where(F.col("status") == OK).repartition(partitions(rows), key)
+    turn = ok.withColumn("_turn", F.row_number().over(W.partitionBy(key, "op").orderBy("seq")))
+    one = lambda op: F.max(F.when(F.col("op") == op, F.struct("seq", "start", "len")))
+    pairs = turn.groupBy(key, "_turn").agg(one("A").alias("a"), one("F").alias("f")).where("a is not null")
+    same = (F.col("a.start") == F.col("f.start")) & (F.col("a.len") == F.col("f.len"))
+    return pairs.select(key, "a.seq", F.coalesce("f.seq", F.lit(end).cast("long")).alias("until"), "a.start", "a.len", F.coalesce(same, F.lit(True)).alias("returned"))
+
+
+def held_twice(live: DataFrame, nblocks: int, key: str = "heap") -> DataFrame:
+    """key, overlaps: how many blocks beyond one hold each block at each step from seq to before until, summed.
+
+    An extent is a row each step, not each block: of a step's extents the lengths are summed, and their blocks joined as words of 64 bits.
+    """
+    start, end = F.col("start"), F.col("start") + F.col("len")
+
+    def mask(i: int):
+        lo, hi = F.greatest(start - 64 * i, F.lit(0)), F.least(end - 64 * i, F.lit(64))
+        ones = lambda n: F.when(n >= 64, F.lit(-1)).otherwise(F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("long"), n.cast("int"))))
+        return F.when(hi > lo, ones(hi).bitwiseAND(F.bitwise_not(ones(lo)))).otherwise(0).cast("long")
+
+    names = [f"_w{i}" for i in range(-(-nblocks // 64))]
+    masked = live.select(key, "seq", "until", "len", *[mask(i).alias(n) for i, n in enumerate(names)])
+    steps = masked.select(key, F.explode(F.sequence("seq", F.col("until") - 1)).alias("_at"), "len", *names)
+    joined = steps.groupBy(key, "_at").agg(F.sum("len").alias("_held"), *[F.bit_or(n).alias(n) for n in names])
+    distinct = sum((F.bit_count(n) for n in names), F.lit(0))
+    return joined.groupBy(key).agg(F.sum(F.col("_held") - distinct).alias("overlaps"))

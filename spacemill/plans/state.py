@@ -106,15 +106,7 @@ def random_workload(spark, sf):
     s = t.read(spark, sf, "supplier").select(F.col("s_suppkey").alias("heap"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(RANDOM_STEPS - 1).cast("long"))).alias("seq"))
     dice = F.pmod(F.xxhash64("heap", "seq"), F.lit(100))
     log = s.select("heap", "seq", F.when((dice < 50) | (F.col("seq") < 8), "A").otherwise("F").alias("op"), (1 + F.pmod(F.xxhash64("seq", "heap"), F.lit(16))).alias("n"))
-    rows = rp.replay(log, lambda: rp.ExtentHeap(RANDOM_BLOCKS), rp.EXTENT_ROWS).where(f"status = '{rp.OK}'")
-    turn = F.row_number().over(W.partitionBy("heap", "op").orderBy("seq"))
-    rows = rows.withColumn("turn", turn)
-    taken = rows.where("op = 'A'").select("heap", "turn", "seq", "start", "len")
-    back = rows.where("op = 'F'").select("heap", "turn", F.col("seq").alias("until"), F.col("start").alias("b_start"), F.col("len").alias("b_len"))
-    live = taken.join(back, ["heap", "turn"], "left").withColumn("until", F.coalesce("until", F.lit(RANDOM_STEPS).cast("long")))
-    same = F.bool_and(F.coalesce((F.col("start") == F.col("b_start")) & (F.col("len") == F.col("b_len")), F.lit(True))).alias("returned")
-    # a row for each block and step that an extent lives through
-    cells = live.select("heap", F.explode(F.sequence("seq", F.col("until") - 1)).alias("at"), "start", "len").select("heap", "at", F.explode(F.sequence("start", F.col("start") + F.col("len") - 1)).alias("block"))
-    twice = cells.groupBy("heap", "at", "block").agg(F.count("*").alias("n")).groupBy("heap").agg(F.sum(F.col("n") - 1).alias("overlaps"))
+    live = rp.lives(rp.replay(log, lambda: rp.ExtentHeap(RANDOM_BLOCKS), rp.EXTENT_ROWS), RANDOM_STEPS)
+    twice, same = rp.held_twice(live, RANDOM_BLOCKS), live.groupBy("heap").agg(F.bool_and("returned").alias("returned"))
     steps = log.groupBy("heap").agg(F.count("*").alias("steps"))
-    return steps.join(twice, "heap").join(live.groupBy("heap").agg(same), "heap").select("heap", "steps", "overlaps", "returned")
+    return steps.join(twice, "heap").join(same, "heap").select("heap", "steps", "overlaps", "returned")

@@ -22,6 +22,15 @@ def tuples(df, *cols):
     return sorted(tuple(r) for r in df.select(*cols).collect())
 
 
+def nodes(df):
+    """The nodes of a plan, before it is run."""
+    plan = df._jdf.queryExecution().executedPlan()
+    out = [plan.initialPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan]
+    for node in out:
+        out += [node.children().apply(i) for i in range(node.children().size())]
+    return out
+
+
 @pytest.mark.parametrize("a, b, want", [((0, 10), (5, 10), (0, 15)), ((5, 4), (0, 10), (0, 10)), ((0, 10), (10, 10), (0, 20)), ((0, 10), (11, 10), (0, 10))])
 def test_merge(spark, a, b, want):
     from spacemill.functions import intervals as iv
@@ -333,10 +342,7 @@ def test_no_packed_bucket_is_moved_or_sorted(spark, sf, name):
     """A bucket has 4096 bytes however few of its bits are set."""
     from spacemill.plans import registry
 
-    plan = registry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan()
-    todo = [plan.inputPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan]
-    for node in todo:
-        todo += [node.children().apply(i) for i in range(node.children().size())]
+    for node in nodes(registry.queries()[name](spark, sf)):
         if node.nodeName() in ("Exchange", "Sort"):
             assert "binary" not in node.schema().simpleString()
 
@@ -449,6 +455,52 @@ def test_scan_by_stretches_is_scan(spark):
     assert tuples(hd.scan(hd.headers(held, 252), stretch=7), *cols) == tuples(hd.scan(hd.headers(held, 252)), *cols)
 
 
+def test_scan_reads_runs_off_words(spark):
+    held = frame(spark, [(1, 63, 2), (1, 128, 64), (1, 193, 1), (2, 255, 1), (3, 0, 256), (4, 0, 1)])
+    free = [(1, 0, 63), (1, 65, 63), (1, 192, 1), (1, 194, 62), (2, 0, 255), (4, 1, 255)]
+    assert tuples(hd.recover(hd.headers(held, 256)), "k", "start", "len") == free
+    assert all(tuples(hd.scan(hd.headers(held, 256), stretch=n).where("is_free"), "k", "start", "len") == free for n in (7, 64, 100))
+
+
+@pytest.mark.parametrize("name", ["a_s0_find_extents", "a_s2_iterate", "a_s3_descriptors", "a_s4_recover", "a_s9_slab_extents"])
+def test_no_header_is_sorted(spark, sf, name):
+    """A heap has 4096 headers however few extents it has."""
+    from spacemill.plans import registry
+
+    for node in nodes(registry.queries()[name](spark, sf)):
+        if node.nodeName() in ("Exchange", "Sort", "Window"):
+            assert "idx" not in node.schema().simpleString()
+
+
+def test_headers_of_extents_are_made_by_one_sort(spark):
+    names = [node.nodeName() for node in nodes(hd.headers(frame(spark, [(1, 0, 10), (1, 13, 14)]), 252))]
+    assert [names.count(x) for x in ("Exchange", "Sort", "Union")] == [1, 1, 0]
+
+
+def test_blocks_held_twice_are_counted(spark):
+    rnd = random.Random(9)
+    rows = []
+    for heap in range(4):
+        for _ in range(12):
+            seq, start = rnd.randrange(20), rnd.randrange(200)
+            rows.append((heap, seq, seq + rnd.randint(1, 9), start, rnd.choice((1, 3, 16, 52) if heap else (1,))))
+    rows += [(7, 0, 3, 0, 200), (7, 1, 5, 64, 64), (7, 2, 4, 199, 1)]
+    want = {}
+    for heap, seq, until, start, n in rows:
+        cells = want.setdefault(heap, {})
+        for c in ((at, b) for at in range(seq, until) for b in range(start, start + n)):
+            cells[c] = cells.get(c, 0) + 1
+    d = rp.held_twice(spark.createDataFrame(rows, "heap long, seq long, until long, start long, len long"), 252)
+    assert tuples(d, "heap", "overlaps") == sorted((h, sum(n - 1 for n in c.values())) for h, c in want.items())
+    assert [node.nodeName() for node in nodes(d)].count("Generate") == 1
+
+
+def test_lives_pair_frees_in_order(spark):
+    rows = [(1, 0, "A", 4, "OK", 0, 4), (1, 1, "A", 99, "OUT_OF_MEMORY", None, None), (1, 2, "A", 2, "OK", 4, 2), (1, 3, "F", 1, "OK", 0, 4), (2, 0, "A", 3, "OK", 0, 3), (2, 5, "F", 1, "OK", 1, 3), (2, 6, "F", 1, "INVALID_ADDRESS", None, None)]
+    d = rp.lives(spark.createDataFrame(rows, rp.EXTENT_ROWS), 128)
+    assert tuples(d, "heap", "seq", "until", "start", "len", "returned") == [(1, 0, 3, 0, 4, True), (1, 2, 128, 4, 2, True), (2, 0, 5, 0, 3, False)]
+
+
 def test_session_is_one_and_options_are_layered(spark):
     from spacemill.session import layered_options, session
 
